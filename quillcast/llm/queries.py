@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat_format import format_chats, read_content, read_role, read_turns, text_part, unescape
 from .line_dedup import dedup_lines
+from .mixing import mix_sources
 from .simhash_dedup import simhash_groups
 
 
@@ -42,11 +44,70 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_read(spark, sf_dir, "documents"))
 
 
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_read(spark, sf_dir, "documents"))
+
+
+OP4_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS size,
+         ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS key
+  FROM documents
+), src AS (
+  SELECT source, sum(size)::BIGINT AS s, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS r FROM docs GROUP BY source
+), w AS (
+  SELECT source, s, CASE r % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END::BIGINT AS w FROM src
+), level AS (
+  SELECT *, sum(s) OVER () AS total, coalesce(sum(3 * s) OVER o, 0) AS caps, sum(w) OVER () - coalesce(sum(w) OVER o, 0) AS share
+  FROM w WINDOW o AS (ORDER BY 3 * s / w::DOUBLE, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), cut AS (
+  SELECT total - caps AS l, share FROM level WHERE 3 * s >= w * (total - caps) / share ORDER BY 3 * s / w::DOUBLE, source LIMIT 1
+), target AS (
+  SELECT source, s, least((3 * s)::DOUBLE, (w * l)::DOUBLE / share) AS target FROM w, cut
+), parts AS (
+  SELECT docs.*, s, target, floor(target)::BIGINT AS budget, (sum(size) OVER (PARTITION BY docs.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS before
+  FROM docs JOIN target ON docs.source IS NOT DISTINCT FROM target.source
+), whole AS (SELECT *, CASE WHEN s > 0 THEN budget // s ELSE 0 END AS n FROM parts)
+SELECT doc_id, source, size, s AS source_size, target, (n * size + greatest(0, least(size, budget - n * s - before)))::BIGINT AS taken FROM whole
+"""
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(r"\### Assistant: </turn> ok").alias("text"))
+    made = format_chats(chats.unionByName(own).withColumn("parts", text_part("text")))
+    pieces = made.select("conv_id", "formatted", "loss", read_turns(F.col("formatted")).alias("pieces"))
+    nl = F.lit("\n")
+    turns = F.array_join(F.transform("pieces", lambda p: F.concat(read_role(p), nl, read_content(p), nl)), "")
+    learnt = F.array_join(F.transform("loss", lambda x: unescape(F.substring(F.element_at("pieces", x["turn"] + 1), x["start"] + 1, x["chars"]))), "")
+    back = pieces.select("conv_id", F.size("pieces").cast("long").alias("n_turns"), turns.alias("turns"), learnt.alias("learnt"), F.length("formatted").cast("long").alias("formatted_chars"))
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    return back.select("conv_id", "n_turns", digest("turns").alias("turns_sha256"), F.length("learnt").cast("long").alias("loss_chars"), digest("learnt").alias("loss_sha256"), "formatted_chars")
+
+
+OP5_SQL = r"""
+WITH m AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '\### Assistant: </turn> ok' FROM range(2) t(i)
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(15 + 2 * length(role || text) - length(translate(role || text, '\<>', '')))::BIGINT AS formatted_chars
+FROM m GROUP BY conv_id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op4_source_mixing": op4_source_mixing,
+    "op5_chat_format": op5_chat_format,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": OP1_SQL,
+    "op4_source_mixing": OP4_SQL,
+    "op5_chat_format": OP5_SQL,
 }
