@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .chat_format import format_chats, read_content, read_role, read_turns, text_part, unescape
 from .line_dedup import dedup_lines
 from .mixing import mix_sources
+from .ppm import ppm_scores
 from .simhash_dedup import simhash_groups
 
 
@@ -40,6 +41,10 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op7_ppm_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm_scores(_read(spark, sf_dir, "documents"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_read(spark, sf_dir, "documents"))
 
@@ -103,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op4_source_mixing": op4_source_mixing,
     "op5_chat_format": op5_chat_format,
+    "op7_ppm_lm_score": op7_ppm_lm_score,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
 }
 
