@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat_format import format_chats, read_content, read_role, read_turns, text_part, unescape
+from .decontaminate import find_contamination
+from .html_extract import extract_pages
+from .language_id import identify, train_text
 from .line_dedup import dedup_lines
 from .mixing import mix_sources
 from .ppm import ppm_scores
 from .simhash_dedup import simhash_groups
+from .toxicity import toxicity_scores, train
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +53,15 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_read(spark, sf_dir, "documents"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(_read(spark, sf_dir, "pages"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return toxicity_scores(docs, train(docs, _read(spark, sf_dir, "labels")))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_read(spark, sf_dir, "documents"))
 
@@ -104,12 +117,29 @@ FROM m GROUP BY conv_id
 """
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page by all four witnesses, and every document by its text and its source's prior."""
+    docs = _read(spark, sf_dir, "documents")
+    langs, table = train_text(docs)
+    pages = identify(_read(spark, sf_dir, "pages"), langs, table, "page_id", "html", "url")
+    texts = identify(docs.withColumn("address", F.lit(None).cast("string")), langs, table, "doc_id", "text", "address", host="source", markup=False)
+    return texts.unionByName(pages, allowMissingColumns=True)
+
+
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_html_extraction": op2_html_extraction,
+    "op3_toxicity": op3_toxicity,
     "op4_source_mixing": op4_source_mixing,
     "op5_chat_format": op5_chat_format,
     "op7_ppm_lm_score": op7_ppm_lm_score,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op9_language_id": op9_language_id,
+    "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {
