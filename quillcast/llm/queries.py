@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .chat_format import format_chats, read_content, read_role, read_turns, text_part, unescape
 from .decontaminate import find_contamination
+from .embedding_dedup import near_vectors
 from .html_extract import extract_pages
 from .language_id import identify, train_text
 from .line_dedup import dedup_lines
@@ -45,6 +46,10 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_read(spark, sf_dir, "embeddings"))
+
+
 def op7_ppm_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm_scores(_read(spark, sf_dir, "documents"))
 
@@ -136,6 +141,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_source_mixing": op4_source_mixing,
     "op5_chat_format": op5_chat_format,
+    "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_ppm_lm_score": op7_ppm_lm_score,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_language_id": op9_language_id,
