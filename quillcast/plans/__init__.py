@@ -1,0 +1,4 @@
+"""The registered queries of the library."""
+
+from . import corpus, forecasts  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES  # noqa: F401
