@@ -18,7 +18,7 @@ def duck(sf_dir):
 
 def normal(rows, columns):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
-    cell = lambda v: None if v is None else f"{float(v):.5f}" if isinstance(v, (int, float)) else str(v)
+    cell = lambda v: None if v is None else f"{round(float(v), 5) + 0.0:.5f}" if isinstance(v, (int, float)) else str(v)
     return sorted((tuple(cell(r[i]) for i in order) for r in rows), key=str)
 
 
