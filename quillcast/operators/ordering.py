@@ -5,16 +5,20 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir; where it is unset, as in tests, one of our own."""
+    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Write once to the shared folder named in spark.checkpoint.dir and read back."""
+    """Write once to the shared folder and read back."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
-    path = f"{base}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -36,6 +40,13 @@ def keep_first(df: DataFrame, keys: list[str], *order: Column | str) -> DataFram
     return best.select(*keys, "best.row.*").select(*df.columns)
 
 
+def keep_last(df: DataFrame, key: str, *order: Column | str) -> DataFrame:
+    """The last row of each key, nulls first in order; combined before its shuffle like keep_first."""
+    cols = [c for c in df.columns if c != key]
+    packed = F.struct(*[(F.col(o) if isinstance(o, str) else o).alias(f"o{i}") for i, o in enumerate(order)], F.struct(*cols).alias("row"))
+    return df.groupBy(key).agg(F.max(packed).alias("best")).select(key, "best.row.*").select(*df.columns)
+
+
 def keep_latest(df: DataFrame, key: str, date: str, seq: str) -> DataFrame:
     """The row of each key with the greatest date; null dates lose, ties keep the smallest seq. Null keys go."""
     rank = F.row_number().over(W.partitionBy(key).orderBy(F.col(date).desc_nulls_last(), seq))
