@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ordering import row_index
+
 
 def bm25(docs: DataFrame, questions: DataFrame, question: str, k: int, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
     """docs (doc, terms), questions (question, terms): the k best documents of each question, ties by document.
@@ -37,11 +39,10 @@ def knn(queries: DataFrame, vectors: DataFrame, vec_id: str, embedding: str, k:
     Queries go through in blocks of a fixed size; each task keeps the k best of
     its own rows for each query, so that only k rows a query and task move.
     """
-    asked = queries.select(vec_id, F.col(embedding).cast("array<double>").alias("v"))
-    ids = sorted(r[0] for r in asked.select(vec_id).distinct().toLocalIterator())
+    asked = row_index(queries.select(vec_id, F.col(embedding).cast("array<double>").alias("v")).where("v is not null"), vec_id)
     out = None
-    for at in range(0, len(ids), block):
-        part = {r[0]: r[1] for r in asked.where(F.col(vec_id).between(ids[at], ids[min(len(ids), at + block) - 1])).collect()}
+    for at in range(0, asked.count(), block):
+        part = {r[0]: r[1] for r in asked.where(F.col("idx").between(at, at + block - 1)).select(vec_id, "v").collect()}
         names = np.array(sorted(part), np.int64)
         q = np.array([part[i] for i in names])
         q = q / np.linalg.norm(q, axis=1, keepdims=True)
@@ -65,3 +66,47 @@ def knn(queries: DataFrame, vectors: DataFrame, vec_id: str, embedding: str, k:
         return vectors.sparkSession.createDataFrame([], "q long, d long, s double")
     rank = F.row_number().over(W.partitionBy("q").orderBy(F.desc("s"), "d"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
+
+
+def knn_as_of(near: DataFrame, passages: DataFrame, docs: DataFrame, cutoffs: DataFrame, days: int, k: int) -> DataFrame:
+    """(q, doc, rank, s): the neighbours near (q, d, s) as documents dated strictly before their question's cutoff less days.
+
+    passages (d, doc), docs (doc, date in seconds), cutoffs (q, cutoff). The date
+    is tested after the search, so fewer than k documents may remain. A document
+    counts once, by its best passage; passages without a document are left out.
+    """
+    joined = near.join(passages, "d").join(docs, "doc").join(cutoffs, "q").where(F.col("date") < F.col("cutoff") - days * 86400)
+    best = joined.groupBy("q", "doc").agg(F.min(F.struct((-F.col("s")).alias("s"), "d")).alias("b"))
+    rank = F.row_number().over(W.partitionBy("q").orderBy("b.s", "b.d"))
+    return best.select("q", "doc", rank.alias("rank"), (-F.col("b.s")).alias("s")).where(F.col("rank") <= k)
+
+
+def yes_share(yes: Column, no: Column, missing: float = -10.0) -> Column:
+    """exp(yes) / (exp(yes) + exp(no)) of two logits; a missing one counts as -10."""
+    return 1 / (1 + F.exp(F.coalesce(no, F.lit(missing)) - F.coalesce(yes, F.lit(missing))))
+
+
+def verdict_probability(log_yes: Column, log_no: Column) -> Column:
+    """p1 / (p1 + p0) from log probabilities, to three places; an absent side counts as 0."""
+    one, zero = F.coalesce(F.exp(log_yes), F.lit(0.0)), F.coalesce(F.exp(log_no), F.lit(0.0))
+    return F.round(one / F.nullif(one + zero, F.lit(0.0)), 3)
+
+
+def fresh_cutoffs(questions: DataFrame, cutoff: str, days: int) -> DataFrame:
+    """Adds index_cutoff: the first day of the fixed bucket of so many days, shared by the questions that may use one index.
+
+    With 0 days each cutoff stands for itself. Buckets depend on the date alone, not on the order of questions.
+    """
+    day = F.datediff(F.to_date(cutoff), F.lit("1970-01-01"))
+    start = F.to_date(cutoff) if days == 0 else F.date_add(F.lit("1970-01-01").cast("date"), (F.floor(day / days) * days).cast("int"))
+    return questions.withColumn("index_cutoff", start)
+
+
+def compare_runs(first: DataFrame, second: DataFrame) -> DataFrame:
+    """first (q, u, a) and second (q, u, b), ranks of items: overlap, items of one side alone and the mean shift of common ranks (0 without any)."""
+    both = first.join(second, ["q", "u"], "full")
+    a, b = F.col("a"), F.col("b")
+    return both.groupBy("q").agg(
+        F.count_if(a.isNotNull() & b.isNotNull()).alias("overlap"), F.count_if(b.isNull()).alias("only_first"), F.count_if(a.isNull()).alias("only_second"),
+        F.coalesce(F.avg(F.abs(a - b)), F.lit(0.0)).alias("shift"),
+    )

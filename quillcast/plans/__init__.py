@@ -1,4 +1,4 @@
 """The registered queries of the library."""
 
-from . import articles, corpus, forecasts, stored  # noqa: F401
+from . import articles, batches, corpus, forecasts, stored  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401
