@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import strip
+
 # Month names and the forms that a strict list of formats accepts.
 MONTHS = "january february march april may june july august september october november december".split()
 STAMP_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "MM/dd/yyyy", "dd/MM/yyyy", "MMMM d, yyyy")
@@ -15,7 +17,7 @@ STAMP_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "
 
 def parse_stamp(text: Column, formats: tuple[str, ...] = STAMP_FORMATS) -> Column:
     """The time without zone by the first format that reads the text whole; null if none does."""
-    plain = F.regexp_replace(F.trim(text), r"(\.\d+)?([+-]\d{2}:?\d{2}|Z)?$", "")
+    plain = F.regexp_replace(strip(text), r"(\.\d+)?([+-]\d{2}:?\d{2}|Z)?$", "")
     return F.coalesce(*[F.try_to_timestamp(F.when(plain.rlike(_shape(f)), plain), F.lit(f)).cast("timestamp_ntz") for f in formats])
 
 
@@ -45,7 +47,7 @@ def normal_date(text: Column) -> Column:
         whole(pick(us, 3), month_number(pick(us, 1)), pick(us, 2)),
         whole(pick(eu, 3), month_number(pick(eu, 2)), pick(eu, 1)),
         F.when(month_number(pick(my, 1)).isNotNull(), F.concat_ws("-", pick(my, 2), month_number(pick(my, 1)))),
-        F.trim(t),
+        strip(t),
     )
     return F.when(F.coalesce(text, F.lit("")) == "", "").when(t.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), t).when(t.rlike(slash), swap(slash)).when(t.rlike(dots), swap(dots)).otherwise(words)
 
@@ -61,7 +63,7 @@ def last_date(publish: Column, modify: Column, download: Column, keep_publish: C
 
 
 def word_count(*texts: Column) -> Column:
-    return reduce(lambda a, b: a + b, [F.size(F.filter(F.split(F.trim(F.coalesce(t, F.lit(""))), r"(?U)\s+"), lambda w: w != "")) for t in texts])
+    return reduce(lambda a, b: a + b, [F.size(F.filter(F.split(strip(F.coalesce(t, F.lit(""))), r"(?U)\s+"), lambda w: w != "")) for t in texts])
 
 
 def is_relevant(question: Column, article: Column, no_good: Column) -> Column:
@@ -86,7 +88,7 @@ def resolution_of_answer(answer: Column) -> Column:
 
 def assembled(*parts: Column) -> Column:
     """Parts that are not blank, joined by line ends; pairs of line ends are halved in one pass."""
-    kept = F.filter(F.array(*[F.coalesce(p, F.lit("")) for p in parts]), lambda p: F.trim(p) != "")
+    kept = F.filter(F.array(*[F.coalesce(p, F.lit("")) for p in parts]), lambda p: strip(p) != "")
     return F.replace(F.array_join(kept, "\n"), F.lit("\n\n"), F.lit("\n"))
 
 
@@ -98,15 +100,15 @@ def start_before(start: Column, resolution: Column, days: int = 1) -> Column:
 def cut_start_date(background: Column) -> tuple[Column, Column]:
     """(date sentence, text without it): from 'Question Start Date:' to the first full stop after the first four digits, which stays."""
     pattern = r"(?s)Question Start Date:(.*?\d{4}[^.]*)"
-    return F.trim(F.regexp_extract(background, pattern, 1)), F.regexp_replace(background, pattern, "")
+    return strip(F.regexp_extract(background, pattern, 1)), F.regexp_replace(background, pattern, "")
 
 
 def components_of(flat: dict[str, Column], text: Column, tags: dict[str, str]) -> dict[str, Column]:
     """Each component from its flat field if that is not blank, else from its tag in the text."""
     from .text import last_tag
 
-    return {name: F.coalesce(F.when(F.trim(value) != "", value), last_tag(text, tags[name])) for name, value in flat.items()}
+    return {name: F.coalesce(F.when(strip(value) != "", value), last_tag(text, tags[name])) for name, value in flat.items()}
 
 
 def components_present(parts: list[Column], least: int = 5) -> Column:
-    return reduce(lambda a, b: a + b, [F.when(F.trim(F.coalesce(p, F.lit(""))) != "", 1).otherwise(0) for p in parts]) >= least
+    return reduce(lambda a, b: a + b, [F.when(strip(F.coalesce(p, F.lit(""))) != "", 1).otherwise(0) for p in parts]) >= least

@@ -5,18 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import strip
+
 
 def epoch_seconds(text: Column) -> Column:
     """Seconds from a number (over 1e12: milliseconds) or an ISO date; naive is UTC; else null."""
     n = text.try_cast("double")
     number = F.when(F.abs(n) > 1e12, n / 1000).otherwise(n).cast("long")
-    stamp = F.unix_timestamp(F.try_to_timestamp(F.regexp_replace(F.trim(text), "[Zz]$", "+00:00")))
+    stamp = F.unix_timestamp(F.try_to_timestamp(F.regexp_replace(strip(text), "[Zz]$", "+00:00")))
     return F.when(n.isNotNull(), number).otherwise(stamp)
 
 
 def question_seconds(text: Column) -> Column:
     """As epoch_seconds, with UNKNOWN as null."""
-    return F.when(F.upper(F.trim(text)) == "UNKNOWN", F.lit(None)).otherwise(epoch_seconds(text))
+    return F.when(F.upper(strip(text)) == "UNKNOWN", F.lit(None)).otherwise(epoch_seconds(text))
 
 
 def strict_date(text: Column) -> Column:

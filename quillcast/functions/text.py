@@ -6,11 +6,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: All characters that count as white space, line ends and wide spaces included.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def strip(text: Column) -> Column:
+    """The text without white space at its ends; F.trim takes off blanks alone."""
+    return F.btrim(text, F.lit(SPACES))
+
+
 def last_tag(text: Column, tag: str) -> Column:
     """What stands in the last <tag>, up to the first </tag> after it, trimmed; '' if there is none."""
     after = F.substring_index(text, f"<{tag}>", -1)
     found = text.contains(f"<{tag}>") & after.contains(f"</{tag}>")
-    return F.when(found, F.trim(F.substring_index(after, f"</{tag}>", 1))).otherwise("")
+    return F.when(found, strip(F.substring_index(after, f"</{tag}>", 1))).otherwise("")
 
 
 def after_thinking(text: Column) -> Column:
@@ -23,11 +32,11 @@ def last_match(text: Column, pattern: str) -> Column:
 
 
 def answer_of(text: Column) -> Column:
-    return F.trim(last_match(after_thinking(text), r"(?s)<answer>(.*?)</answer>"))
+    return strip(last_match(after_thinking(text), r"(?s)<answer>(.*?)</answer>"))
 
 
 def probability_of(text: Column) -> Column:
-    return F.trim(last_match(after_thinking(text), r"(?s)<probability>(.*?)</probability>")).try_cast("double")
+    return strip(last_match(after_thinking(text), r"(?s)<probability>(.*?)</probability>")).try_cast("double")
 
 
 def boxed(text: Column) -> Column:
@@ -41,13 +50,13 @@ def verdict(text: Column) -> Column:
 
 
 def strip_thinking(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"(?s)<think>.*?</think>", ""), r"\s+", " "))
+    return strip(F.regexp_replace(F.regexp_replace(text, r"(?s)<think>.*?</think>", ""), r"\s+", " "))
 
 
 def normal_answer(text: Column) -> Column:
     """Lower case, without ASCII punctuation and articles, spaces squeezed: in this order."""
     t = F.regexp_replace(F.lower(text), r"[!-/:-@\[-`{-~]", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r"\b(a|an|the)\b", " "), r"\s+", " "))
+    return strip(F.regexp_replace(F.regexp_replace(t, r"\b(a|an|the)\b", " "), r"\s+", " "))
 
 
 def last_number(text: Column) -> Column:
@@ -75,7 +84,7 @@ def domain_of(url: Column) -> Column:
 
 def leaks(answer: Column, *components: Column) -> Column:
     """Whether the trimmed answer occurs in a component, case aside; rows without an answer do not leak."""
-    a = F.lower(F.trim(answer))
+    a = F.lower(strip(answer))
     held = F.lit(False)
     for c in components:
         held = held | F.coalesce(F.lower(c).contains(a), F.lit(False))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
+
 
 def option_term(p: Column, correct: Column) -> Column:
     return F.when(correct == 1, -((1 - p) ** 2)).otherwise(-(p**2))
@@ -34,7 +36,7 @@ def pass_at_k(attempts: DataFrame, question: str, order: str, score: str, ks: tu
 
 def majority(votes: DataFrame, question: str, answer: str, order: str) -> DataFrame:
     """The most frequent answer, case and outer spaces aside; the first seen wins ties."""
-    a = votes.withColumn("a", F.lower(F.trim(answer))).groupBy(question, "a").agg(F.count("*").alias("n"), F.min(order).alias("first"))
+    a = votes.withColumn("a", F.lower(strip(answer))).groupBy(question, "a").agg(F.count("*").alias("n"), F.min(order).alias("first"))
     best = a.groupBy(question).agg(F.min(F.struct((-F.col("n")).alias("n"), "first", "a")).alias("b"))
     return best.select(question, F.col("b.a").alias("answer"), (-F.col("b.n")).alias("votes"))
 

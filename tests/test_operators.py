@@ -16,6 +16,10 @@ def test_text_functions(spark):
     assert len(one(spark, X.word_windows(F.lit(" ".join(map(str, range(1000))))))[0]) == 3
 
 
+def test_line_ends_are_stripped(spark):
+    assert one(spark, X.last_tag(F.lit("<a>\n x\u00a0\n</a>"), "a"), X.answer_of(F.lit("<answer>\tb\n</answer>"))) == ["x", "b"]
+
+
 def test_dates(spark):
     assert one(spark, *[D.epoch_seconds(F.lit(t)) for t in ("1700000000", "1700000000000", "1970-01-02T00:00:00Z", "nope")]) == [1700000000, 1700000000, 86400, None]
     assert one(spark, D.question_seconds(F.lit("unknown")), D.strict_date(F.lit("2024-3-5")), D.strict_date(F.lit("2024-13-05"))) == [None, None, None]
