@@ -71,3 +71,87 @@ def gae(rewards: Column, values: Column, gamma: float, lam: float) -> Column:
     zero = F.struct(F.array().cast("array<double>").alias("out"), F.lit(0.0).alias("adv"), F.lit(0.0).alias("next"))
     pairs = F.reverse(F.zip_with(rewards, values, lambda r, v: F.struct(r.cast("double").alias("r"), v.cast("double").alias("v"))))
     return F.aggregate(pairs, zero, step)["out"]
+
+
+def whiten(df: DataFrame, value: str, mask: str, shift_mean: bool = True) -> DataFrame:
+    """value less the masked mean, over the masked deviation; one aggregation over the batch, joined as one row."""
+    s = masked_stats(df, value, mask).select(F.col("mean").alias("__mean"), F.col("var").alias("__var"))
+    out = (F.col(value) - F.col("__mean")) / F.sqrt(F.col("__var") + 1e-8)
+    joined = df.join(F.broadcast(s))  # a single row
+    return joined.withColumn(value, out if shift_mean else out + F.col("__mean")).drop("__mean", "__var")
+
+
+def baseline(df: DataFrame, uid: str, score: str) -> DataFrame:
+    """The score less its group's mean; groups of one have the baseline 0."""
+    return grpo(df, uid, score, scale=False)
+
+
+def gpg(df: DataFrame, uid: str, score: str, scale: float = 1.0) -> DataFrame:
+    """The baseline's advantage times rows over rows with a score other than 0."""
+    total = df.agg((F.count("*") / F.greatest(F.count_if(F.col(score) != 0), F.lit(1))).alias("__alpha"))
+    return baseline(df, uid, score).join(F.broadcast(total)).withColumn("advantage", F.col("advantage") * F.col("__alpha") / scale).drop("__alpha")
+
+
+def penalised(reward: Column, divergence: Column, coefficient: float) -> Column:
+    return reward - coefficient * divergence
+
+
+def next_coefficient(coefficient: float, divergence: float, target: float, steps: int, horizon: int) -> float:
+    """The coefficient after a batch: moved in proportion to the error, of which at most a fifth counts."""
+    error = min(max(divergence / target - 1, -0.2), 0.2)
+    return coefficient * (1 + error * steps / horizon)
+
+
+def aggregate_loss(tokens: DataFrame, seq: str, loss: str, mask: str, mode: str, width: int = 1) -> DataFrame:
+    """One number over masked tokens: token-mean, seq-mean-token-sum, seq-mean-token-mean or seq-mean-token-sum-norm (sum over width)."""
+    x, m = F.col(loss) * F.col(mask), F.col(mask)
+    if mode == "token-mean":
+        return tokens.agg((F.sum(x) / F.sum(m)).alias("loss"))
+    each = tokens.groupBy(seq).agg(F.sum(x).alias("__x"), F.sum(m).alias("__n"))
+    total = {"seq-mean-token-sum": F.avg("__x"), "seq-mean-token-mean": F.avg(F.col("__x") / F.nullif(F.col("__n"), F.lit(0))), "seq-mean-token-sum-norm": F.sum("__x") / width}
+    return each.agg(total[mode].alias("loss"))
+
+
+def sequence_ratio(tokens: DataFrame, seq: str, logp: str, old: str, adv: str, mask: str, width: float = 0.2) -> DataFrame:
+    """The clipped loss of each sequence by its geometric mean ratio, with the masked mean advantage."""
+    m = F.col(mask)
+    each = tokens.groupBy(seq).agg((F.sum((F.col(logp) - F.col(old)) * m) / F.greatest(F.sum(m), F.lit(1))).alias("d"), (F.sum(F.col(adv) * m) / F.greatest(F.sum(m), F.lit(1))).alias("a"))
+    ratio = F.exp(F.least("d", F.lit(10.0)))
+    return each.select(seq, F.greatest(-F.col("a") * ratio, -F.col("a") * F.least(F.greatest(ratio, F.lit(1 - width)), F.lit(1 + width))).alias("loss"))
+
+
+def bootstrap(df: DataFrame, group: str, value: str, draws: int, seed: int = 0) -> DataFrame:
+    """Mean and deviation of resampled means of each group: every row gets a Poisson weight in each draw, so nothing is joined or collected.
+
+    Weights come from a hash of seed, draw, group and value position columns, so a rerun agrees.
+    """
+    u = lambda b: (F.xxhash64(F.lit(seed), F.lit(b), *[F.col(c) for c in df.columns]) / F.lit(2.0**64) + 0.5)
+    cuts = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
+    weight = lambda b: sum(F.when(u(b) > c, 1).otherwise(0) for c in cuts)
+    sums = [x for b in range(draws) for x in (F.sum(weight(b) * F.col(value)).alias(f"s{b}"), F.sum(weight(b)).alias(f"w{b}"))]
+    means = F.array_compact(F.array(*[F.col(f"s{b}") / F.nullif(F.col(f"w{b}"), F.lit(0)) for b in range(draws)]))
+    each = df.groupBy(group).agg(*sums).select(group, F.explode(means).alias("m"))
+    return each.groupBy(group).agg(F.avg("m").alias("mean"), F.coalesce(F.stddev_pop("m"), F.lit(0.0)).alias("std"))
+
+
+def resampled(df: DataFrame, key: str, score: str, power: float = 1.0, seed: int = 0) -> DataFrame:
+    """(key, taken): how often each row is drawn when as many rows are drawn with weights |score| to a power.
+
+    Systematic draws: the running weight is cut at n equal steps from a hashed
+    start, by ranges of a hash of the key, so no row set meets in one task.
+    """
+    from .ordering import row_index
+
+    w = df.select(key, (F.abs(F.col(score)) ** power).alias("w"))
+    n, total = w.agg(F.count("*"), F.sum("w")).first()
+    if not n or not total:
+        return w.select(key, F.lit(1 if n else 0).cast("long").alias("taken"))
+    ranked = row_index(w.withColumn("h", F.xxhash64(F.lit(seed), F.col(key))), "h", key)
+    block = F.floor(F.col("idx") / (1 << 16))
+    per = ranked.groupBy(block.alias("__b")).agg(F.sum("w").alias("__w"))
+    before = per.select("__b", (F.sum("__w").over(W.orderBy("__b")) - F.col("__w")).alias("__before"))
+    own = F.sum("w").over(W.partitionBy("__b").orderBy("idx"))
+    end = F.col("__before") + F.col("__own")
+    joined = ranked.withColumn("__b", block).withColumn("__own", own).join(before, "__b")
+    steps = lambda x: F.ceil(x * F.lit(n / total) - 0.5)
+    return joined.select(key, F.greatest(steps(end) - steps(end - F.col("w")), F.lit(0)).cast("long").alias("taken"))

@@ -24,7 +24,8 @@ def pad_to_multiple(df: DataFrame, size: int, *order: str) -> DataFrame:
     n = indexed.count()
     lack = -n % size if n else 0
     turns = F.floor((F.lit(n + lack - 1) - F.col("idx")) / max(n, 1))  # how often the row comes again
-    return indexed.withColumn("idx", F.explode(F.sequence(F.lit(0).cast("long"), turns.cast("long"))) * n + F.col("idx"))
+    turn = F.explode(F.sequence(F.lit(0).cast("long"), turns.cast("long"))).alias("__turn")
+    return indexed.select("*", turn).withColumn("idx", F.col("__turn") * n + F.col("idx")).drop("__turn")
 
 
 def unpad(df: DataFrame, n: int) -> DataFrame:

@@ -58,3 +58,95 @@ def best_constant(df: DataFrame, y: str) -> DataFrame:
 def freeform_reward(p: Column, correct: Column) -> Column:
     """1 - (1-p)^2 or -p^2; -1 if unparsable, which 0 counts as."""
     return F.when(p.isNull() | (p == 0) | (p < -0.1) | (p > 1.1), F.lit(-1.0)).when(correct == 1, 1 - (1 - p) ** 2).otherwise(-(p**2))
+
+
+def choice_term(p: Column, option: Column, answer: Column) -> Column:
+    """The option's term where the option equals the answer; null for p outside [0, 1]."""
+    return F.when(p.between(0, 1), option_term(p, (option == answer).cast("int")))
+
+
+def change_grid(pairs: DataFrame, old: str, new: str, bins: int) -> DataFrame:
+    """(x, y, share): the share in per cent of all pairs in each cell of [-1, 1] squared; the last bins are closed, and pairs outside count in the whole alone."""
+    place = lambda c: F.least(F.floor((F.col(c) + 1) / 2 * bins), F.lit(bins - 1)).cast("int")
+    inside = F.col(old).between(-1, 1) & F.col(new).between(-1, 1)
+    cells = pairs.groupBy(F.when(inside, place(old)).alias("x"), F.when(inside, place(new)).alias("y")).agg(F.count("*").alias("n"))
+    whole = F.sum("n").over(W.partitionBy())  # at most bins * bins + 1 rows
+    return cells.withColumn("share", F.col("n") * 100 / whole).where("x IS NOT NULL").select("x", "y", "share")
+
+
+def outcome(resolution: Column, answer: Column) -> Column:
+    """1 or 0 from a resolution of 1, else from yes or no in the answer's text, else from the resolution; null if that is no outcome."""
+    a = F.lower(answer)
+    read = F.when(F.coalesce(a, F.lit("")) == "", F.when(resolution.isin(0, 1), resolution)).when(a.contains("yes"), 1).when(a.contains("no"), 0)
+    return F.when(resolution == 1, 1).otherwise(read).cast("int")
+
+
+def answered_binary(answer: Column, p: Column, actual: Column) -> dict[str, Column]:
+    """Scores of a named answer: p below a half is turned round; a wrong answer costs p squared, a missing one (or p of 0) a quarter."""
+    a, q = F.lower(strip(answer)), F.when(p < 0.5, 1 - p).otherwise(p)
+    given = (F.coalesce(answer, F.lit("")) != "") & (F.coalesce(p, F.lit(0.0)) != 0)
+    right = a == F.when(actual == 1, "yes").otherwise("no")
+    abstains = given & (a == "unknown")
+    return {
+        "brier": F.when(given, F.when(right, (1 - q) ** 2).otherwise(q**2)).otherwise(0.25),
+        "accuracy": F.when(given & right, 1).otherwise(0),
+        "abstained": abstains.cast("int"),
+        "even": (abstains & q.between(0.499, 0.501)).cast("int"),
+    }
+
+
+# Spellings of the two outcomes.
+YES, NO = ("yes", "y", "true", "1"), ("no", "n", "false", "0")
+
+
+def levelled_score(level: Column, predicted: Column, p: Column, truth: Column) -> Column:
+    """Levels up to 3: the Brier term of an answer (yes and no by their spellings, else one text in the other); level 4: max(0, 1 - |e - g| / g)."""
+    a, t = F.lower(strip(predicted)), F.lower(strip(truth))
+    right = F.when(t.isin(*YES), a.isin(*YES)).when(t.isin(*NO), a.isin(*NO)).otherwise(a.contains(t) | t.contains(a))
+    guess, true = predicted.try_cast("double"), truth.try_cast("double")
+    return F.when(level <= 3, option_term(p, right.cast("int"))).otherwise(F.greatest(F.lit(0.0), 1 - F.abs(guess - true) / F.nullif(true, F.lit(0.0))))
+
+
+def late_resolution(answers: DataFrame, question: str, right: str, date: str, resolution: str) -> DataFrame:
+    """Questions of which half the generations or more are right: the least date among the right ones, and whether the resolution is at most a day after it. Dates in seconds."""
+    g = answers.groupBy(question).agg(F.count("*").alias("n"), F.sum(right).alias("k"), F.min(F.when(F.col(right) == 1, F.col(date))).alias("median_date"), F.max(resolution).alias("__r"))
+    return g.where(F.col("k") * 2 >= F.col("n")).select(question, "median_date", (F.col("__r") <= F.col("median_date") + 86400).alias("in_time"))
+
+
+def binary_reward(p: Column, correct: Column) -> Column:
+    """The Brier score, negative; -1.25 if unparsable, which 0 counts as."""
+    bad = p.isNull() | (p == 0) | ~p.between(-0.1, 1.1)
+    return F.when(bad, -1.25).otherwise(option_term(p, correct))
+
+
+def by_source(source: Column, rewards: dict[int | str, Column]) -> Column:
+    """The reward of the row's source; null for other sources."""
+    out = F.lit(None).cast("double")
+    for name, reward in rewards.items():
+        out = F.when(source == name, reward).otherwise(out)
+    return out
+
+
+def _last_answer(text: Column) -> Column:
+    from ..functions.text import last_match, normal_answer
+
+    return normal_answer(last_match(text, r"(?s)<answer>(.*?)</answer>"))
+
+
+def exact_match(text: Column, target: Column) -> Column:
+    """1 if the last answer equals the target, both normalised; a quarter with more than ten opening or closing tags."""
+    from ..functions.text import normal_answer
+
+    tags = F.greatest(F.size(F.split(text, "<answer>")), F.size(F.split(text, "</answer>"))) - 1
+    return F.when(F.coalesce(_last_answer(text) == normal_answer(target), F.lit(False)), F.when(tags > 10, 0.25).otherwise(1.0)).otherwise(0.0)
+
+
+def contains_match(text: Column, target: Column) -> Column:
+    from ..functions.text import normal_answer
+
+    return F.coalesce(_last_answer(text).contains(normal_answer(target)), F.lit(False)).cast("int")
+
+
+def last_token_reward(reward: Column, valid: Column, length: Column) -> Column:
+    """An array of the given length: 0 but for the reward at the last valid token."""
+    return F.transform(F.sequence(F.lit(1), length), lambda i: F.when(i == valid, reward.cast("double")).otherwise(0.0))

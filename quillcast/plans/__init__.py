@@ -1,4 +1,4 @@
 """The registered queries of the library."""
 
-from . import articles, batches, corpus, forecasts, stored, tagged  # noqa: F401
+from . import articles, batches, corpus, forecasts, outcomes, stored, tagged  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401

@@ -1,8 +1,15 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from quillcast.functions import dates as D
 from quillcast.functions import text as X
+from quillcast.operators import balance as B
+from quillcast.operators import extension as E
 from quillcast.operators import groups as G
+from quillcast.operators import reshape as RS
+from quillcast.operators import retrieval as T
 from quillcast.operators import scoring as S
 
 
@@ -40,3 +47,70 @@ def test_groups_and_scores(spark):
     votes = spark.createDataFrame([(1, "B", 2), (1, "a ", 1), (1, "b", 4), (1, "A", 3)], "q int, a string, pos int")
     assert tuple(S.majority(votes, "q", "a", "pos").first()) == (1, "a", 2)
     assert one(spark, *[S.freeform_reward(F.lit(p), F.lit(c)) for p, c in ((0.5, 1), (0.5, 0), (0.0, 1))]) == [0.75, -0.25, -1.0]
+
+
+def spread(lengths, parts, k):
+    sums = [sum(n for n, p in zip(lengths, parts) if p == i) for i in range(k)]
+    return max(sums) - min(sums)
+
+
+def test_balanced_parts_are_complete_and_beat_greedy_ones():
+    r = random.Random(7)
+    for k in (1, 2, 5):
+        lengths = [r.randrange(1, 400) for _ in range(60)]
+        parts = B.differencing(lengths, k)
+        assert len(parts) == 60 and set(parts) == set(range(k)) and spread(lengths, parts, k) <= spread(lengths, B.greedy(lengths, k), k)
+        equal = B.differencing(lengths, k, equal=True)
+        assert sorted(equal) == [p for p in range(k) for _ in range(60 // k)]
+    assert B.differencing([], 3) == [] and B.differencing([5], 3) in ([0], [1], [2])
+    with pytest.raises(ValueError):
+        B.differencing([1, 2, 3], 2, equal=True)
+
+
+def test_micro_batches_hold_every_row_once(spark):
+    df = spark.createDataFrame([(i % 2, i, 1 + i * 7 % 90) for i in range(60)], "b int, id int, n int")
+    rows = B.micro_batches(df, "b", "id", "n", 300).collect()
+    assert sorted(r.id for r in rows) == list(range(60))
+    for b in (0, 1):
+        work = {}
+        for r in rows:
+            if r.b == b:
+                work[r.part] = work.get(r.part, 0) + r.n**2
+        assert list(sorted(work)) == list(range(-(-sum(r.n for r in rows if r.b == b) // 300)))
+        assert [work[p] for p in sorted(work)] == sorted(work.values(), reverse=True)
+
+
+def test_registry_and_engine(spark):
+    names = E.Registry()
+    f = names.register("one")(lambda x: x)
+    assert names.register("one")(f) is f
+    with pytest.raises(ValueError):
+        names.register("one")(lambda x: x + 1)
+    df = spark.createDataFrame([(1, "a"), (2, None)], "id int, p string")
+    assert {r.id: r.response for r in E.generate(df, "p", lambda ps: [p * 2 for p in ps]).collect()} == {1: "aa", 2: None}
+
+
+def test_resampling_and_bootstrap(spark):
+    df = spark.createDataFrame([(i, "g", float(i % 5)) for i in range(500)], "id int, g string, s double")
+    taken = {r.id: r.taken for r in G.resampled(df, "id", "s").collect()}
+    assert sum(taken.values()) == 500 and all(taken[i] == 0 for i in range(0, 500, 5))
+    assert abs(sum(taken[i] for i in range(4, 500, 5)) - 200) <= 2
+    b = G.bootstrap(df, "g", "s", 40).first()
+    assert abs(b.mean - 2) < 0.05 and 0.02 < b.std < 0.15
+    assert G.next_coefficient(0.1, 2.0, 1.0, 10, 100) == pytest.approx(0.102)
+
+
+def test_chunks_zip_and_free_ids(spark):
+    df = spark.createDataFrame([(i,) for i in range(10)], "id int")
+    with pytest.raises(ValueError):
+        RS.chunks(df, 3, "id")
+    assert sorted(r.idx for r in RS.pad_to_multiple(df, 4, "id").collect()) == list(range(12))
+    assert RS.pad_to_multiple(df.limit(0), 4, "id").count() == 0
+    nan = spark.createDataFrame([(1, float("nan")), (2, None)], "id int, x double")
+    assert RS.zip_equal(nan, nan, "id").count() == 2
+    with pytest.raises(Exception, match="column x differs"):
+        RS.zip_equal(nan, nan.fillna(1.0), "id").collect()
+    taken = spark.createDataFrame([(2,), (3,), (5,), (40,)], "t int")
+    new = sorted(r.new_id for r in RS.ids_beside(df, taken, "id").collect())
+    assert new == [1, 4, 6, 7, 8, 9, 10, 11, 12, 13]
+    assert one(spark, T.verdict_probability(F.lit(None).cast("double"), F.lit(0.0)), T.yes_share(F.lit(1.0), F.lit(1.0))) == [0.0, 0.5]
