@@ -85,7 +85,7 @@ def _(spark, sf):
     return g.agg(R(F.avg((F.col("p") - F.col("correct")) ** 2)).alias("brier"), F.count("*").alias("n")).where("n >= 5")
 
 
-@query("k1_freeform_reward", LONG + "SELECT event_id, round(CASE WHEN p = 0 OR p < -0.1 OR p > 1.1 THEN -1 WHEN c = 1 THEN 1 - (1-p)*(1-p) ELSE -p*p END, 6) AS reward FROM f")
+@query("k1_freeform_reward", LONG + "SELECT event_id, round(CASE WHEN p = 0 OR p < -0.1 OR p > 1.1 THEN -1 WHEN c = 1 THEN 1 - (1-p)*(1-p) ELSE -p*p END, 6) + 0.0::DOUBLE AS reward FROM f")
 def _(spark, sf):
     return long(spark, sf).select("event_id", R(S.freeform_reward(F.col("p"), F.col("correct"))).alias("reward"))
 

@@ -19,12 +19,12 @@ R = lambda c: F.round(c, 6)
 C = F.col
 
 
-@query("f1_option_terms", LONG + "SELECT event_id, round(CASE WHEN c = 1 THEN -(1-p)*(1-p) ELSE -p*p END, 6) AS term FROM f")
+@query("f1_option_terms", LONG + "SELECT event_id, round(CASE WHEN c = 1 THEN -(1-p)*(1-p) ELSE -p*p END, 6) + 0.0::DOUBLE AS term FROM f")
 def _(spark, sf):
     return long(spark, sf).select("event_id", R(S.option_term(C("p"), C("correct"))).alias("term"))
 
 
-@query("f5_choices", "SELECT event_id, round(CASE WHEN value / 400 > 1 THEN NULL WHEN event_type = 'view' THEN -((1 - value / 400) ** 2) ELSE -((value / 400) ** 2) END, 6) AS term FROM events")
+@query("f5_choices", "SELECT event_id, round(CASE WHEN value / 400 > 1 THEN NULL WHEN event_type = 'view' THEN -((1 - value / 400) ** 2) ELSE -((value / 400) ** 2) END, 6) + 0.0::DOUBLE AS term FROM events")
 def _(spark, sf):
     return read(spark, sf, "events").select("event_id", R(S.choice_term(C("value") / 400, C("event_type"), F.lit("view"))).alias("term"))
 
@@ -67,7 +67,7 @@ def _(spark, sf):
 
 @query(
     "f18_levels",
-    """SELECT event_id, round(CASE WHEN event_id % 4 + 1 <= 3 THEN CASE WHEN event_id % 2 = 0 THEN -((1 - value / 500) ** 2) ELSE -((value / 500) ** 2) END ELSE greatest(0, 1 - abs(value - 100) / 100) END, 6) AS score FROM events""",
+    """SELECT event_id, round(CASE WHEN event_id % 4 + 1 <= 3 THEN CASE WHEN event_id % 2 = 0 THEN -((1 - value / 500) ** 2) ELSE -((value / 500) ** 2) END ELSE greatest(0, 1 - abs(value - 100) / 100) END, 6) + 0.0::DOUBLE AS score FROM events""",
 )
 def _(spark, sf):
     level, even = C("event_id") % 4 + 1, C("event_id") % 2 == 0
@@ -140,18 +140,18 @@ def _(spark, sf):
     return read(spark, sf, "part").agg(R(F.avg(inner.contains(F.left("p_brand", F.lit(3))).cast("int"))).alias("accuracy"))
 
 
-@query("k2_binary_reward", LONG + "SELECT event_id, round(CASE WHEN p = 0 THEN -1.25 WHEN c = 1 THEN -((1 - p) ** 2) ELSE -(p ** 2) END, 6) AS reward FROM f")
+@query("k2_binary_reward", LONG + "SELECT event_id, round(CASE WHEN p = 0 THEN -1.25 WHEN c = 1 THEN -((1 - p) ** 2) ELSE -(p ** 2) END, 6) + 0.0::DOUBLE AS reward FROM f")
 def _(spark, sf):
     return long(spark, sf).select("event_id", R(S.binary_reward(C("p"), C("correct"))).alias("reward"))
 
 
-@query("k3_judged_reward", LONG + "SELECT event_id, round(CASE WHEN event_id % 2 = 1 THEN -((1 - p) ** 2) ELSE -(p ** 2) END, 6) AS reward FROM f")
+@query("k3_judged_reward", LONG + "SELECT event_id, round(CASE WHEN event_id % 2 = 1 THEN -((1 - p) ** 2) ELSE -(p ** 2) END, 6) + 0.0::DOUBLE AS reward FROM f")
 def _(spark, sf):
     judged = X.verdict(F.concat(F.lit("verdict 0, no: "), (C("event_id") % 2).cast("string")))
     return long(spark, sf).select("event_id", R(S.option_term(C("p"), judged)).alias("reward"))
 
 
-@query("k4_reward_by_source", LONG + "SELECT event_id, round(CASE g WHEN 0 THEN CASE WHEN p = 0 THEN -1.25 WHEN c = 1 THEN -((1 - p) ** 2) ELSE -(p ** 2) END WHEN 1 THEN CASE WHEN p = 0 THEN -1 WHEN c = 1 THEN 1 - (1 - p) ** 2 ELSE -(p ** 2) END END, 6) AS reward FROM f")
+@query("k4_reward_by_source", LONG + "SELECT event_id, round(CASE g WHEN 0 THEN CASE WHEN p = 0 THEN -1.25 WHEN c = 1 THEN -((1 - p) ** 2) ELSE -(p ** 2) END WHEN 1 THEN CASE WHEN p = 0 THEN -1 WHEN c = 1 THEN 1 - (1 - p) ** 2 ELSE -(p ** 2) END END, 6) + 0.0::DOUBLE AS reward FROM f")
 def _(spark, sf):
     kinds = {0: S.binary_reward(C("p"), C("correct")), 1: S.freeform_reward(C("p"), C("correct"))}
     return long(spark, sf).select("event_id", R(S.by_source(C("g"), kinds)).alias("reward"))
@@ -193,9 +193,9 @@ def _(spark, sf):
     return G.gpg(e, "user_id", "value").select("event_id", R("advantage").alias("advantage"))
 
 
-@query("g7_baseline", f"SELECT event_id, round({BASE}, 6) AS advantage FROM events")
+@query("g7_baseline", f"SELECT event_id, round({BASE}, 9) AS advantage FROM events")
 def _(spark, sf):
-    return G.baseline(read(spark, sf, "events").select("event_id", "user_id", "value"), "user_id", "value").select("event_id", R("advantage").alias("advantage"))
+    return G.baseline(read(spark, sf, "events").select("event_id", "user_id", "value"), "user_id", "value").select("event_id", F.round("advantage", 9).alias("advantage"))
 
 
 @query("g8_remax", "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id DESC ROWS UNBOUNDED PRECEDING) - 7, 4) AS advantage FROM events")
@@ -246,12 +246,12 @@ def _(spark, sf):
     return G.resampled(read(spark, sf, "events").select("event_id", "value"), "event_id", "value", 2.0).agg(F.sum("taken").alias("drawn"))
 
 
-@query("g19_clipped_losses", TOKENS + "SELECT event_id, round(loss, 6) AS loss, round(0.5 * greatest((lp - adv) ** 2, (least(greatest(lp, old - 0.1), old + 0.1) - adv) ** 2), 6) AS value FROM u")
+@query("g19_clipped_losses", TOKENS + "SELECT event_id, round(loss, 6) + 0.0::DOUBLE AS loss, round(0.5 * greatest((lp - adv) ** 2, (least(greatest(lp, old - 0.1), old + 0.1) - adv) ** 2), 6) AS value FROM u")
 def _(spark, sf):
     return tokens(spark, sf).select("event_id", R("loss").alias("loss"), R(Q.value_loss(C("lp"), C("old"), C("adv"), 0.1)).alias("value"))
 
 
-@query("g19b_sequence_losses", TOKENS + ", g AS (SELECT s, exp(least(sum((lp - old) * m) / greatest(sum(m), 1), 10)) AS r, sum(adv * m) / greatest(sum(m), 1) AS a FROM t GROUP BY s) SELECT s, round(greatest(-a * r, -a * least(greatest(r, 0.8), 1.2)), 6) AS loss FROM g")
+@query("g19b_sequence_losses", TOKENS + ", g AS (SELECT s, exp(least(sum((lp - old) * m) / greatest(sum(m), 1), 10)) AS r, sum(adv * m) / greatest(sum(m), 1) AS a FROM t GROUP BY s) SELECT s, round(greatest(-a * r, -a * least(greatest(r, 0.8), 1.2)), 6) + 0.0::DOUBLE AS loss FROM g")
 def _(spark, sf):
     return G.sequence_ratio(tokens(spark, sf), "s", "lp", "old", "adv", "m").withColumn("loss", R("loss"))
 
