@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import articles as A
+from ..functions import dates as D
 from ..functions import text as X
 from .registry import query, read
 
@@ -168,3 +169,23 @@ def _(spark, sf):
 @query("p27_overlong_prompts", r"SELECT conv_id, turn FROM conversations WHERE len(list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0b\f\r]+'), lambda w: w <> '')) <= 40")
 def _(spark, sf):
     return read(spark, sf, "conversations").where(F.size(X.words(F.col("text"))) <= 40).select("conv_id", "turn")
+
+
+@query("p2_question_seconds", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE epoch(date_trunc('day', o_orderdate))::BIGINT END AS s FROM orders")
+def _(spark, sf):
+    raw = F.when(F.col("o_orderkey") % 3 == 0, " unknown ").otherwise(F.date_format("d", "yyyy-MM-dd"))
+    return orders(spark, sf).select("o_orderkey", D.question_seconds(raw).alias("s"))
+
+
+@query("p8_max_date", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE strftime(o_orderdate + INTERVAL 9 DAY, '%Y-%m-%d') END AS d FROM orders")
+def _(spark, sf):
+    """Compared as strings; the date of publication is not looked at."""
+    later = F.when(F.col("o_orderkey") % 2 != 0, F.date_format(F.expr("d + INTERVAL 9 DAYS"), "yyyy-MM-dd")).otherwise("")
+    return orders(spark, sf).select("o_orderkey", D.latest_string(F.date_format("d", "yyyy-MM-dd"), later).alias("d"))
+
+
+@query("p11_latest_date", "SELECT l_orderkey, l_linenumber, strftime(greatest(l_shipdate, o_orderdate), '%Y-%m-%d %H:%M:%S') AS d FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+def _(spark, sf):
+    l = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", F.col("l_shipdate").cast("timestamp").alias("s"))  # noqa: E741
+    both = l.join(orders(spark, sf), "o_orderkey")
+    return both.select(F.col("o_orderkey").alias("l_orderkey"), "l_linenumber", F.date_format(F.greatest("s", "d"), "yyyy-MM-dd HH:mm:ss").alias("d"))

@@ -356,3 +356,22 @@ def _(spark, sf):
 @query("a19_throughput", "SELECT round(avg(n_chars), 6) AS mean, sum(n_chars)::BIGINT AS tokens, round(sum(n_chars) / (2.0 * 4), 6) AS rate FROM documents")
 def _(spark, sf):
     return read(spark, sf, "documents").agg(R(F.avg("n_chars")).alias("mean"), F.sum("n_chars").alias("tokens"), R(F.sum("n_chars") / 8.0).alias("rate"))
+
+
+@query("a2b_months_of_top_sources", "WITH t AS (SELECT user_id FROM events GROUP BY 1 ORDER BY count(*) DESC, user_id LIMIT 40) SELECT user_id, strftime(ts, '%Y-%m') AS ym, count(*) AS n FROM events WHERE user_id IN (SELECT user_id FROM t) GROUP BY 1, 2")
+def _(spark, sf):
+    g = read(spark, sf, "events").groupBy("user_id", F.date_format("ts", "yyyy-MM").alias("ym")).agg(F.count("*").alias("n"))
+    top = g.groupBy("user_id").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "user_id").limit(40).select("user_id")
+    return g.join(top, "user_id", "left_semi")
+
+
+@query("g14_bootstrap")
+def _(spark, sf):
+    """Random in its draws, alike in every run; tests hold it against the groups' own means."""
+    return G.bootstrap(read(spark, sf, "events").select("event_id", "event_type", "value"), "event_type", "value", 50)
+
+
+@query("b6_sampler_order", "SELECT doc_id, row_number() OVER (ORDER BY md5('1' || doc_id::VARCHAR), doc_id) - 1 AS place FROM documents")
+def _(spark, sf):
+    d = read(spark, sf, "documents").select("doc_id", F.md5(F.concat(F.lit("1"), C("doc_id").cast("string")).cast("binary")).alias("h"))
+    return O.row_index(d, "h", "doc_id", name="place").select("doc_id", "place")

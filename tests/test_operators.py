@@ -3,7 +3,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from quillcast import sources as IO
+from quillcast import streaming as ST
+from quillcast.functions import articles as A
 from quillcast.functions import dates as D
+from quillcast.functions import tagged as TG
 from quillcast.functions import text as X
 from quillcast.operators import balance as B
 from quillcast.operators import extension as E
@@ -114,3 +118,58 @@ def test_chunks_zip_and_free_ids(spark):
     new = sorted(r.new_id for r in RS.ids_beside(df, taken, "id").collect())
     assert new == [1, 4, 6, 7, 8, 9, 10, 11, 12, 13]
     assert one(spark, T.verdict_probability(F.lit(None).cast("double"), F.lit(0.0)), T.yes_share(F.lit(1.0), F.lit(1.0))) == [0.0, 0.5]
+
+
+def test_strict_lines_fail_and_lenient_lines_skip(spark, tmp_path):
+    path = tmp_path / "in.jsonl"
+    path.write_text('{"id": 1}\n\n# note\n{"id": 2}\n{"id": \n')
+    with pytest.raises(Exception, match="malformed line"):
+        IO.read_json_lines_strict(spark, str(path), "id int").collect()
+    path.write_text('{"id": 1}\n\n{"id": 2}\nnot json\n')
+    assert sorted(r.id for r in IO.read_json_lines(spark, str(path), "id int").collect()) == [1, 2]
+
+
+def test_file_per_record_and_document(spark, tmp_path):
+    for domain, name in (("a.com", "x"), ("a.com", "y"), ("b.com", "z")):
+        (tmp_path / domain).mkdir(exist_ok=True)
+        (tmp_path / domain / f"{name}.json").write_text('{"title": "t %s"}' % name)
+    rows = IO.read_file_per_record(spark, str(tmp_path), "title string", spark.createDataFrame([("y",)], "id string"))
+    assert sorted((r.id, r.domain, r.title) for r in rows.collect()) == [("x", "a.com", "t x"), ("z", "b.com", "t z")]
+    (tmp_path / "doc.json").write_text('[{"title": "a"}, {"title": "b"}]')
+    assert sorted(tuple(r) for r in IO.read_json_document(spark, str(tmp_path / "doc.json"), "title string").collect()) == [("0", "a"), ("1", "b")]
+
+
+def test_shards_hold_the_whole_digest(spark, tmp_path):
+    import hashlib
+
+    df = spark.createDataFrame([(f"k{i}", i) for i in range(40)], "k string, v int")
+    found = {r.k: r.s for r in df.select("k", IO.shard_of(F.col("k"), 7).alias("s")).collect()}
+    assert found == {k: int(hashlib.md5(k.encode()).hexdigest(), 16) % 7 for k in found}
+    IO.write_shards(df, str(tmp_path / "t"), "k", 7)
+    assert [r.v for r in IO.read_shard(spark, str(tmp_path / "t"), "k", "k9", 7).collect()] == [9]
+
+
+def test_upsert_keeps_the_last_change(spark):
+    old = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
+    new = spark.createDataFrame([(2, "x", 1), (2, "y", 2), (3, "z", 1)], "id int, v string, seq int")
+    assert sorted(tuple(r) for r in IO.upsert(old, new, "id", "seq").collect()) == [(1, "a"), (2, "y"), (3, "z")]
+    assert IO.upsert(old.limit(0), new.limit(0), "id", "seq").count() == 0
+
+
+def test_upsert_stream_over_two_arrivals(spark, tmp_path):
+    put = lambda n, *rows: spark.createDataFrame(rows, "id int, v string").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    versions = []
+    for n, rows in enumerate(([(1, "a"), (2, "b")], [(2, "c"), (3, "d")])):
+        put(n, *rows)
+        stream = ST.read_arrivals(spark, str(tmp_path / "in"), "id int, v string")
+        ST.upsert_stream(stream, str(tmp_path / "out"), str(tmp_path / "state"), "id", "v", then=versions.append).awaitTermination()
+    assert len(versions) == 2
+    assert sorted(tuple(r) for r in spark.read.parquet(versions[-1]).collect()) == [(1, "a"), (2, "c"), (3, "d")]
+
+
+def test_dates_in_words_and_examples(spark):
+    said = ("on March 10, 2024 onwards", "10th March 2024", "05/03/2024", "05.03.2024", "Mar 2024", "soon", "2024-1-5", "")
+    assert one(spark, *[A.normal_date(F.lit(t)) for t in said]) == ["2024-03-10", "2024-03-10", "2024-03-05", "2024-03-05", "2024-03", "soon", "2024-1-5", ""]
+    assert one(spark, A.parse_stamp(F.lit("03/25/2024")).cast("string"), A.parse_stamp(F.lit("25/03/2024")).cast("string"), A.parse_stamp(F.lit("2024"))) == ["2024-03-25 00:00:00", "2024-03-25 00:00:00", None]
+    assert one(spark, TG.without_examples(F.lit("Pick a fruit, e.g. Kiwi (green)."), F.lit("kiwi (green)")), TG.without_examples(F.lit("x"), F.lit(None))) == ["Pick a fruit.", "x"]
+    assert one(spark, TG.nested_box(F.lit(r"\boxed{a{b}c} \boxed{d")), TG.nested_box(F.lit(None).cast("string"))) == [None, None]
