@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .ordering import row_index
+from .ordering import materialise, row_index
 
 
 def bm25(docs: DataFrame, questions: DataFrame, question: str, k: int, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
@@ -21,7 +21,7 @@ def bm25(docs: DataFrame, questions: DataFrame, question: str, k: int, k1: float
     """
     sizes = docs.select("doc", F.size("terms").alias("dl")).where("dl > 0")
     n, mean_dl = sizes.agg(F.count("*"), F.avg("dl")).first()
-    seen = docs.select("doc", F.explode("terms").alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"))
+    seen = materialise(docs.select("doc", F.explode("terms").alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf")))  # read three times below
     raw = seen.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     floor = (raw.agg(F.avg("idf")).first()[0] or 0.0) * epsilon
     asked = questions.select(question, F.explode("terms").alias("term")).groupBy(question, "term").agg(F.count("*").alias("m"))
