@@ -5,8 +5,11 @@ most SAMPLE classes, and each class goes to the shards of its OVERLAP nearest
 ones. A shard links every member to DEGREE others: from its nearest members,
 those that no kept neighbour already leads to (robust pruning). The adjacency
 lists of a class from all its shards are united. Each member then searches from
-its shard's medoid: greedily with a beam, then through every neighbour within
-the range until no more are found. Links are verified by cosine in doubles.
+itself, its unit's medoid and one member of every part of the graph that the
+medoid's edges do not lead to: greedily with a beam, then through every
+neighbour within the range until no more are found. So every member can be
+reached, however many near vectors a group has. Links are verified by cosine in
+doubles.
 
 Only counts and a spanning forest leave a shard, never its pairs; a pair that
 several shards hold is counted in the first of them. A shard beyond BLOCK
@@ -74,21 +77,46 @@ def pruned_graph(sims: np.ndarray) -> list[np.ndarray]:
     return [near[i, kept[i]] for i in range(m)]
 
 
+def starts_of(sims: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
+    """The medoid, and the most central of the members not yet led to, until edges lead from these to every member."""
+    led, starts = np.zeros(len(sims), bool), []
+    for first in np.argsort(-sims.sum(1), kind="stable").tolist():
+        if led[first]:
+            continue
+        starts.append(first)
+        led[first], stack = True, [first]
+        while stack:
+            e = edges[stack.pop()]
+            new = e[~led[e]]
+            led[new] = True
+            stack.extend(new.tolist())
+    return np.array(starts, np.int64)
+
+
 def range_search(sims: np.ndarray, edges: list[np.ndarray], least: float) -> np.ndarray:
-    """found[i, j]: member i's search from the medoid reached j, and their cosine is at least least."""
+    """found[i, j]: member i's search from the starts reached j, and their cosine is at least least."""
     m = len(sims)
     width = max([1, *map(len, edges)])
     table = np.full((m, width), -1, np.int64)
     for i, e in enumerate(edges):
         table[i, : len(e)] = e
-    medoid = int(sims.sum(1).argmax())
+    starts = starts_of(sims, edges)
+    medoid = int(starts[0])
     seen = np.zeros((m, m), bool)
-    seen[:, medoid] = True
+    seen[:, starts] = True
     q = np.arange(m)
+    seen[q, q] = True
     beam = np.full((m, BEAM), -1, np.int64)
     score = np.full((m, BEAM), -np.inf)
     done = np.ones((m, BEAM), bool)
-    beam[:, 0], score[:, 0], done[:, 0] = medoid, sims[:, medoid], False
+    # a member itself leads to its own part: the other places of the beam go to the nearest starts
+    first = sims[:, starts].copy()
+    first[starts, np.arange(len(starts))] = -np.inf
+    held = min(BEAM - 1, len(starts))
+    nearest = np.argpartition(-first, held - 1, axis=1)[:, :held]
+    beam[:, 0], score[:, 0], done[:, 0] = q, sims[q, q], False
+    beam[:, 1 : held + 1], score[:, 1 : held + 1] = starts[nearest], np.take_along_axis(first, nearest, 1)
+    done[:, 1 : held + 1] = score[:, 1 : held + 1] == -np.inf
     while True:
         open_ = np.where(done, -np.inf, score)
         best = open_.argmax(1)

@@ -1,7 +1,7 @@
 import numpy as np
 
 from quillcast.llm import embedding_dedup
-from quillcast.llm.embedding_dedup import audit_recall, near_vectors
+from quillcast.llm.embedding_dedup import audit_recall, near_vectors, pruned_graph, range_search
 
 
 def brute(ids, x, least=0.95):
@@ -60,3 +60,35 @@ def test_odd_rows(spark):
     got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in near_vectors(df).collect()), key=str)
     assert got == sorted([(1, 4, 1, True), (2, 4, 1, False), (3, 4, 1, False), (3, 4, 1, False), (11, 4, 1, False), (None, 0, None, False), *[(i, 0, i, True) for i in range(4, 11)]], key=str)
     assert near_vectors(df.limit(0)).collect() == []
+
+
+def grouped(sizes, lone, seed=3, d=32):
+    """Vectors of groups of each size, then pairs of near vectors; and the group of each row."""
+    rng = np.random.default_rng(seed)
+    x = [c + rng.normal(size=(n, d)) * 0.03 for n, c in zip([*sizes, *[2] * lone], rng.normal(size=(len(sizes) + lone, d)))]
+    return np.concatenate(x), np.repeat(np.arange(len(x)), list(map(len, x)))
+
+
+def test_no_group_keeps_the_search_of_other_members():
+    for size in (50, 60, 200, 600):
+        x, group = grouped([size], 100)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        sims = x @ x.T
+        found = range_search(sims, pruned_graph(sims), 0.95)
+        found |= found.T
+        want = sims >= 0.95
+        for g in range(group.max() + 1):
+            assert found[group == g].sum() >= 0.9 * want[group == g].sum(), (size, g)
+
+
+def test_recall_by_group_at_production_sizes(spark):
+    for sizes in ([50, 100, 300], [5000, 1500, 60]):
+        x, group = grouped(sizes, 150)
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        want = (u @ u.T >= 0.95).sum(1) - 1
+        got = {r.vec_id: r.n_links for r in near_vectors(df).collect()}
+        links = np.array([got[i] for i in range(len(x))])
+        assert (links <= want).all()
+        share = np.bincount(group, links) / np.bincount(group, want)
+        assert share.min() >= 0.9, share
