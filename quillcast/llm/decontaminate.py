@@ -4,11 +4,13 @@ A text's words are put in canonical form, placeholders included, and every
 window of WINDOW words is hashed. A fixed bitmap of the benchmark's window
 hashes (BITS bits, whatever the benchmark's size) goes to every task, so that
 only windows that may match leave the document they are in; those are joined
-with the benchmark's windows by hash. A document holds an item if, near one
+with the benchmark's windows by hash. A document holds an item if, along one
 alignment of the two, at least min_coverage of the item's windows match and the
 slots agree: each number, name or unit of the item stands for one value in the
 document throughout. So a question with other numbers is caught, and a text
-that fills the same template at random is not.
+that fills the same template at random is not. Windows that repeat within an
+item also match each other crosswise; each takes its match nearest to the
+alignment, and matches out of the item's order count for nothing.
 """
 
 from __future__ import annotations
@@ -131,6 +133,52 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int, bitmap: np.ndarray
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["row", "n", "at", "hash", "slots"])
 
 
+def aligned(by_at: dict[int, dict[int, tuple]], shift: int) -> dict[int, tuple]:
+    """The match of each item window along the shift: there, or else nearest to it and in order with those before it and with those that are there."""
+    ats = sorted(by_at)
+    there = [at for at in ats if shift in by_at[at]]
+    used, k, last = {}, 0, -1
+    for at in ats:
+        if k < len(there) and there[k] == at:
+            k, s = k + 1, shift
+        else:
+            before = there[k] + shift if k < len(there) else float("inf")
+            fit = [s for s in by_at[at] if last < at + s < before]
+            if not fit:
+                continue
+            s = min(fit, key=lambda s: (abs(s - shift), s))
+        used[at], last = by_at[at][s], at + s
+    return used
+
+
+def _agree(matches) -> bool:
+    """Whether each slot of the item has one value throughout."""
+    value: dict[str, str] = {}
+    return all(value.setdefault(a, b) == b for mine, theirs in matches for a, b in zip(mine, theirs))
+
+
+def coverage_of(met: list[dict], n: int, min_coverage: float) -> float | None:
+    """The largest share of the item's windows along one alignment whose slots agree; None if below min_coverage."""
+    by_at: dict[int, dict[int, tuple]] = {}
+    for m in met:
+        by_at.setdefault(m["at"], {})[m["shift"]] = (m["slots"], m["doc_slots"])
+    best = None
+    for shift in {m["shift"] for m in met}:
+        used = aligned(by_at, shift)
+        share = len(used) / n
+        if share >= min_coverage and (best is None or share > best) and _agree(used.values()):
+            best = share
+    return best
+
+
+def _agreeing(batches: Iterator[pa.RecordBatch], min_coverage: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        pair = batch.column(0)
+        found = [coverage_of(met.as_py(), n, min_coverage) for n, met in zip(batch.column(1).to_pylist(), batch.column(2))]
+        made = pa.RecordBatch.from_arrays([pair.field(0), pair.field(1), pa.array(found, pa.float64())], ["doc", "item", "coverage"])
+        yield made.filter(made.column(2).is_valid())
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, min_coverage: float = 0.5) -> DataFrame:
     """(doc_id, item_id, coverage): the items that each document holds, with the share of the item's windows found.
 
@@ -157,13 +205,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc
     met = mine.join(theirs, "hash").withColumn("shift", F.col("doc_at") - F.col("at"))
     # two grids of alignments, half a step apart, so that no alignment sits at an edge of both
     near = F.explode(F.array(*[F.struct(F.lit(g).alias("grid"), F.floor((F.col("shift") + g * DRIFT // 2) / DRIFT).alias("band")) for g in (0, 1)]))
-    met = met.select("row", "no", "item", "n", "at", "slots", "doc_slots", near.alias("near"))
-    keys = ["row", "no", "item", "near"]
-    found = met.groupBy(*keys).agg((F.count_distinct("at") / F.first("n")).alias("coverage")).where(F.col("coverage") >= min_coverage)
-    pairs = met.where(F.size("slots") > 0).select(*keys, F.explode(F.arrays_zip("slots", "doc_slots")).alias("z")).select(*keys, F.col("z.slots").alias("a"), F.col("z.doc_slots").alias("b"))
-    torn = pairs.groupBy(*keys, "a").agg((F.min("b") != F.max("b")).alias("torn")).where("torn").select(*keys).distinct()
-    same = found.join(torn, keys, "left_anti")
-    return same.groupBy(F.col("row.doc").alias(doc_id), F.col("item").alias(item_id)).agg(F.max("coverage").alias("coverage"))
+    met = met.select("row", "no", "item", "n", "at", "shift", "slots", "doc_slots", near.alias("near"))
+    # a band holds at most DRIFT matches of each of the item's windows
+    held = met.groupBy("row", "no", "item", "near").agg(F.first("n").alias("n"), F.collect_list(F.struct("at", "shift", "slots", "doc_slots")).alias("met"))
+    held = held.where(F.size(F.array_distinct("met.at")) / F.col("n") >= min_coverage)
+    named = held.select(F.struct("row.doc", "item").alias("pair"), "n", "met")
+    same = named.mapInArrow(partial(_agreeing, min_coverage=min_coverage), f"doc {kinds['doc']}, item {kinds['item']}, coverage double")
+    return same.groupBy(F.col("doc").alias(doc_id), F.col("item").alias(item_id)).agg(F.max("coverage").alias("coverage"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:

@@ -27,6 +27,26 @@ def test_new_numbers_names_and_units_are_caught_if_they_agree(spark):
     assert set(found(spark, docs)) == {(1, 1), (2, 1), (5, 1), (6, 1)}
 
 
+SELLERS = "Ann sells for 3 dollars, Bob sells for 5 dollars, Cid sells for 7 dollars, and how much is that?"
+
+
+def test_repeats_within_an_item_do_not_tear_its_copies(spark):
+    filler = "Some other words come before this. " * 20
+    renamed = SELLERS.replace("Ann", "Zoe").replace("3", "4").replace("5", "6").replace("7", "9")
+    docs = [
+        (1, SELLERS, 0),
+        (2, f"{filler}{SELLERS} {filler}", 0),
+        (3, f"{filler}{renamed} {filler}", 0),
+        (4, SELLERS.replace("Bob sells", "Bob also sells"), 0),
+        (5, SELLERS.replace("Ann sells", "Ann vends"), 0),
+        (6, f"{filler}{SELLERS.replace('dollars', 'euros', 1)}", 0),
+        (7, filler, 0),
+    ]
+    got = found(spark, docs, [(1, SELLERS)])
+    assert set(got) == {(d, 1) for d in (1, 2, 3, 4, 5)}
+    assert got[1, 1] == got[2, 1] == 1 and got[3, 1] > 0.9  # a sentence's first word is no name
+
+
 def test_documents_against_brute_force(spark, sf_dir):
     norm = lambda t: [w for w in (re.sub(r"^[\W_]+|[\W_]+$", "", x).lower() for x in (t or "").split()) if w]
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
