@@ -4,7 +4,8 @@ Fingerprints of 64 bits link when at most ``radius`` bits differ. Every bit
 gets a vector of radius + 1 binary digits; for each non-zero vector v, the mask
 keeps the bits whose vector has an odd scalar product with v. Any radius
 differing bits miss at least one mask entirely, so each pair within the radius
-agrees under some mask: no pair is lost, whatever the data.
+agrees under some mask: no pair is lost, whatever the data. That holds whichever
+vectors the bits get; they are chosen so that no mask is left with few bits.
 
 Plan. Only distinct fingerprints are compared, each standing for its smallest
 document id, so exact copies never multiply. Fingerprints are dealt by (mask,
@@ -12,7 +13,7 @@ masked bits) and streamed in that order; a bucket yields a spanning forest of
 its links, not its pairs. A bucket beyond LIMIT is passed on instead and split
 by a second covering of the bits its mask left out: those buckets hold at most
 2 ** (bits that both masks leave out) distinct fingerprints, a bound that does
-not depend on the data. Links are joined by alternating stars.
+not depend on the data: no mask keeps less than MASK_BITS of its bits. Links are joined by alternating stars.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ from .tables import stash, text_bytes
 LIMIT = 20_000
 _SMALL = 32
 _CHUNK = 1 << 16
+#: Bits that any mask keeps at least, and choices of vectors that are compared.
+MASK_BITS, _TRIES = 4, 64
 
 
 def fingerprint(text: bytes, width: int = 4) -> int:
@@ -61,8 +64,11 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.
 def covering_masks(bits: list[int], radius: int) -> list[int]:
     """2 ** (radius + 1) - 1 masks over the bits: any radius of these bits are all missing from some mask."""
     vectors = 1 << (radius + 1)
-    given = {bit: i % vectors for i, bit in enumerate(bits)}
-    return [sum(1 << b for b, m in given.items() if (m & v).bit_count() % 2) for v in range(1, vectors)]
+    odd = np.bitwise_count(np.arange(1, vectors)[:, None] & np.arange(vectors)) & 1
+    rng = np.random.default_rng(7)
+    # in turn, where that is as good as any; else, or with fewer bits than vectors, spread over the whole space
+    given = max((np.arange(len(bits)) % vectors, *(rng.permutation(np.arange(max(len(bits), vectors - 1)) % (vectors - 1) + 1)[: len(bits)] for _ in range(_TRIES))), key=lambda g: int(odd[:, g].sum(1).min()))
+    return [sum(1 << b for b, kept in zip(bits, row) if kept) for row in odd[:, given].tolist()]
 
 
 def _forest(bucket: np.ndarray, fps: np.ndarray, reps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -151,6 +157,8 @@ def link_fingerprints(prints: DataFrame, radius: int = 4, limit: int = LIMIT) ->
     """prints (fp, rep), fp distinct: links (a, b) of rep that span all pairs within the radius."""
     masks = covering_masks(list(range(64)), radius)
     rest = [covering_masks([b for b in range(64) if not m >> b & 1], radius) for m in masks]
+    if min(m.bit_count() for group in (masks, *(inner for m, inner in zip(masks, rest) if m.bit_count() < 64)) for m in group) < MASK_BITS:
+        raise ValueError(f"radius {radius}: a mask keeps less than {MASK_BITS} bits, and would put too many fingerprints together")
     table = F.array(*[F.lit(_long(m)) for m in masks])
     schema = "kind tinyint, a long, b long, tbl int"
     dealt = prints.select("fp", "rep", F.posexplode(table).alias("tbl", "mask"))

@@ -72,6 +72,42 @@ def test_no_link_is_lost(spark, limit):
     assert {i: find(i) for i in range(len(prints))} == expected
 
 
+@pytest.mark.parametrize("radius", [1, 2, 4, 6])
+def test_no_mask_is_empty_at_either_level(radius):
+    masks = covering_masks(list(range(64)), radius)
+    assert len(masks) == 2 ** (radius + 1) - 1 and min(m.bit_count() for m in masks) >= 16
+    for m in masks:
+        inner = covering_masks([b for b in range(64) if not m >> b & 1], radius)
+        assert min(i.bit_count() for i in inner) >= 4 and not any(i & m for i in inner)
+    rng = random.Random(5)
+    for _ in range(300):
+        bits = rng.sample(range(64), radius)
+        assert any(not any(m >> b & 1 for b in bits) for m in masks)
+
+
+def test_no_link_is_lost_at_radius_six_beyond_the_limit(spark):
+    rng = random.Random(9)
+    prints = {rng.getrandbits(64) for _ in range(200)}
+    for _ in range(5):
+        centre = rng.getrandbits(64)
+        prints |= {centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 7))) for _ in range(40)}
+    prints = sorted(prints)
+    rows = [(p - ((p >> 63) << 64), i) for i, p in enumerate(prints)]
+    links = link_fingerprints(spark.createDataFrame(rows, "fp long, rep long"), 6, 25).collect()
+    assert all((prints[r.a] ^ prints[r.b]).bit_count() <= 6 for r in links)
+    root = list(range(len(prints)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for r in links:
+        a, b = sorted((find(r.a), find(r.b)))
+        root[b] = a
+    assert {i: find(i) for i in range(len(prints))} == plain_groups(range(len(prints)), prints, 6)
+
+
 def test_documents_against_brute_force(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = docs.select("doc_id", "text").collect()
