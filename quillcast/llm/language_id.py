@@ -26,6 +26,8 @@ from .tables import fold_of, stash, text_bytes
 TRAIN_ROWS, BUCKETS, TRUST, LEAN = 20_000, 1 << 16, 100.0, 5.0
 _TAG = re.compile(rb"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<[^>]*(?:>|\Z)|&#?\w+;?", re.S | re.I)
 _LANG = re.compile(rb"""<html\b[^>]*?\s(?:xml:)?lang\s*=\s*["']?([a-zA-Z]{2,3})|<meta\b[^>]*?content-language["'][^>]*?content\s*=\s*["']([a-zA-Z]{2,3})""", re.I)
+#: What may declare a language, and what hides such marks: comments, scripts and styles.
+_HEAD = re.compile(rb"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<(?:html|meta)\b[^>]*", re.S | re.I)
 _CHUNK = 4 << 20
 
 
@@ -38,6 +40,15 @@ def codes(text: bytes) -> np.ndarray:
     return x >> np.uint32(16)
 
 
+def declared_language(html: bytes) -> str | None:
+    """The language of the first html or meta element that declares one, wherever it stands."""
+    for part in _HEAD.finditer(html):
+        m = _LANG.match(part[0])
+        if m:
+            return (m[1] or m[2]).decode().lower()
+    return None
+
+
 def _trained(batches: Iterator[pa.RecordBatch], langs: list[str]) -> Iterator[pa.RecordBatch]:
     sums, number = np.zeros((len(langs), BUCKETS), np.int64), {name: i for i, name in enumerate(langs)}
     for batch in batches:
@@ -68,8 +79,7 @@ def _witness(batches: Iterator[pa.RecordBatch], langs: list[str], table: np.ndar
         declared, found = [], []
         for raw in batch.column(1):
             text = raw.as_py()
-            m = _LANG.search(text[:4096]) if markup else None
-            declared.append((m[1] or m[2]).decode().lower() if m else None)
+            declared.append(declared_language(text) if markup else None)
             if markup:
                 text = _TAG.sub(b" ", text)
             c = codes(text)

@@ -1,6 +1,6 @@
 import zlib
 
-from quillcast.llm.language_id import identify, train_text
+from quillcast.llm.language_id import declared_language, identify, train_text
 from quillcast.llm.queries import op9_language_id
 
 
@@ -35,6 +35,16 @@ def test_witnesses_fuse(spark):
     assert all(0 < r.confidence <= 1 for r in got.values())
 
 
+def test_declared_language_is_found_wherever_it_stands():
+    long = b"x" * 10_000
+    html, meta = b"<html class='a' lang='fr-CA'>", b"""<meta http-equiv="Content-Language" content="de">"""
+    for before in (b"", b"<!--%s-->" % long, b"<script>%s</script>" % long, b"<html><head><style>%s</style>" % long, b"<!-- <html lang='it'> -->", b"<script>'<html lang=it>'</script>"):
+        assert declared_language(before + html) == "fr"
+        assert declared_language(before + meta) == "de"
+    assert declared_language(b"<!--" + html) is None and declared_language(b"<html>" + long) is None and declared_language(b"") is None
+    assert declared_language(b"<meta " * 200_000) is None
+
+
 def test_odd_rows(spark):
     docs, langs, table = model(spark)
     rows = [(None, None, None, 1), (1, "", "", 1), (1, "", "", 1), (2, "the dog " * 50_000, "not an address", 1)]
