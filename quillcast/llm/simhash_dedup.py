@@ -6,20 +6,26 @@ keeps the bits whose vector has an odd scalar product with v. Any radius
 differing bits miss at least one mask entirely, so each pair within the radius
 agrees under some mask: no pair is lost, whatever the data. That holds whichever
 vectors the bits get; they are chosen so that no mask is left with few bits.
+A radius beyond PART is shared out among parts of the bits: if the parts' radii
+and their number add up to more than the radius, one part is within its own.
 
 Plan. Only distinct fingerprints are compared, each standing for its smallest
 document id, so exact copies never multiply. Fingerprints are dealt by (mask,
 masked bits) and streamed in that order; a bucket yields a spanning forest of
 its links, not its pairs. A bucket beyond LIMIT is passed on instead and split
-by a second covering of the bits its mask left out: those buckets hold at most
-2 ** (bits that both masks leave out) distinct fingerprints, a bound that does
-not depend on the data: no mask keeps less than MASK_BITS of its bits. Links are joined by alternating stars.
+by a covering of the bits its mask left out, again and again: each level fixes
+more bits, and of at most b bits left there are 2 ** b fingerprints. Links are
+joined by alternating stars.
+
+With ``least`` the fingerprints only find candidates, by a second fingerprint of
+64 bits beside the first; a candidate links if the two texts share that part of
+their distinct shingles.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,33 +38,60 @@ from .tables import stash, text_bytes
 
 #: Fingerprints that one bucket compares at once; a larger bucket is split again.
 LIMIT = 20_000
-_SMALL = 32
+_SMALL, _DENSE = 32, 1024
+#: With so few bits left, or no more than the radius, a bucket is compared whatever its size.
+_FEW = 14
 _CHUNK = 1 << 16
-#: Bits that any mask keeps at least, and choices of vectors that are compared.
-MASK_BITS, _TRIES = 4, 64
+#: Radius that one part of the bits covers, and choices of vectors that are compared.
+PART, _TRIES = 6, 64
+#: Bits of both fingerprints that may differ for each bit of the radius.
+WIDE = 27 / 13
+#: Seeds of the first and the second fingerprint.
+SEEDS = (42, 43)
 
 
-def fingerprint(text: bytes, width: int = 4) -> int:
-    """SimHash of the text's word shingles, A-Z lower-cased; 0 if there is no word."""
+def _shingles(text: bytes, width: int) -> tuple[bytes, list[int], list[int]]:
+    """The text's words, A-Z lower-cased, joined by spaces, and where its shingles start and stop."""
     words = text.lower().split()
     if not words:
-        return 0
-    joined, count = b" ".join(words), max(1, len(words) - width + 1)
+        return b"", [], []
+    count = max(1, len(words) - width + 1)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[:count].tolist()
-    stops = ends[min(width, len(words)) - 1 :].tolist()
-    ones = np.zeros(64, np.int64)
+    return b" ".join(words), starts, ends[min(width, len(words)) - 1 :].tolist()
+
+
+def _majority(joined: bytes, starts: list[int], stops: list[int], seed: int) -> int:
+    count, ones = len(starts), np.zeros(64, np.int64)
     for at in range(0, count, _CHUNK):
         pairs = zip(starts[at : at + _CHUNK], stops[at : at + _CHUNK])
-        hashes = np.array([xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in pairs], ">u8")
+        hashes = np.array([xxhash.xxh64_intdigest(joined[a:b], seed) for a, b in pairs], ">u8")
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > count).tobytes(), "big")
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def fingerprint(text: bytes, width: int = 4) -> int:
+    """SimHash of the text's word shingles, A-Z lower-cased; 0 if there is no word."""
+    return _majority(*_shingles(text, width), SEEDS[0])
+
+
+def _signed(values: list[int]) -> pa.Array:
+    return pa.array(np.array(values, np.uint64).view(np.int64))
+
+
+def _fingerprints(batches: Iterator[pa.RecordBatch], width: int, wide: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = np.array([fingerprint(t.as_py(), width) for t in batch.column(1)], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["doc", "fp"])
+        found = [[_majority(*parts, seed) for seed in SEEDS[: 1 + wide]] for parts in (_shingles(t.as_py(), width) for t in batch.column(1))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), _signed([f[0] for f in found]), _signed([f[-1] if wide else 0 for f in found])], ["doc", "fp", "wide"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Fingerprints with the hashes of each text's distinct shingles, one text at a time."""
+    for batch in batches:
+        for doc, text in zip(batch.column(0), batch.column(1)):
+            joined, starts, stops = _shingles(text.as_py(), width)
+            own = np.unique(np.fromiter((xxhash.xxh64_intdigest(joined[a:b], SEEDS[0]) for a, b in zip(starts, stops)), np.uint64, len(starts))).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([doc.as_py()], pa.int64()), _signed([_majority(joined, starts, stops, SEEDS[0])]), pa.array([own], pa.list_(pa.int64()))], ["doc", "fp", "own"])
 
 
 def covering_masks(bits: list[int], radius: int) -> list[int]:
@@ -71,50 +104,103 @@ def covering_masks(bits: list[int], radius: int) -> list[int]:
     return [sum(1 << b for b, kept in zip(bits, row) if kept) for row in odd[:, given].tolist()]
 
 
-def _forest(bucket: np.ndarray, fps: np.ndarray, reps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def masks_within(bits: list[int], radius: int) -> list[int]:
+    """Masks over the bits, none of them empty: any radius of these bits, which are more, are all missing from some mask."""
+    parts = -(-(radius + 1) // (PART + 1))
+    found = []
+    for i in range(parts):
+        own = (radius + 1) // parts + (i < (radius + 1) % parts) - 1
+        found += covering_masks(bits[i::parts], own)
+    if not all(found):  # too few bits for their vectors: of radius + 1 parts one has no differing bit
+        found = [sum(1 << b for b in bits[i :: radius + 1]) for i in range(radius + 1)]
+    return list(dict.fromkeys(found))
+
+
+def _candidates(fps: np.ndarray, wide: np.ndarray, i: np.ndarray, j: np.ndarray, radius: int) -> tuple[np.ndarray, ...]:
+    """Those of the pairs that are within the radius, and how many bits differ."""
+    differ = np.bitwise_count(fps[i] ^ fps[j]).astype(np.int64)
+    near = np.flatnonzero(differ <= radius)
+    i, j, differ = i[near], j[near], differ[near]
+    differ += np.bitwise_count(wide[i] ^ wide[j])
+    near = differ <= int(WIDE * radius)
+    return i[near], j[near], differ[near]
+
+
+def _spanning(i: np.ndarray, j: np.ndarray, differ: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs of row numbers, those that span what they link, the nearest first."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = x = root.get(up, up)
+        return x
+
+    kept = []
+    for k in np.argsort(differ, kind="stable").tolist():
+        a, b = find(int(i[k])), find(int(j[k]))
+        if a != b:
+            root[b] = a
+            kept.append(k)
+    return i[kept], j[kept]
+
+
+def _spread(at: np.ndarray, fps: np.ndarray, wide: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links that span the rows of one large bucket: each row found takes in all that are near it and still open."""
+    while len(at):
+        stack, at = [at[0]], at[1:]
+        while stack and len(at):
+            own = stack.pop()
+            i, j, _ = _candidates(fps, wide, np.full(len(at), own), at, radius)
+            if len(j):
+                yield i, j
+                at = at[~np.isin(at, j, assume_unique=True)]
+                stack.extend(j.tolist())
+
+
+def _forest(bucket: np.ndarray, fps: np.ndarray, wide: np.ndarray, reps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that span what is linked within each run of equal bucket numbers."""
-    n, found = len(fps), []
+    n, close, found = len(fps), [], []
     edges = np.flatnonzero(np.diff(bucket)) + 1
     starts = np.concatenate(([0], edges))
     sizes = np.diff(np.concatenate((starts, [n])))
     small = np.repeat(sizes <= _SMALL, sizes)
     for shift in range(1, int(min(_SMALL, sizes.max(initial=1)))):
         i = np.flatnonzero(small[:-shift] & (bucket[shift:] == bucket[:-shift]))
-        i = i[np.bitwise_count(fps[i] ^ fps[i + shift]) <= radius]
-        found.append((i, i + shift))
-    for start, size in zip(starts[sizes > _SMALL], sizes[sizes > _SMALL]):
-        open_ = np.arange(start, start + size)
-        while len(open_):
-            stack, open_ = [open_[0]], open_[1:]
-            while stack and len(open_):
-                at = stack.pop()
-                near = np.bitwise_count(fps[open_] ^ fps[at]) <= radius
-                got, open_ = open_[near], open_[~near]
-                stack.extend(got.tolist())
-                if len(got):
-                    found.append((np.full(len(got), at), got))
+        close.append(_candidates(fps, wide, i, i + shift, radius))
+    for start, size in zip(starts[sizes > _SMALL].tolist(), sizes[sizes > _SMALL].tolist()):
+        own = fps[start : start + size]
+        if size <= _DENSE:
+            i, j = np.nonzero(np.triu(np.bitwise_count(own[:, None] ^ own[None, :]) <= radius, 1))
+            if len(i) <= _SMALL * size:
+                close.append(_candidates(fps, wide, i + start, j + start, radius))
+                continue
+        found += _spread(np.arange(start, start + size), fps, wide, radius)
+    if close:
+        found.append(_spanning(*(np.concatenate([c[k] for c in close]) for k in range(3))))
     if not found:
         return reps[:0], reps[:0]
-    a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-    a, b = reps[a], reps[b]
+    a, b = (reps[np.concatenate([f[k] for f in found])] for k in (0, 1))
     pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
     return pairs[:, 0], pairs[:, 1]
 
 
-def _out(kind: int, a: np.ndarray, b: np.ndarray, table: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), pa.array(a), pa.array(b), pa.array(table.astype(np.int32))], ["kind", "a", "b", "tbl"])
+_OUT = "kind tinyint, a long, b long, mask long, wide long"
+
 
+def _out(kind: int, a: np.ndarray, b: np.ndarray, mask: np.ndarray, wide: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), *map(pa.array, (a, b, mask, wide))], ["kind", "a", "b", "mask", "wide"])
 
-def _links(batches: Iterator[pa.RecordBatch], radius: int, limit: int | None) -> Iterator[pa.RecordBatch]:
-    """Rows (tbl, key, key2, fp, rep) sorted by the first three. Out: kind 0, a link of two ids; kind 1, (fp, rep, tbl) of a bucket too large."""
+
+def _links(batches: Iterator[pa.RecordBatch], radius: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """Rows (mask, fp, wide, rep) in the order of mask and masked bits. Out: kind 0, a link of two ids; kind 1, (fp, rep, mask, wide) of a bucket too large."""
     held: np.ndarray | None = None
-    over: np.ndarray | None = None
+    over: tuple[int, int] | None = None
     for batch in batches:
-        rows = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(5)], 1)
+        rows = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(4)], 1)
         if over is not None:
-            same = (rows[:, :3] == over).all(1)
+            same = (rows[:, 0] == over[0]) & (rows[:, 0] & rows[:, 1] == over[1])
             if same.any():
-                yield _out(1, rows[same, 3], rows[same, 4], rows[same, 0])
+                yield _out(1, rows[same, 1], rows[same, 3], rows[same, 0], rows[same, 2])
                 rows = rows[~same]
             if not len(rows):
                 continue
@@ -122,59 +208,101 @@ def _links(batches: Iterator[pa.RecordBatch], radius: int, limit: int | None) ->
         rows = rows if held is None else np.concatenate((held, rows))
         if not len(rows):
             continue
-        new = np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(1)) + 1
+        new = np.flatnonzero(_starts(rows)) + 1
         last = int(new[-1]) if len(new) else 0
         yield from _whole(rows[:last], radius, limit)
         held = rows[last:]
-        if limit and len(held) > limit:
-            yield _out(1, held[:, 3], held[:, 4], held[:, 0])
-            over, held = held[0, :3].copy(), None
+        if len(held) > limit and _splits(held[0, 0], radius):
+            yield _out(1, held[:, 1], held[:, 3], held[:, 0], held[:, 2])
+            over, held = (int(held[0, 0]), int(held[0, 0] & held[0, 1])), None
     if held is not None:
         yield from _whole(held, radius, limit)
 
 
-def _whole(rows: np.ndarray, radius: int, limit: int | None) -> Iterator[pa.RecordBatch]:
+def _starts(rows: np.ndarray) -> np.ndarray:
+    """Whether a row after the first starts a bucket."""
+    mask, key = rows[:, 0], rows[:, 0] & rows[:, 1]
+    return (mask[1:] != mask[:-1]) | (key[1:] != key[:-1])
+
+
+def _splits(mask: np.ndarray, radius: int) -> np.ndarray:
+    """Whether a mask leaves bits enough to split its buckets again."""
+    return 64 - np.bitwise_count(np.asarray(mask).view(np.uint64)) > max(_FEW, radius)
+
+
+def _whole(rows: np.ndarray, radius: int, limit: int) -> Iterator[pa.RecordBatch]:
     if not len(rows):
         return
-    bucket = np.cumsum(np.concatenate(([0], (rows[1:, :3] != rows[:-1, :3]).any(1))))
+    bucket = np.cumsum(np.concatenate(([0], _starts(rows))))
     sizes = np.bincount(bucket)
-    if limit and sizes.max() > limit:
-        late = (sizes > limit)[bucket]
-        yield _out(1, rows[late, 3], rows[late, 4], rows[late, 0])
+    late = (sizes > limit)[bucket]
+    if late.any():
+        late &= _splits(rows[:, 0], radius)
+        yield _out(1, rows[late, 1], rows[late, 3], rows[late, 0], rows[late, 2])
         rows, bucket = rows[~late], bucket[~late]
         sizes = np.bincount(bucket, minlength=1)
     keep = (sizes > 1)[bucket] if len(bucket) else np.zeros(0, bool)
     if keep.any():
-        a, b = _forest(bucket[keep], rows[keep, 3].view(np.uint64), rows[keep, 4], radius)
-        yield _out(0, a, b, np.zeros(len(a), np.int32))
+        a, b = _forest(bucket[keep], rows[keep, 1].view(np.uint64), rows[keep, 2].view(np.uint64), rows[keep, 3], radius)
+        none = np.zeros(len(a), np.int64)
+        yield _out(0, a, b, none, none)
 
 
 def _long(x: int) -> int:
     return x - ((x >> 63) << 64)
 
 
+def _finer(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """Rows (mask, fp, wide, rep) once for each mask that covers the bits left out so far, these bits added."""
+    known: dict[int, np.ndarray] = {}
+    for batch in batches:
+        mask, *others = (c.to_numpy().astype(np.int64) for c in batch.columns)
+        for m in np.unique(mask).tolist():
+            if m not in known:
+                rest = masks_within([b for b in range(64) if not m >> b & 1], radius)
+                known[m] = np.array([_long(x) for x in rest], np.int64) | m
+            at, n = np.flatnonzero(mask == m), len(known[m])
+            for start in range(0, len(at), _SMALL):
+                part = at[start : start + _SMALL]
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(known[m], len(part))), *(pa.array(np.repeat(x[part], n)) for x in others)], ["mask", "fp", "wide", "rep"])
+
+
 def link_fingerprints(prints: DataFrame, radius: int = 4, limit: int = LIMIT) -> DataFrame:
-    """prints (fp, rep), fp distinct: links (a, b) of rep that span all pairs within the radius."""
-    masks = covering_masks(list(range(64)), radius)
-    rest = [covering_masks([b for b in range(64) if not m >> b & 1], radius) for m in masks]
-    if min(m.bit_count() for group in (masks, *(inner for m, inner in zip(masks, rest) if m.bit_count() < 64)) for m in group) < MASK_BITS:
-        raise ValueError(f"radius {radius}: a mask keeps less than {MASK_BITS} bits, and would put too many fingerprints together")
-    table = F.array(*[F.lit(_long(m)) for m in masks])
-    schema = "kind tinyint, a long, b long, tbl int"
-    dealt = prints.select("fp", "rep", F.posexplode(table).alias("tbl", "mask"))
-    dealt = dealt.select("tbl", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), F.lit(0).cast("long").alias("key2"), "fp", "rep")
-    first = stash(dealt.repartition("tbl", "key").sortWithinPartitions("tbl", "key").mapInArrow(partial(_links, radius=radius, limit=limit), schema), "near")
-    nested = F.array(*[F.array(*[F.lit(_long(m)) for m in inner]) for inner in rest])
-    top = F.element_at(table, F.col("tbl") + 1)
-    again = first.where("kind = 1").select(F.col("a").alias("fp"), F.col("b").alias("rep"), "tbl", top.alias("mask"), F.posexplode(F.element_at(nested, F.col("tbl") + 1)).alias("t2", "mask2"))
-    again = again.select((F.col("tbl") * 4096 + F.col("t2")).alias("tbl"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"), F.col("fp").bitwiseAND(F.col("mask2")).alias("key2"), "fp", "rep")
-    late = again.repartition("tbl", "key", "key2").sortWithinPartitions("tbl", "key", "key2").mapInArrow(partial(_links, radius=radius, limit=None), schema)
-    return first.where("kind = 0").unionByName(late).select("a", "b")
-
-
-def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 4, radius: int = 4, limit: int = LIMIT) -> DataFrame:
+    """prints (fp, rep), fp distinct: links (a, b) of rep that span all pairs within the radius.
+
+    If prints has a second fingerprint, wide, at most WIDE * radius bits of both may differ.
+    """
+    if "wide" not in prints.columns:
+        prints = prints.withColumn("wide", F.lit(0).cast("long"))
+    masks = F.array(*[F.lit(_long(m)) for m in masks_within(list(range(64)), radius)])
+    dealt = prints.select(F.explode(masks).alias("mask"), "fp", "wide", "rep")
+    key = F.col("mask").bitwiseAND(F.col("fp"))
+    found: list[DataFrame] = []
+    while not found or not over.isEmpty():
+        made = stash(dealt.repartition("mask", key).sortWithinPartitions("mask", key).mapInArrow(partial(_links, radius=radius, limit=limit), _OUT), "near")
+        found.append(made.where("kind = 0").select("a", "b"))
+        over = made.where("kind = 1").select("mask", F.col("a").alias("fp"), "wide", F.col("b").alias("rep"))
+        dealt = over.mapInArrow(partial(_finer, radius=radius), "mask long, fp long, wide long, rep long")
+    return reduce(DataFrame.unionByName, found)
+
+
+def shared_enough(links: DataFrame, docs: DataFrame, classes: DataFrame, doc_id: str, text: str, width: int, least: float) -> DataFrame:
+    """Those links (a, b) of ids whose texts have at least that share of their distinct shingles in common."""
+    ids = links.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc"), text_bytes(text).alias("t")).join(ids, "doc", "left_semi")
+    sets = rows.mapInArrow(partial(_sets, width=width), "doc long, fp long, own array<long>")
+    sets = stash(sets.join(classes.select("fp", F.col("rep").alias("doc")), ["fp", "doc"], "left_semi").select("doc", "own"), "shingles")
+    both = links.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return both.where(common >= F.lit(least) * (F.size("x") + F.size("y") - common)).select("a", "b")
+
+
+def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 4, radius: int = 4, limit: int = LIMIT, least: float | None = None) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, the smallest id reachable by links, for every row.
 
+    least: the share of common shingles that links need besides; without it the
+    fingerprints alone decide. Equal fingerprints always link.
+
     Texts under width words have one shingle, all their words. Null, empty and
     blank texts have fingerprint zero and link like any other. A null id gets
     its fingerprint and a null component, and links nothing. Rows that share an
@@ -183,12 +311,16 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     are ignored, whatever their names.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc"), text_bytes(text).alias("t"))
-    prints = stash(rows.mapInArrow(partial(_fingerprints, width=width), "doc long, fp long"), "prints")
-    classes = stash(prints.where("doc is not null").groupBy("fp").agg(F.min("doc").alias("rep")), "classes")
+    prints = stash(rows.mapInArrow(partial(_fingerprints, width=width, wide=least is not None), "doc long, fp long, wide long"), "prints")
+    first = prints.where("doc is not null").groupBy("fp").agg(F.min(F.struct("doc", "wide")).alias("first"))
+    classes = stash(first.select("fp", F.col("first.doc").alias("rep"), "first.wide"), "classes")
     known = prints.join(classes, "fp", "left").select("doc", "fp", "rep")
     # an id's rows may have several fingerprints: its classes are linked through the id
-    several = prints.where("doc is not null").distinct().groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select("doc")
+    several = prints.where("doc is not null").select("doc", "fp").distinct().groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select("doc")
     own = known.join(several, "doc", "left_semi").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
-    found = components(link_fingerprints(classes, radius, limit).unionByName(own.where("a <> b")))
+    links = link_fingerprints(classes, radius, limit)
+    if least is not None:
+        links = shared_enough(stash(links.distinct(), "candidates"), docs, classes, doc_id, text, width, least)
+    found = components(links.unionByName(own.where("a <> b")))
     whole = known.join(found.withColumnRenamed("node", "rep"), "rep", "left")
     return whole.select(F.col("doc").alias(doc_id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc").isNotNull(), F.coalesce("component", "rep")).alias("component_id"))

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from quillcast.llm.simhash_dedup import covering_masks, fingerprint, link_fingerprints, simhash_groups
+from quillcast.llm.simhash_dedup import covering_masks, fingerprint, link_fingerprints, masks_within, simhash_groups
 
 
 def plain_fingerprint(text, width=4):
@@ -108,6 +108,64 @@ def test_no_link_is_lost_at_radius_six_beyond_the_limit(spark):
     assert {i: find(i) for i in range(len(prints))} == plain_groups(range(len(prints)), prints, 6)
 
 
+@pytest.mark.parametrize("radius", [9, 13])
+def test_parts_cover_every_pattern_within_the_radius(radius):
+    masks, rng = masks_within(list(range(64)), radius), random.Random(radius)
+    assert all(masks) and len(set(masks)) == len(masks)
+    for _ in range(2000):
+        bits = rng.sample(range(64), radius)
+        assert any(not any(m >> b & 1 for b in bits) for m in masks)
+    few = masks_within(list(range(12)), 6)
+    assert all(few) and all(any(not any(m >> b & 1 for b in bits) for m in few) for bits in itertools.combinations(range(12), 6))
+
+
+def plain_similar(rows, width, least):
+    """The smallest id linked to each, and the linked pairs, by the share of distinct shingles in common."""
+    sets = {}
+    for i, t in rows:
+        words = (t or "").lower().split()
+        sets[i] = frozenset(tuple(words[k : k + width]) for k in range(max(1, len(words) - width + 1)))
+    root, pairs = {i: i for i in sets}, []
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(sorted(sets), 2):
+        a, b = sets[i], sets[j]
+        if min(len(a), len(b)) >= least * max(len(a), len(b)) and (n := len(a & b)) >= least * (len(a) + len(b) - n):
+            pairs.append((i, j))
+            i, j = sorted((find(i), find(j)))
+            root[j] = i
+    return {i: find(i) for i in root}, pairs
+
+
+def near_copies(seed=4):
+    """Texts of 60 to 400 words, with copies of which a few words are replaced; two groups are large."""
+    rng, words = random.Random(seed), [f"w{i}" for i in range(3000)]
+    rows = []
+    for g in range(120):
+        base = rng.choices(words, k=rng.randint(60, 400))
+        rows.append(base)
+        for _ in range(80 if g < 2 else rng.randint(0, 3)):
+            copy = list(base)
+            for _ in range(rng.randint(1, max(2, len(base) // 60))):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            rows.append(copy)
+    return [(i, " ".join(r)) for i, r in enumerate(rows)]
+
+
+def test_links_of_shared_shingles_against_brute_force(spark):
+    rows = near_copies()
+    roots, pairs = plain_similar(rows, 5, 0.8)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash_groups(docs, width=5, radius=13, least=0.8).collect()}
+    assert all(roots[i] == roots[got[i]] for i in roots)
+    assert sum(got[a] == got[b] for a, b in pairs) >= 0.95 * len(pairs)
+    assert sum(got[i] == roots[i] for i in roots) >= 0.95 * len(roots)
+
+
 def test_documents_against_brute_force(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = docs.select("doc_id", "text").collect()
@@ -124,4 +182,6 @@ def test_odd_rows(spark):
     got = sorted(((r.doc_id, r.component_id) for r in simhash_groups(docs).collect()), key=str)
     assert got == sorted([(4, 2), (2, 2), (None, None), (7, 7), (9, 7), (9, 7), (11, 7), (12, 12)], key=str)
     assert simhash_groups(docs.limit(0)).collect() == []
+    verified = sorted(((r.doc_id, r.component_id) for r in simhash_groups(docs, least=0.8).collect()), key=str)
+    assert verified == got and simhash_groups(docs.limit(0), least=0.8).collect() == []
     assert np.uint64(fingerprint(long.encode())) == plain_fingerprint(long)
