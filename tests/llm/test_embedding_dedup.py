@@ -92,3 +92,39 @@ def test_recall_by_group_at_production_sizes(spark):
         assert (links <= want).all()
         share = np.bincount(group, links) / np.bincount(group, want)
         assert share.min() >= 0.9, share
+
+
+def check_groups(spark, x, group, least_share=0.9):
+    """Recall of links in each group, of rows with all their links, and of components, against brute force in blocks."""
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(8)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = np.concatenate([(u[at : at + 1000] @ u.T >= 0.95).sum(1) for at in range(0, len(u), 1000)]) - 1
+    got = {r.vec_id: r for r in near_vectors(df).collect()}
+    links = np.array([got[i].n_links for i in range(len(x))])
+    assert (links <= want).all()
+    total = np.bincount(group, want)
+    share = np.bincount(group, links)[total > 0] / total[total > 0]
+    assert share.min() >= least_share, share
+    linked = want > 0
+    assert (links[linked] >= 0.9 * want[linked]).mean() >= 0.9
+    first = np.unique(group, return_index=True)[1]
+    assert np.mean([got[i].component_id == first[group[i]] for i in np.flatnonzero(linked)]) >= 0.9
+
+
+def test_clusters_beyond_the_pool(spark):
+    x, group = grouped([60] * 8, 0)
+    lone = np.random.default_rng(8).normal(size=(500, x.shape[1]))
+    check_groups(spark, np.concatenate((x, lone)), np.concatenate((group, 8 + np.arange(500))))
+
+
+def test_cells_are_split_again_and_again(spark, monkeypatch):
+    for name, value in (("MEMBERS", 60), ("CENTRES", 4), ("BLOCK", 300)):
+        monkeypatch.setattr(embedding_dedup, name, value)
+    x, group = grouped([400, 90, 90, 30, 10], 200)
+    same = np.random.default_rng(9).normal(size=x.shape[1]) * np.arange(1, 401)[:, None]  # one direction, many lengths
+    check_groups(spark, np.concatenate((x, same)), np.concatenate((group, np.full(400, group.max() + 1))))
+
+
+def test_audit_of_odd_tables(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0]), (2, [0.0, 1.0]), (None, [1.0]), (3, None), (4, [])], "vec_id long, embedding array<float>")
+    assert audit_recall(df) == 1.0 and audit_recall(df.limit(0)) == 1.0
