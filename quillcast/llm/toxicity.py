@@ -1,12 +1,13 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms are a text's distinct words, and the first letters of longer ones, hashed
-to BUCKETS. On the labelled training rows (at most TRAIN_ROWS of them, in the
-order of a hash of their ids) each term is tested against the label, and those
-that depend on it become features. The machine then learns a weight for each
-feature and a short vector whose products with the other features' vectors add
-what a pair says beyond its two parts: an insult with the mention of a group,
-say. Scoring visits every whole text in place; nothing is shuffled for it.
+to BUCKETS. The machine learns, from the labelled training rows (at most
+TRAIN_ROWS of them, in the order of a hash of their ids), a weight for each
+term that SUPPORT of these rows hold, and a short vector whose products with the
+other terms' vectors add what a pair says beyond its two parts: an insult with
+the mention of a group, say. No term is judged alone before the machine sees it,
+so a pair may count whose parts say nothing. Scoring visits every whole text in
+place; nothing is shuffled for it.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ from pyspark.sql import functions as F
 
 from .tables import fold_of, stash, text_bytes
 
-#: Bounds of the fit: labelled rows, hash buckets, features, and the vectors' length.
-TRAIN_ROWS, BUCKETS, FEATURES, FACTORS = 20_000, 1 << 20, 512, 4
+#: Of the fit: labelled rows at most, hash buckets, rows that hold a term at least, and the vectors' length.
+TRAIN_ROWS, BUCKETS, SUPPORT, FACTORS = 10_000, 1 << 20, 5, 4
+#: What a unit of a weight, and of a vector's length, must take off the mean loss.
+PRICE = (3e-4, 5e-3)
 _EDGES = string.punctuation + "«»“”‘’„…–—¡¿"
 _CACHE = 300_000
 
@@ -65,34 +68,95 @@ class FactorizationMachine:
         return found
 
     def scores(self, rows: list[set[int]]) -> np.ndarray:
-        x = np.zeros((len(rows), len(self.terms)), np.float64)
-        for i, own in enumerate(rows):
-            x[i, list(own)] = 1
         with np.errstate(over="ignore"):
-            return 1 / (1 + np.exp(-_margin(x, self.bias, self.weights, self.factors)))
+            return 1 / (1 + np.exp(-_Rows(rows).margin(self.bias, self.weights, self.factors).astype(np.float64)))
+
+
+class _Rows:
+    """Rows of ones, as the columns of each, by row and by column."""
+
+    def __init__(self, rows: list, columns: int = 0):
+        self.size = np.fromiter(map(len, rows), np.int64, len(rows))
+        self.cols = np.concatenate([np.fromiter(sorted(r), np.int64, len(r)) for r in rows]) if len(rows) else np.zeros(0, np.int64)
+        self.row = np.repeat(np.arange(len(rows)), self.size)
+        if columns:
+            self._turn(columns)
+
+    def _turn(self, columns: int) -> None:
+        self.count = np.bincount(self.cols, minlength=columns)
+        self.rows_by_col = self.row[np.argsort(self.cols, kind="stable")]
+
+    def only(self, kept: np.ndarray) -> "_Rows":
+        """The kept columns, numbered anew."""
+        at = kept[self.cols]
+        made = _Rows([])
+        made.cols, made.row = (np.cumsum(kept) - 1)[self.cols[at]], self.row[at]
+        made.size = np.bincount(made.row, minlength=len(self.size))
+        made._turn(int(kept.sum()))
+        return made
+
+    @staticmethod
+    def _sums(values: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """For each group of so many places, the sum of the values there; one factor at a time, as that is contiguous."""
+        if values.ndim == 2:
+            return np.stack([_Rows._sums(np.ascontiguousarray(v), at, size) for v in values.T], 1)
+        out, some = np.zeros(len(size), values.dtype), size > 0
+        if some.any():
+            out[some] = np.add.reduceat(values[at], (np.cumsum(size) - size)[some])
+        return out
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """x @ values."""
+        return self._sums(values, self.cols, self.size)
+
+    def back(self, values: np.ndarray) -> np.ndarray:
+        """x.T @ values."""
+        return self._sums(values, self.rows_by_col, self.count)
+
+    def margin(self, bias: float, w: np.ndarray, v: np.ndarray) -> np.ndarray:
+        return bias + self.sums(w) + 0.5 * ((self.sums(v) ** 2).sum(1) - self.sums((v**2).sum(1)))
 
 
 def _margin(x: np.ndarray, bias: float, w: np.ndarray, v: np.ndarray) -> np.ndarray:
-    return bias + x @ w + 0.5 * ((x @ v) ** 2 - (x**2) @ (v**2)).sum(1)
+    return _Rows([np.flatnonzero(r) for r in x]).margin(bias, w, v)
 
 
-def fit(terms: np.ndarray, x: np.ndarray, y: np.ndarray, steps: int = 200, rate: float = 0.05, decay: float = 1e-3) -> FactorizationMachine:
-    """Logistic loss by Adam over all rows at once; the seed is fixed, so equal rows give equal machines."""
+def fit(terms: np.ndarray, x, y: np.ndarray, steps: int = 100, rate: float = 0.05, price: tuple[float, float] = PRICE) -> FactorizationMachine:
+    """Logistic loss over all rows of ones at once; the seed is fixed, so equal rows give equal machines.
+
+    x: for each row its columns, or a matrix. Steps are Adam's, each followed by
+    the proximal step of its metric: a weight, and a vector by its length, that
+    does not earn its price becomes zero. Columns with both at zero leave the fit.
+    """
     rng = np.random.default_rng(7)
-    n, k = x.shape
+    n, k = len(x), len(terms)
+    rows = _Rows([np.flatnonzero(r) for r in x] if isinstance(x, np.ndarray) else x, k)
     base = (y.sum() + 0.1) / (n + 1)  # without labels: not toxic
-    params = [np.array([np.log(base / (1 - base))]), np.zeros(k), rng.normal(0, 0.05, (k, FACTORS))]
+    params = [np.array([np.log(base / (1 - base))]), np.zeros(k, np.float32), rng.normal(0, 0.02, (k, FACTORS)).astype(np.float32)]
     m, s = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    x2 = x * x
     for step in range(1, (steps if n and k else 0) + 1):
         b, w, v = params
-        xv = x @ v
-        g = (1 / (1 + np.exp(-(b[0] + x @ w + 0.5 * (xv**2 - x2 @ (v**2)).sum(1)))) - y) / n
-        grads = [np.array([g.sum()]), x.T @ g + decay * w / k, x.T @ (g[:, None] * xv) - (x2.T @ g)[:, None] * v + decay * v]
-        for i, grad in enumerate(grads):
+        xv = rows.sums(v)
+        margin = b[0] + rows.sums(w) + 0.5 * ((xv**2).sum(1) - rows.sums((v**2).sum(1)))
+        g = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y) / n
+        g = g.astype(np.float32)
+        of = rows.back(g)
+        for i, grad in enumerate((np.array([g.sum()]), of, rows.back(g[:, None] * xv) - of[:, None] * v)):
             m[i] = 0.9 * m[i] + 0.1 * grad
-            s[i] = 0.99 * s[i] + 0.01 * grad**2
-            params[i] = params[i] - rate * (m[i] / (1 - 0.9**step)) / (np.sqrt(s[i] / (1 - 0.99**step)) + 1e-8)
+            s[i] = 0.99 * s[i] + 0.01 * (grad**2 if i < 2 else (grad**2).mean(1, keepdims=True))
+            size = rate / (np.sqrt(s[i] / (1 - 0.99**step)) + 1e-8)
+            to = params[i] - size * (m[i] / (1 - 0.9**step))
+            if i:
+                length = np.abs(to) if i == 1 else np.linalg.norm(to, axis=1, keepdims=True)
+                to = to * np.maximum(0, 1 - size * price[i - 1] / np.maximum(length, 1e-12))
+            params[i] = to
+        if step % 2 == 0:
+            kept = (params[1] != 0) | (params[2] != 0).any(1)
+            if not kept.all():
+                terms, rows = terms[kept], rows.only(kept)
+                params[1:], m[1:], s[1:] = ([p[kept] for p in group[1:]] for group in (params, m, s))
+            if not len(terms):
+                break
     return FactorizationMachine(terms, float(params[0][0]), params[1], params[2])
 
 
@@ -109,7 +173,7 @@ def _chosen(batches: Iterator[pa.RecordBatch], terms: np.ndarray) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int32()))], ["y", "own"])
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 5, rows: int = TRAIN_ROWS, least: float = 20.0) -> FactorizationMachine:
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 5, rows: int = TRAIN_ROWS) -> FactorizationMachine:
     """Learn from labelled rows whose crc32(id) modulo folds is not 0.
 
     An id with several labels counts as 1 if any is; null ids and labels are
@@ -120,21 +184,11 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     known = stash(known.orderBy(F.xxhash64("doc"), "doc").limit(rows), "labels")
     own = docs.select(F.col(doc_id).alias("doc"), text_bytes(text).alias("t")).join(F.broadcast(known), "doc")  # rows labels at most
     seen = stash(own.select("y", "t").mapInArrow(_terms, "y int, terms array<int>"), "terms")
-    n, pos = seen.agg(F.count("*"), F.sum("y")).first()
-    n, pos = n or 0, pos or 0
-    a, b = F.col("pos"), F.col("n") - F.col("pos")
-    c, d = F.lit(pos) - a, F.lit(n - pos) - b
-    chi = (F.lit(float(n)) * (a * d - b * c).cast("double") ** 2) / (((a + b).cast("double") * (c + d)) * ((a + c).cast("double") * (b + d)))
-    counts = seen.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
-    tested = counts.where((F.col("n") >= 3) & (F.lit(pos) > 0) & (F.lit(n - pos) > 0) & (F.col("n") < n)).withColumn("chi", chi)
-    top = tested.where(F.col("chi") >= least).orderBy(F.desc("chi"), "term").limit(FEATURES).select("term").collect()
-    terms = np.array(sorted(r.term for r in top), np.int64)
-    data = seen.mapInArrow(partial(_chosen, terms=terms), "y int, own array<int>").collect()  # rows of a few features
+    counts = seen.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT)
+    terms = np.sort(counts.select("term").toArrow().column(0).to_numpy().astype(np.int64))  # BUCKETS at most
+    data = seen.mapInArrow(partial(_chosen, terms=terms), "y int, own array<int>").collect()  # rows of labels at most
     data.sort(key=lambda r: (r.y, r.own))
-    x, y = np.zeros((len(data), len(terms))), np.array([r.y for r in data], np.float64)
-    for i, r in enumerate(data):
-        x[i, r.own] = 1
-    return fit(terms, x, y)
+    return fit(terms, [r.own for r in data], np.array([r.y for r in data], np.float64))
 
 
 def _scores(texts: list[bytes], machine: FactorizationMachine) -> np.ndarray:

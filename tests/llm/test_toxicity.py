@@ -21,6 +21,42 @@ def test_learns_an_interaction():
     assert ((machine.scores([set(np.flatnonzero(r)) for r in x]) >= 0.5) == y).all()
 
 
+def pair_texts(seed, n):
+    """Texts of which those are toxic that hold an insult and a group's mention: two insults, or two groups, are not."""
+    rng = random.Random(seed)
+    words, insults, groups = [f"w{i}" for i in range(400)], [f"insult{c}" for c in "abcd"], [f"group{c}" for c in "abcd"]
+    rows = []
+    for i in range(n):
+        own = rng.choice([[], rng.sample(insults, 1), rng.sample(insults, 2), rng.sample(groups, 1), rng.sample(groups, 2), *[[rng.choice(insults), rng.choice(groups)]] * 3])
+        text = rng.choices(words, k=rng.randint(20, 60)) + own
+        rng.shuffle(text)
+        rows.append((i, " ".join(text), int(len({w[:5] for w in own}) == 2)))
+    return rows
+
+
+def test_a_pair_alone_is_learnt_from_whole_texts(spark):
+    rows = pair_texts(1, 3000)
+    machine = train(spark.createDataFrame(rows, "doc_id long, text string, y int"), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    new = pair_texts(2, 1000)
+    y = np.array([r[2] for r in new])
+    found = [machine.features(r[1]) for r in new]
+    got = machine.scores(found) >= 0.5
+    assert (got == y).mean() > 0.95
+    machine.factors = machine.factors * 0
+    alone = machine.scores(found) >= 0.5
+    assert (alone != got).mean() > 0.1 and (alone == y).mean() < 0.9
+
+
+def test_factors_decide_on_the_labelled_tables(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    machine = train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    found = [machine.features(r.text or "") for r in docs.select("text").collect()]
+    scores = machine.scores(found)
+    machine.factors = machine.factors * 0
+    assert ((scores >= 0.5) != (machine.scores(found) >= 0.5)).any()
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
