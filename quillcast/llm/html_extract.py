@@ -2,10 +2,14 @@
 
 Markup is stripped into lines, one for each block of text. What is known by its
 markup not to be article text (menus, headers, footers, sidebars, notices,
-adverts, forms, comments, code) leaves a gap of lines without length. Over the
-lines' lengths a window of WINDOW lines is summed: the text starts at a surge
-of the sum and ends at a dive, and all lines between are kept. Where the page
-marks its article, the lines outside have no length, and any text is a surge.
+adverts, forms, comments, code) is left out. A line's size is its text outside
+links. Sizes are summed over windows of WINDOW lines: where a sum reaches SURGE
+the text surges, and where it falls below again it dives. The page's dense lines
+are those between, and they show where the article is: from the container of
+the densest window it is widened to the next outer one as long as that adds a
+SHARE of dense text; an article or main element is not left. All lines of that
+container are kept. If nothing but the page itself holds the dense lines, the
+text is what lies between its first surge and its last dive.
 
 Each page is its own job inside a mapInArrow batch: no shuffle, and no state.
 """
@@ -13,6 +17,7 @@ Each page is its own job inside a mapInArrow batch: no shuffle, and no state.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -20,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WINDOW, SURGE = 3, 86
+WINDOW, SURGE, SHARE = 3, 86, 0.25
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(>|\Z)?""", re.S)
 _ATTR = re.compile(r"""([a-zA-Z_:@][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -31,14 +36,21 @@ _RAW = frozenset("script style textarea title noscript template iframe xmp noemb
 _DROP = frozenset("head nav footer aside form menu dialog select button svg math object audio video canvas".split()) | _RAW
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar note".split())
+#: Whole class names and ids, with or without an ending for a box, that name what is no article text.
 _NAMES = re.compile(
-    r"(?:^|[-_\s])(?:ads?|adverts?|advertis\w*|adsense|adbox|adslot|banners?|sponsor\w*|promos?|promot\w*|sidebar|side|menus?|submenu|nav|navbar|navigation|topnav|breadcrumbs?|header|masthead|topbar|"
-    r"footer|foot|bottom|comments?|commentlist|disqus|repl(?:y|ies)|responses?|notices?|cookies?|consent|gdpr|popup|modal|overlay|newsletter|subscri\w*|signup|login|share|sharing|social|related|recommend\w*|"
-    r"widgets?|pagination|pager|search\w*|skip|copyright|legal|disclaimer|toolbar|alerts?|toc|tags?|hidden|byline|author-?box)(?:$|[-_\s])",
+    r"(?:ads?|adverts?|advertis\w*|adsense|banners?|sponsor(?:ed|s)?|promos?|promotions?|(?:side|nav)-?bar|(?:sub|top|main|site|side|page|global|footer|header)?[-_]?(?:menu|nav|navigation)|breadcrumbs?|"
+    r"(?:site|page|main|top|global)?[-_]?(?:header|footer)|masthead|topbar|(?:user|reader|post|article)?[-_]?comments?|commentlist|disqus|repl(?:y|ies)|(?:cookies?|site|legal|privacy|gdpr)?[-_]?(?:notices?|consent)|cookies?|gdpr|popup|modal|overlay|"
+    r"newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommend(?:ed|ations?)|widgets?|pagination|pager|search|skip-?link|copyright|disclaimer|toolbar)"
+    r"(?:[-_]?(?:ba(?:r|nner)|box(?:es)?|block|slot|unit|list|links?|items?|wrap(?:per)?|container|section|area|widget|inner|outer|top|bottom|left|right|form|buttons?|icons?|articles?|posts?|stories|\d+))*",
     re.I,
 )
-_COMMENT = re.compile(r"(?:^|[-_\s])(?:comments?|repl(?:y|ies)|related|recommend\w*|teaser|promos?|ads?)(?:$|[-_\s])", re.I)
-_BODY = re.compile(r"(?:^|[-_\s])(?:(?:article|post|entry|story|page|main)[-_]?(?:body|content|text)|content|main)(?:$|\s)", re.I)
+_NAMED = frozenset("div section ul ol dl aside span p figure table header".split())
+#: A paragraph, table or figure is text unless its name says that it was put there by others.
+_PLACED = re.compile(r"(?:ads?|adverts?|advertis\w*|sponsor(?:ed|s)?|promos?|(?:cookies?|legal|privacy)?[-_]?notices?|cookies?|newsletter|copyright|disclaimer)", re.I)
+_COMMENT = re.compile(r"(?:comments?|repl(?:y|ies)|related|recommend(?:ed|ations?)|teasers?|promos?|ads?)(?:[-_]?(?:item|box|body|\d+))*", re.I)
+_CONTAINERS = frozenset("article main section div td body".split())
+#: A dropped one of these ends where the next block begins.
+_LOOSE = frozenset("p li dt dd option".split())
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -46,130 +58,177 @@ def _attributes(text: str) -> dict[str, str]:
     return {k.lower(): unescape((v or "").strip("\"'")) for k, v in _ATTR.findall(text)}
 
 
-def _lines(html: str) -> Iterator[tuple[str, int, int]]:
-    """(text, characters of it inside links, zone); ('', 0, 0) is a gap. Zones: 2 article, 1 main part, 0 neither."""
-    parts: list[str] = []
-    links: list[str] = []
-    in_link = 0
-    zones: list[tuple[str, int]] = []  # open elements that mark the article, each with its zone
-    skip: list[str] = []  # a dropped element and those of its name inside it
-    headings_only = 0
-    at, end = 0, len(html)
-
-    def flush() -> tuple[str, int, int] | None:
-        text = " ".join(unescape("".join(parts)).split())
-        linked = len(" ".join(unescape("".join(links)).split()))
-        parts.clear(), links.clear()
-        return (text, linked, max((z for _, z in zones), default=0)) if text else None
-
-    while at < end:
-        m = _TOKEN.search(html, at)
-        chunk = html[at : m.start() if m else end]
-        if chunk and not skip:
-            parts.append(chunk)
-            if in_link:
-                links.append(chunk)
-        if not m:
-            break
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
-            continue
-        if m[4] is None:  # a quote that never closes: the tag still ends at the next >
-            close = html.find(">", at)
-            at = end if close < 0 else close + 1
-        closing = bool(m[1])
-        if skip:
-            if tag == skip[0]:
-                if closing:
-                    skip.pop()
-                elif tag not in _VOID and not (m[3] or "").endswith("/"):
-                    skip.append(tag)
-            elif not closing and tag in ("article", "main") and skip[0] not in ("article", "main", "form"):
-                skip.clear()  # the dropped element was never closed
-            if skip:
+def _dropped(tag: str, a: dict[str, str]) -> bool:
+    if tag in _DROP or a.get("role", "").lower() in _ROLES or "hidden" in a or a.get("aria-hidden") == "true" or _HIDDEN.search(a.get("style", "")):
+        return True
+    names = f"{a.get('class', '')} {a.get('id', '')}".split()
+    if tag == "article":
+        return any(_COMMENT.fullmatch(n) for n in names)
+    if tag not in _NAMED:
+        return False
+    known = _PLACED if tag in ("p", "table", "figure", "span") else _NAMES
+    return any(known.fullmatch(n) for n in names)
+
+
+class _Page:
+    """A page's lines (text, characters of it inside links, container), and the containers' outer ones and kinds."""
+
+    def __init__(self, html: str):
+        self.lines: list[tuple[str, int, int]] = []
+        self.outer, self.kind = [-1], ["html"]
+        parts: list[str] = []
+        links: list[str] = []
+        stack, own, opened = [("html", 0)], 0, Counter()  # open containers; the innermost; how many are open of each name
+        in_link, headings_only, depth = 0, False, 0  # depth: headers open inside an article
+        skip, inside = "", Counter()  # the element dropped, and what is open within it
+        at, end = 0, len(html)
+
+        def flush() -> None:
+            text = " ".join(unescape("".join(parts)).split())
+            if text:
+                self.lines.append((text, len(" ".join(unescape("".join(links)).split())), own))
+            parts.clear(), links.clear()
+
+        while at < end:
+            m = _TOKEN.search(html, at)
+            chunk = html[at : m.start() if m else end]
+            if chunk and not skip:
+                parts.append(chunk)
+                if in_link:
+                    links.append(chunk)
+            if not m:
+                break
+            at = m.end()
+            tag = (m[2] or "").lower()
+            if not tag:
                 continue
+            if m[4] is None:  # a quote that never closes: the tag still ends at the next >
+                close = html.find(">", at)
+                at = end if close < 0 else close + 1
+            closing, alone = bool(m[1]), tag in _VOID or (m[3] or "").endswith("/")
+            if skip:
+                if closing:
+                    if inside[tag]:
+                        inside[tag] -= 1
+                        if not inside[skip]:
+                            skip = ""
+                        continue
+                    if not opened[tag] or tag == skip:
+                        continue
+                    skip = ""  # its parent ends: it was never closed
+                elif skip in _LOOSE and (tag == skip or tag in _BLOCKS and skip == "p") or tag in ("article", "main") and skip not in ("article", "main", "form"):
+                    skip = ""
+                else:
+                    inside[tag] += not alone
+                    continue
+            if tag in _BLOCKS:
+                flush()
             if closing:
+                if tag == "a":
+                    in_link = max(0, in_link - 1)
+                elif tag == "header":
+                    headings_only = False
+                if opened[tag]:
+                    while True:
+                        name, _ = stack.pop()
+                        opened[name] -= 1
+                        depth -= name in ("article", "main")
+                        if name == tag:
+                            break
+                    own = stack[-1][1]
+                continue
+            if tag == "br":
+                parts.append(" ")
+                continue
+            a = _attributes(m[3]) if m[3] and ("=" in m[3] or "hidden" in m[3]) else {}
+            out = tag not in ("html", "body") and _dropped(tag, a)
+            if tag == "header" and not out:
+                headings_only, out = depth > 0, depth == 0
+            if out:
+                flush()
+                if tag in _RAW:
+                    close = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(html, at)
+                    at = close.end() if close else end
+                elif not alone:
+                    skip, inside = tag, Counter({tag: 1})
+                continue
+            if headings_only and tag in _BLOCKS and tag not in _HEADINGS and tag != "header":
+                skip, inside = tag, Counter({tag: 1})
                 continue
-        if tag in _BLOCKS and (line := flush()):
-            yield line
-        if closing:
             if tag == "a":
-                in_link = max(0, in_link - 1)
-            elif tag == "header":
-                headings_only = 0
-            for i in range(len(zones) - 1, -1, -1):
-                if zones[i][0] == tag:
-                    del zones[i:]
-                    break
-            continue
-        if tag == "br":
-            parts.append(" ")
-            continue
-        a = _attributes(m[3]) if m[3] and "=" in m[3] or m[3] and "hidden" in m[3] else {}
-        named = f"{a.get('class', '')} {a.get('id', '')}"
-        out = tag in _DROP or a.get("role", "").lower() in _ROLES or "hidden" in a or a.get("aria-hidden") == "true" or bool(_HIDDEN.search(a.get("style", "")))
-        if tag == "header":
-            if zones:
-                headings_only = 1
-            else:
-                out = True
-        elif tag == "article":
-            out = out or bool(_COMMENT.search(named))
-        elif tag not in ("html", "body", "main") and tag not in _HEADINGS and named.strip():
-            out = out or bool(_NAMES.search(named))
-        if out and tag not in ("html", "body"):
-            if line := flush():
-                yield line
-            yield ("", 0, 0)
-            if tag in _RAW:
-                close = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(html, at)
-                at = close.end() if close else end
-            elif tag not in _VOID and not m[3].endswith("/"):
-                skip.append(tag)
-            continue
-        if headings_only and tag in _BLOCKS and tag not in _HEADINGS and tag != "header":
-            skip.append(tag)
-            continue
-        if tag == "a":
-            in_link += 1
-        if tag == "article" or a.get("itemprop") == "articleBody":
-            zones.append((tag, 2))
-        elif tag == "main" or a.get("role") == "main" or tag in ("div", "section", "td") and _BODY.search(named):
-            zones.append((tag, 1))
-        elif zones and tag == zones[-1][0]:
-            zones.append((tag, zones[-1][1]))  # one more of its name to close
-    if line := flush():
-        yield line
+                in_link += 1
+            if tag in _CONTAINERS and not alone:
+                self.outer.append(own)
+                self.kind.append("article" if tag == "article" or a.get("itemprop") == "articleBody" else "main" if tag == "main" or a.get("role") == "main" else "html" if tag == "body" else tag)
+                own = len(self.outer) - 1
+                stack.append((tag, own))
+                opened[tag] += 1
+                depth += tag in ("article", "main")
+        flush()
+
+
+def dense_lines(sizes: list[int], window: int = WINDOW, surge: int = SURGE) -> list[bool]:
+    """Whether each line lies in a window of lines whose sizes add up to the surge, or to the page's largest sum if none does; lines without size don't."""
+    ends = [0]
+    for s in sizes:
+        ends.append(ends[-1] + s)
+    n = len(sizes)
+    sums = [ends[min(n, i + window)] - ends[i] for i in range(max(1, n - window + 1))]
+    least = max(1, min(surge, max(sums)))
+    dense, until = [], 0
+    for i in range(n):
+        if i < len(sums) and sums[i] >= least:
+            until = i + window
+        dense.append(i < until and sizes[i] > 0)
+    return dense
 
 
 def main_text(html: str) -> str:
     """The article's blocks, joined by empty lines; '' if the page has no text."""
-    lines = list(_lines(html))
-    zone = max((z for text, _, z in lines if text), default=0)
-    if zone:
-        sizes, surge = [len(t) if z == zone else 0 for t, _, z in lines], 1
+    page = _Page(html)
+    lines = page.lines
+    sizes = [len(t) - linked if 2 * linked <= len(t) else 0 for t, linked, _ in lines]
+    if not any(sizes):
+        sizes = [len(t) for t, _, _ in lines]
+    if not lines:
+        return ""
+    dense = dense_lines(sizes)
+    held = [0] * len(page.outer)  # dense text of each container and all within it
+    for (_, _, own), size, d in zip(lines, sizes, dense):
+        held[own] += size * d
+    for i in range(len(held) - 1, 0, -1):  # an outer container always comes before
+        held[page.outer[i]] += held[i]
+    marked = [i for i, kind in enumerate(page.kind) if kind in ("article", "main") and held[i]]
+    if marked:
+        most = max(held[i] for i in marked)
+        roots = {i for i in marked if held[i] >= SHARE * most}
+        roots = {i for i in roots if page.kind[i] == "article"} or roots
     else:
-        sizes, surge = [len(t) if 2 * linked <= len(t) else 0 for t, linked, _ in lines], SURGE
-    runs, at = [], 0
-    while at < len(sizes):
-        stop = at
-        while stop < len(sizes) and sizes[stop]:
-            stop += 1
-        if stop > at:
-            runs.append((at, stop))
-        at = max(stop, at + 1)
-    kept = []
-    for start, stop in runs:
-        ahead = [sum(sizes[i : min(i + WINDOW, stop)]) for i in range(start, stop)]
-        behind = [sum(sizes[max(start, i - WINDOW + 1) : i + 1]) for i in range(start, stop)]
-        up = [start + i for i, s in enumerate(ahead) if s >= surge]
-        down = [start + i for i, s in enumerate(behind) if s >= surge]
-        if up and down:
-            kept.append((up[0], max(down[-1], up[0]) + 1))
-    if not kept and runs:
-        kept = [max(runs, key=lambda r: sum(sizes[r[0] : r[1]]))]
-    return "\n\n".join(lines[i][0] for start, stop in kept for i in range(start, stop))
+        sums = [sum(s for s, d in zip(sizes[i : i + WINDOW], dense[i : i + WINDOW]) if d) for i in range(len(sizes))]
+        top = next(i for i in range(len(sizes)) if sums[i] == max(sums))
+        root = lines[next(i for i in range(top, len(sizes)) if dense[i])][2]
+        up = root
+        while up > 0:
+            up = page.outer[up]
+            if held[up] >= (1 + SHARE) * held[root]:
+                root = up
+        roots = {root}
+    within = [False] * len(page.outer)
+    for i in range(len(within)):
+        within[i] = i in roots or i > 0 and within[page.outer[i]]
+    kept = [i for i, (_, _, own) in enumerate(lines) if within[own]]
+    if all(page.kind[i] == "html" for i in roots):
+        some = [i for i in kept if dense[i]]
+        kept = [i for i in kept if some[0] - WINDOW < i < some[-1] + WINDOW and _joins(i, some, sizes)]
+    return "\n\n".join(lines[i][0] for i in kept)
+
+
+def _joins(i: int, some: list[int], sizes: list[int]) -> bool:
+    """Whether the line lies between the first surge and the last dive, the windows at both ends included."""
+    if some[0] <= i <= some[-1]:
+        return True
+    span = range(i, some[0]) if i < some[0] else range(some[-1] + 1, i + 1)
+    return all(sizes[k] for k in span)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,4 +1,10 @@
-from quillcast.llm.html_extract import extract_pages, main_text
+import random
+import re
+import time
+
+import pytest
+
+from quillcast.llm.html_extract import dense_lines, extract_pages, main_text
 from quillcast.llm.queries import op2_html_extraction
 
 LONG = "A paragraph of the article that is long enough to make the sum of a window surge past any threshold. "
@@ -30,6 +36,51 @@ def test_broken_markup():
     assert main_text("") == "" and main_text("<br><p></p>") == ""
 
 
+def test_dense_lines_against_every_window():
+    rng = random.Random(2)
+    for _ in range(500):
+        sizes = [rng.choice([0, 0, 3, 20, 60, 300]) for _ in range(rng.randint(1, 25))]
+        windows = [range(i, min(i + 3, len(sizes))) for i in range(max(1, len(sizes) - 2))]
+        least = max(1, min(86, max(sum(sizes[k] for k in w) for w in windows)))
+        surging = {k for w in windows if sum(sizes[k] for k in w) >= least for k in w}
+        assert dense_lines(sizes) == [k in surging and sizes[k] > 0 for k in range(len(sizes))]
+
+
+def test_windows_find_the_article_under_any_name(spark, sf_dir):
+    """The driver's pages with their article, menu and footer renamed to plain divs give the same text."""
+    pages = [r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("html").collect()]
+    plain = [re.sub(r"<(/?)(?:article|nav|footer)>", r"<\1div>", h) for h in pages]
+    same = [main_text(a) == main_text(b) for a, b in zip(pages, plain)]
+    assert sum(same) >= 0.9 * len(same)
+
+
+@pytest.mark.parametrize("tag", ['<p id="social-contract">', '<section id="bottom-line">', '<blockquote class="response">', '<table class="tags"><tr><td>', '<div class="article-menus-history">', '<p id="search-party">'])
+def test_names_that_only_resemble_those_of_boxes_keep_their_text(tag):
+    assert main_text(f"<article><p>{LONG}</p>{tag}kept</article>") == f"{LONG.strip()}\n\nkept"
+
+
+@pytest.mark.parametrize("tag", ['<div class="ad">', '<div id="sidebar">', '<ul class="main-menu">', '<div class="cookie-banner">', '<section class="comments">', '<div class="comment-list">', '<div class="newsletter-signup-box" role=form>', '<p class="advert">', "<aside>", '<div class="site-footer">', '<div class="related-posts">'])
+def test_boxes_lose_their_text(tag):
+    end = re.match(r"<(\w+)", tag)[1]
+    assert main_text(f"<article><p>{LONG}</p>{tag}{LONG}</{end}><p>End.</p></article>") == f"{LONG.strip()}\n\nEnd."
+
+
+def test_teasers_and_short_lines():
+    assert main_text(f"<article class=card>Teaser</article><main><p>{LONG}</p><p>x</p></main>") == f"{LONG.strip()}\n\nx"
+    assert main_text(f"<div class=post><p>{LONG}</p><p>a</p><p>b</p><p>c</p><p>d</p></div>") == "\n\n".join([LONG.strip(), *"abcd"])
+    assert main_text(f"<div><section><p>{LONG}</p></section><section><p>b</p><p>{LONG}</p></section></div><div>Imprint</div>") == "\n\n".join([LONG.strip(), "b", LONG.strip()])
+    assert main_text("<article><p class=advert>By X<p>text<p>more</article>") == "text\n\nmore"
+
+
+def test_time_is_linear_in_depth():
+    took = []
+    for n in (4000, 16_000):
+        began = time.process_time()
+        main_text("<article>" + "<div>a b" * n + "</article>")
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * took[0] + 0.1
+
+
 def test_query(spark, sf_dir):
     rows = op2_html_extraction(spark, sf_dir).collect()
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").count()
