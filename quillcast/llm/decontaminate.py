@@ -1,7 +1,9 @@
 """Benchmark decontamination by templates: numbers, names and units become typed placeholders.
 
-A text's words are put in canonical form, placeholders included, and every
-window of WINDOW words is hashed. A fixed bitmap of the benchmark's window
+A text's words are put in canonical form, placeholders included; words in a row
+that form one name or number get one placeholder. Every window of WINDOW words
+is hashed. Items that differ only in what fills their slots are one class and
+are searched for once. A fixed bitmap of the benchmark's window
 hashes (BITS bits, whatever the benchmark's size) goes to every task, so that
 only windows that may match leave the document they are in; those are joined
 with the benchmark's windows by hash. A document holds an item if, along one
@@ -57,7 +59,7 @@ def _forms(token: str) -> tuple[int, int, bool]:
     low = core.lower()
     if not core:
         return 0, 0, ends
-    if any(c.isdigit() for c in core) or low in NUMBER_WORDS:
+    if any(c.isdigit() for c in core) or all(part in NUMBER_WORDS for part in low.split("-")):
         return _hash(_NUMBER), _hash(_NUMBER), ends
     if low in UNITS:
         return _hash(_UNIT), _hash(_UNIT), ends
@@ -68,6 +70,8 @@ def _forms(token: str) -> tuple[int, int, bool]:
 
 _SLOTS = {_hash(s): s[1] for s in (_NUMBER, _NAME, _UNIT)}
 _SLOT_HASHES = np.array(sorted(_SLOTS), np.uint64)
+_RUNS = np.array([_hash(_NUMBER), _hash(_NAME)], np.uint64)
+_BREAKS = frozenset(".,;:!?)]}\"'”’»…")
 _ODD = np.random.default_rng(5).integers(1, 2**63, 64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -91,7 +95,22 @@ class Templates:
         start = np.concatenate(([True], np.array(ends[:-1], bool)))
         h = np.where(start, np.array(first, np.uint64), np.array(inside, np.uint64))
         keep = h != 0
-        return h[keep], tokens if keep.all() else [t for t, k in zip(tokens, keep) if k]
+        if not keep.all():
+            h, tokens = h[keep], [t for t, k in zip(tokens, keep) if k]
+        # a run of one kind goes on over any word that no punctuation ends
+        on = np.zeros(len(h), bool)
+        on[1:] = (h[1:] == h[:-1]) & np.isin(h[1:], _RUNS)
+        for i in np.flatnonzero(on).tolist():
+            on[i] = tokens[i - 1][-1] not in _BREAKS
+        if not on.any():
+            return h, tokens
+        joined: list[str] = []
+        for t, o in zip(tokens, on.tolist()):
+            if o:
+                joined[-1] += " " + t
+            else:
+                joined.append(t)
+        return h[~on], joined
 
     def windows(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions and hashes of the windows that hold at least one word that is no placeholder."""
@@ -112,6 +131,13 @@ class Templates:
     def slots(self, words: np.ndarray, tokens: list[str], at: int) -> list[str]:
         return [_SLOTS[int(w)] + t.strip(_EDGES).lower() for w, t in zip(words[at : at + self.window], tokens[at : at + self.window]) if int(w) in _SLOTS]
 
+    def numbered(self, words: np.ndarray, tokens: list[str]) -> list[str]:
+        """The tokens, but each slot's value by its number in the text: equal values share a number."""
+        seen: dict[str, int] = {}
+        slot = np.isin(words, _SLOT_HASHES).tolist()
+        value = [f"{w}{t.strip(_EDGES).lower()}" if s else "" for w, t, s in zip(words.tolist(), tokens, slot)]
+        return [str(seen.setdefault(v, len(seen))) if s else t for t, v, s in zip(tokens, value, slot)]
+
 
 def _windows(batches: Iterator[pa.RecordBatch], window: int, bitmap: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     """(row, n, at, hash, slots) for each window, or each that the bitmap knows."""
@@ -120,6 +146,8 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int, bitmap: np.ndarray
         out: list[tuple] = []
         for row, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             words, tokens = made.words(text.as_py().decode("utf-8", "replace"))
+            if bitmap is None:
+                tokens = made.numbered(words, tokens)
             at, h = made.windows(words)
             n = len(at)
             if bitmap is not None:
@@ -133,6 +161,18 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int, bitmap: np.ndarray
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["row", "n", "at", "hash", "slots"])
 
 
+def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(no, item, class, text): the class is the item's words and which of its slots are alike."""
+    made = Templates()
+    for batch in batches:
+        found = []
+        for text in batch.column(2):
+            words, tokens = made.words(text.as_py().decode("utf-8", "replace"))
+            slots = [t for t, s in zip(made.numbered(words, tokens), np.isin(words, _SLOT_HASHES).tolist()) if s]
+            found.append(xxhash.xxh128_hexdigest(words.tobytes() + " ".join(slots).encode()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string()), batch.column(2)], ["no", "item", "class", "t"])
+
+
 def aligned(by_at: dict[int, dict[int, tuple]], shift: int) -> dict[int, tuple]:
     """The match of each item window along the shift: there, or else nearest to it and in order with those before it and with those that are there."""
     ats = sorted(by_at)
@@ -175,24 +215,19 @@ def _agreeing(batches: Iterator[pa.RecordBatch], min_coverage: float) -> Iterato
     for batch in batches:
         pair = batch.column(0)
         found = [coverage_of(met.as_py(), n, min_coverage) for n, met in zip(batch.column(1).to_pylist(), batch.column(2))]
-        made = pa.RecordBatch.from_arrays([pair.field(0), pair.field(1), pa.array(found, pa.float64())], ["doc", "item", "coverage"])
+        made = pa.RecordBatch.from_arrays([pair.field(0), pair.field(1), pa.array(found, pa.float64())], ["doc", "no", "coverage"])
         yield made.filter(made.column(2).is_valid())
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, min_coverage: float = 0.5) -> DataFrame:
-    """(doc_id, item_id, coverage): the items that each document holds, with the share of the item's windows found.
-
-    Null or empty texts, and items of fewer than window words or without one
-    literal word in a window, match nothing. A null id is reported as null.
-    Documents or items that share an id are one for the result: the best
-    coverage counts. Empty tables: empty result. Other columns are ignored.
-    """
-    kinds = {"doc": docs.schema[doc_id].dataType.simpleString(), "item": benchmark.schema[item_id].dataType.simpleString()}
-    items = benchmark.select(F.col(item_id).alias("row"), text_bytes(item_text).alias("t"))
-    # a row number of its own keeps items with one id apart
-    items = stash(items.withColumn("no", F.monotonically_increasing_id()), "items")
-    theirs = items.select("no", "t").mapInArrow(partial(_windows, window=window, bitmap=None), "row long, n long, at long, hash long, slots array<string>")
-    theirs = stash(theirs.withColumnRenamed("row", "no").join(items.select("no", F.col("row").alias("item")), "no"), "item-windows")
+def _held(docs: DataFrame, benchmark: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, window: int, min_coverage: float) -> tuple[DataFrame, DataFrame]:
+    """(doc, no, coverage) for the classes of items that documents hold, and (no, item): the items of each class."""
+    kind = docs.schema[doc_id].dataType.simpleString()
+    items = benchmark.select(F.monotonically_increasing_id().alias("no"), F.col(item_id).alias("item"), text_bytes(item_text).alias("t"))
+    items = stash(items.mapInArrow(_classes, f"no long, item {benchmark.schema[item_id].dataType.simpleString()}, class string, t binary"), "items")
+    firsts = stash(items.groupBy("class").agg(F.min("no").alias("no"), F.first("t").alias("t")), "item-classes")
+    members = items.select("class", "item").distinct().join(firsts.select("class", "no"), "class").select("no", "item")
+    theirs = firsts.select("no", "t").mapInArrow(partial(_windows, window=window, bitmap=None), "row long, n long, at long, hash long, slots array<string>")
+    theirs = stash(theirs.withColumnRenamed("row", "no"), "item-windows")
     bits = np.zeros(1 << (BITS - 3), np.uint8)
     bucket = F.shiftrightunsigned("hash", 64 - BITS)
     byte = theirs.select(F.shiftright(bucket, 3).alias("byte"), F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), F.pmod(bucket, F.lit(8)).cast("int") + 1).alias("bit"))
@@ -200,21 +235,34 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc
         bits[r.byte] = r.bits
     rows = docs.select(F.col(doc_id).alias("doc"), text_bytes(text).alias("t")).withColumn("row", F.monotonically_increasing_id())
     rows = rows.select(F.struct("row", "doc").alias("row"), "t")
-    mine = rows.mapInArrow(partial(_windows, window=window, bitmap=bits), f"row struct<row:long,doc:{kinds['doc']}>, n long, at long, hash long, slots array<string>")
+    mine = rows.mapInArrow(partial(_windows, window=window, bitmap=bits), f"row struct<row:long,doc:{kind}>, n long, at long, hash long, slots array<string>")
     mine = mine.select("row", F.col("at").alias("doc_at"), "hash", F.col("slots").alias("doc_slots"))
     met = mine.join(theirs, "hash").withColumn("shift", F.col("doc_at") - F.col("at"))
     # two grids of alignments, half a step apart, so that no alignment sits at an edge of both
     near = F.explode(F.array(*[F.struct(F.lit(g).alias("grid"), F.floor((F.col("shift") + g * DRIFT // 2) / DRIFT).alias("band")) for g in (0, 1)]))
-    met = met.select("row", "no", "item", "n", "at", "shift", "slots", "doc_slots", near.alias("near"))
+    met = met.select("row", "no", "n", "at", "shift", "slots", "doc_slots", near.alias("near"))
     # a band holds at most DRIFT matches of each of the item's windows
-    held = met.groupBy("row", "no", "item", "near").agg(F.first("n").alias("n"), F.collect_list(F.struct("at", "shift", "slots", "doc_slots")).alias("met"))
+    held = met.groupBy("row", "no", "near").agg(F.first("n").alias("n"), F.collect_list(F.struct("at", "shift", "slots", "doc_slots")).alias("met"))
     held = held.where(F.size(F.array_distinct("met.at")) / F.col("n") >= min_coverage)
-    named = held.select(F.struct("row.doc", "item").alias("pair"), "n", "met")
-    same = named.mapInArrow(partial(_agreeing, min_coverage=min_coverage), f"doc {kinds['doc']}, item {kinds['item']}, coverage double")
-    return same.groupBy(F.col("doc").alias(doc_id), F.col("item").alias(item_id)).agg(F.max("coverage").alias("coverage"))
+    named = held.select(F.struct("row.doc", "no").alias("pair"), "n", "met")
+    same = named.mapInArrow(partial(_agreeing, min_coverage=min_coverage), f"doc {kind}, no long, coverage double")
+    return same.groupBy("doc", "no").agg(F.max("coverage").alias("coverage")), members
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, min_coverage: float = 0.5) -> DataFrame:
+    """(doc_id, item_id, coverage): the items that each document holds, with the share of the item's windows found.
+
+    Null or empty texts, and items of fewer than window words or without one
+    literal word in a window, match nothing. A null id is reported as null.
+    Documents or items that share an id are one for the result: the best
+    coverage counts. Items of one template are all reported. Empty tables: empty
+    result. Other columns are ignored.
+    """
+    found, members = _held(docs, benchmark, doc_id, text, item_id, item_text, window, min_coverage)
+    return found.join(members, "no").groupBy(F.col("doc").alias(doc_id), F.col("item").alias(item_id)).agg(F.max("coverage").alias("coverage"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs, all columns, whose id holds no item. Rows with a null id go together."""
-    found = find_contamination(docs, benchmark, doc_id, **options).select(F.col(doc_id).alias("__held")).distinct()
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, min_coverage: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns, whose id holds no item. Rows with a null id go together. Odd rows: as for find_contamination."""
+    found = _held(docs, benchmark, doc_id, text, item_id, item_text, window, min_coverage)[0].select(F.col("doc").alias("__held")).distinct()
     return docs.join(found, docs[doc_id].eqNullSafe(found["__held"]), "left_anti")

@@ -1,3 +1,4 @@
+import random
 import re
 from collections import defaultdict
 
@@ -47,6 +48,47 @@ def test_repeats_within_an_item_do_not_tear_its_copies(spark):
     assert got[1, 1] == got[2, 1] == 1 and got[3, 1] > 0.9  # a sentence's first word is no name
 
 
+def test_names_and_numbers_of_several_words_fill_one_slot(spark):
+    filler = "Some other words come before this. " * 20
+    docs = [
+        (1, f"{filler}{ITEM.replace('Alice', 'Maria Garcia')} {filler}", 0),
+        (2, f"{filler}{ITEM.replace('12', '7 hundred')} {filler}", 0),
+        (3, f"{filler}{ITEM.replace('12', 'twenty-five').replace('Alice', 'Jan de Vries').replace('Jan de', 'Jan')} {filler}", 0),
+        (4, f"{filler}{ITEM.replace('12', '7 hundred', 1)} {filler}", 0),
+        (5, filler, 0),
+    ]
+    assert set(found(spark, docs)) == {(1, 1), (2, 1), (3, 1)}
+    items = [(1, ITEM.replace("Alice", "Maria Garcia").replace("12", "two hundred"))]
+    assert set(found(spark, [(1, ITEM, 0), (2, filler, 0)], items)) == {(1, 1)}
+
+
+def test_templates_against_brute_force(spark):
+    """Questions made from templates: a document holds a question's template if its values fill the slots alike."""
+    rng = random.Random(6)
+    names, nouns, things = ["Alice", "Bob", "Maria Garcia", "Chen"], ["apples", "pears", "coins", "stamps"], ["box", "bag", "shop"]
+    templates = [
+        lambda a, b, n, m: f"Every day the shop sends {n} {nouns[0]} to {a} while {b} asks for {m} more and returns {n} of them to the shop in the evening.",
+        lambda a, b, n, m: f"How many {nouns[1]} are left over if {a} had {n} of them and {b} took away {m} but {a} found {m} under the table again?",
+        lambda a, b, n, m: f"There are {n} {nouns[2]} in the {things[1]} of {a} and exactly {m} in the one that {b} carried home from the market that day.",
+    ]
+    fill = lambda: (*rng.sample(names, 2), *rng.sample(range(2, 900), 2))
+    items = [(i, templates[i % 3](*fill())) for i in range(30)]
+    docs, expected = [], set()
+    for d in range(60):
+        kind = rng.choice(["clean", "same", "torn"])
+        t = rng.randrange(3)
+        text = templates[t](*fill()) if kind == "same" else ""
+        if kind == "torn":  # each mention has a value of its own
+            text = re.sub(r"\d+", lambda m: str(rng.randint(1000, 9999)), templates[t](*fill()))
+            text = re.sub("|".join(names), lambda m: rng.choice(["Otto", "Ida", "Nils", "Eva"]) + rng.choice(["bert", "na", "son"]), text)
+        docs.append((d, "Plain words go before it here. " * 3 + text + " And others come after that.", 0))
+        if kind == "same":
+            expected |= {(d, i) for i, _ in items if i % 3 == t}
+        elif kind == "torn" and t == 2:  # no value of this one comes twice: any values fill it
+            expected |= {(d, i) for i, _ in items if i % 3 == t}
+    assert set(found(spark, docs, items)) == expected and expected
+
+
 def test_documents_against_brute_force(spark, sf_dir):
     norm = lambda t: [w for w in (re.sub(r"^[\W_]+|[\W_]+$", "", x).lower() for x in (t or "").split()) if w]
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
