@@ -86,8 +86,8 @@ def _witness(batches: Iterator[pa.RecordBatch], langs: list[str], table: np.ndar
             total = np.zeros(len(langs))
             for at in range(0, len(c), _CHUNK):
                 total += flat[c[at : at + _CHUNK]].sum(0, dtype=np.float64)
-            # trigrams overlap and repeat: beyond TRUST of them, more text adds no more weight
-            found.append((total * min(1.0, TRUST / max(1, len(c)))).tolist())
+            # trigrams overlap and repeat: beyond TRUST of them, evidence grows with the root of their number
+            found.append((total * min(1.0, (TRUST / max(1, len(c))) ** 0.5)).tolist())
         ll = pa.array(found, pa.list_(pa.float64()))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(declared, pa.string()), ll], ["id", "declared", "ll"])
 

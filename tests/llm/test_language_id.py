@@ -45,6 +45,16 @@ def test_declared_language_is_found_wherever_it_stands():
     assert declared_language(b"<meta " * 200_000) is None
 
 
+def test_longer_texts_are_stronger_evidence(spark):
+    docs, langs, table = model(spark)
+    words = "the cat and the dog sat avec eux with that other thing in une maison "
+    rows = [(n, words * n, "http://site.com/") for n in (4, 16, 64)]
+    texts = spark.createDataFrame(rows, "id long, content string, url string")
+    got = {r.id: r for r in identify(texts, langs, table, markup=False).collect()}
+    assert {r.lang for r in got.values()} == {"en"}
+    assert got[4].confidence <= got[16].confidence <= got[64].confidence
+
+
 def test_odd_rows(spark):
     docs, langs, table = model(spark)
     rows = [(None, None, None, 1), (1, "", "", 1), (1, "", "", 1), (2, "the dog " * 50_000, "not an address", 1)]
