@@ -1,20 +1,22 @@
 """Language-model scoring by prediction by partial matching over bytes, with a unigram base score.
 
 Model. Contexts of 0 to ORDER bytes and the bytes seen after them are counted
-over all training texts. A byte is coded in the longest known context; if it
-was never seen there, an escape is coded and the next shorter context tried,
-where bytes already ruled out by the longer one are excluded from the counts.
-Escapes get as much weight as the context saw different bytes, and the counts
-of those pruned away. The last resort is a uniform choice.
-
-Scale. Counting is combined in each task and again before the shuffle, over all
-training text. A (context, byte) pair stays in the trie if it makes up at least
-1/CELLS of all bytes; so each order keeps CELLS pairs at most, whatever the
-corpus, and the trie that every task gets has a proven size. The threshold is
-a share, so it acts alike at every size. Word counts for the base score are
-complete: words of a share of at least 1/CELLS of all tokens (CELLS at most)
-are looked up in each task, and only the rest, by the hash of the word, are
-joined with their documents.
+over all training texts; nothing is pruned, so the trie grows with the corpus. A
+byte is coded in the longest known context; if it was never seen there, an
+escape is coded and the next shorter context tried, where bytes already ruled
+out by the longer one are excluded from the counts. Escapes get as much weight
+as the context saw different bytes. The last resort is a uniform choice.
+
+Scale. A byte's probability depends on it and the ORDER bytes before it alone,
+so each such gram of the corpus is scored once. Counting is combined in each
+task and again before the shuffle. The trie is sharded by the last two bytes of
+the context: a shard has all longer contexts of its grams, and the orders below
+are 65,536 pairs at most, which every task gets. Grams that make up at least
+1/GRAMS of all bytes (GRAMS at most) are then looked up in each task; only the
+rest, by their number in each text, are joined with the scored grams. So are
+words: those of a share of at least 1/CELLS of all tokens (CELLS at most) are
+looked up, the rest joined. The shares decide where a value is found, never
+which.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -33,8 +36,8 @@ from .perfect_hash import mix
 from .tables import fold_of, stash, text_bytes
 
 ORDER = 6
-#: Bound on the pairs of one order, and on the words, that every task knows.
-CELLS = 1 << 20
+#: Bounds on the words and on the grams whose values every task knows.
+CELLS, GRAMS = 1 << 20, 1 << 21
 _CHUNK = 2 << 20
 _FLUSH = 400_000
 
@@ -179,8 +182,8 @@ class PpmModel:
         return out
 
 
-def pairs_of(codes: np.ndarray, counts: np.ndarray, order: int, least: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Every order's pairs of at least the given count, from the longest grams: what the job does, for one machine."""
+def pairs_of(codes: np.ndarray, counts: np.ndarray, order: int, least: int = 1) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Every order's pairs of at least the given count, from the longest grams."""
     found = []
     for j in range(order + 1):
         u, at = np.unique(codes & np.uint64((1 << (8 * (j + 1))) - 1), return_inverse=True)
@@ -189,6 +192,18 @@ def pairs_of(codes: np.ndarray, counts: np.ndarray, order: int, least: int) -> l
     return found
 
 
+def shard_scores(codes: np.ndarray, counts: np.ndarray, order: int, low: np.ndarray) -> np.ndarray:
+    """Log10 probabilities of grams that share the last two bytes of their context. low: counts of all pairs of bytes."""
+    seen = counts > 0
+    pairs = pairs_of(codes[seen], counts[seen], order)
+    own = int(codes[0]) >> 8 & 255
+    for j, n, first in ((0, low.sum(0), 0), (1, low[own], own << 8)):
+        if j <= order:
+            at = np.flatnonzero(n)
+            pairs[j] = (at.astype(np.uint64) + np.uint64(first), n[at])
+    return PpmModel(order, pairs).log10(codes)
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.asarray(x, np.uint64).view(np.int64))
 
@@ -198,7 +213,7 @@ def _hash_words(words) -> np.ndarray:
 
 
 def _counted(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
-    """(kind, key, n): 0 a gram's code, 1 a word's hash, 2 the texts. Sums within a task are flushed when large."""
+    """(kind, key, n): 0 a gram's code, 1 a word's hash, 2 the texts; n counts training texts alone. Sums within a task are flushed when large."""
     words: Counter = Counter()
     texts = 0
 
@@ -211,30 +226,41 @@ def _counted(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.Recor
         return made
 
     for batch in batches:
-        held = batch.column(0).to_pylist()
-        texts += len(held)
-        for _, part in chunks(held):
-            split = [normal_words(t) for t in part]
-            for w in split:
-                words.update(w)
-                if len(words) > _FLUSH:
-                    yield flush()
-            yield out(0, *np.unique(grams([b" ".join(w) for w in split], order)[0], return_counts=True))
+        left_out = batch.column(1).to_pylist()
+        for learnt in (True, False):
+            held = [t for t, h in zip(batch.column(0).to_pylist(), left_out) if h != learnt]
+            texts += len(held) * learnt
+            for _, part in chunks(held):
+                split = [normal_words(t) for t in part]
+                codes, n = np.unique(grams([b" ".join(w) for w in split], order)[0], return_counts=True)
+                yield out(0, codes, n * learnt)
+                for w in split if learnt else ():
+                    words.update(w)
+                    if len(words) > _FLUSH:
+                        yield flush()
     yield flush()
     yield out(2, np.zeros(1, np.uint64), np.array([texts]))
 
 
 def _scored(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    """Kind 0: a text's tokens, known ones, sum of log counts and score, without its rarer words; kind 1: those words."""
-    model, heavy, heavy_n, end_n = shared.value
+    """Kind 0: a text's tokens, known ones, sum of log counts and score, without its rarer words and grams; kinds 1 and 2: those."""
+    order, common, values, heavy, heavy_n, end_n = shared.value
+    table = _Table(common)
     names = ["kind", "row", "h", "tf", "n_known", "log_sum", "score"]
+    rest = lambda kind, rows, h, tf: pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), kind, np.int8)), pa.array(rows), _signed(h), pa.array(tf), *(pa.nulls(len(rows), t) for t in (pa.int64(), pa.float64(), pa.float64()))], names)
     for batch in batches:
         rows, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
         for at, part in chunks(texts):
             own = rows[at : at + len(part)]
             split = [normal_words(t) for t in part]
-            codes, of = grams([b" ".join(w) for w in split], model.order)
-            score = np.bincount(of, model.log10(codes), len(part))
+            codes, of = grams([b" ".join(w) for w in split], order)
+            found = table.find(codes)
+            hit = found >= 0
+            score = np.bincount(of[hit], values[found[hit]], len(part)).astype(np.float64)  # of nothing, bincount gives integers
+            codes, of = codes[~hit], of[~hit]
+            by = np.lexsort((codes, of))
+            codes, of = codes[by], of[by]
+            new = np.flatnonzero(np.concatenate(([True], (codes[1:] != codes[:-1]) | (of[1:] != of[:-1])))) if len(codes) else np.zeros(0, np.int64)
             counts = [Counter(w) for w in split]
             doc = np.repeat(np.arange(len(part)), [len(c) for c in counts])
             h = np.concatenate([_hash_words(c.keys()) for c in counts])
@@ -245,12 +271,13 @@ def _scored(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatc
             n_known = np.bincount(doc[known], tf[known], len(part)).astype(np.int64) + (end_n > 0)
             log_sum = np.bincount(doc[known], tf[known] * np.log10(c + 1.0), len(part)) + np.log10(end_n + 1.0)
             tokens = np.fromiter((len(w) + 1 for w in split), np.int64, len(split))
-            n, m = len(part), int((~known).sum())
+            n = len(part)
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int8)), pa.array(own), pa.nulls(n, pa.int64()), pa.array(tokens), pa.array(n_known), pa.array(log_sum), pa.array(score)], names)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int8)), pa.array(own[doc[~known]]), _signed(h[~known]), pa.array(tf[~known]), *(pa.nulls(m, t) for t in (pa.int64(), pa.float64(), pa.float64()))], names)
+            yield rest(1, own[doc[~known]], h[~known], tf[~known])
+            yield rest(2, own[of[new]], codes[new], np.diff(np.append(new, len(codes))))
 
 
-def ppm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 7, held: int = 2, order: int = ORDER, cells: int = CELLS) -> DataFrame:
+def ppm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 7, held: int = 2, order: int = ORDER, cells: int = CELLS, common: int = GRAMS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) for every row.
 
     Learns from rows whose crc32(id) modulo folds is not held. A-Z is
@@ -265,32 +292,42 @@ def ppm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fold
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc"), (fold_of(doc_id, folds) == held).alias("held_out"), text_bytes(text).alias("t"))
-    train = rows.where(~F.col("held_out")).select("t").mapInArrow(partial(_counted, order=order), "kind tinyint, key long, n long")
-    counts = stash(train.groupBy("kind", "key").agg(F.sum("n").alias("n")), "lm-counts")
-    sums = {r.kind: (r.n or 0, r.v) for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
+    counted = rows.select("t", "held_out").mapInArrow(partial(_counted, order=order), "kind tinyint, key long, n long")
+    counts = stash(counted.groupBy("kind", "key").agg(F.sum("n").alias("n")), "lm-counts")
+    sums = {r.kind: (r.n or 0, r.v) for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v")).collect()}
     texts = sums.get(2, (0, 0))[0]
     n, v = sums.get(1, (0, 0))[0] + texts, sums.get(1, (0, 0))[1] + (texts > 0)
-    least = max(2, -(-sums.get(0, (0, 0))[0] // cells))
-    masks = F.array(*[F.lit((1 << (8 * (j + 1))) - 1) for j in range(order + 1)])
-    pairs = counts.where("kind = 0").select("n", "key", F.posexplode(masks).alias("j", "mask")).groupBy("j", F.col("key").bitwiseAND(F.col("mask")).alias("code")).agg(F.sum("n").alias("n"))
-    kept = pairs.where(F.col("n") >= least).toArrow()  # cells rows an order at most, as each stands for 1/cells of all bytes
-    j, code, count = (kept.column(c).to_numpy() for c in ("j", "code", "n"))
-    model = PpmModel(order, [(code[j == k].astype(np.uint64), count[j == k]) for k in range(order + 1)])
+    grams_ = counts.where("kind = 0").select("key", "n")
+    low = np.zeros((256, 256), np.int64)
+    for r in grams_.where("n > 0").groupBy(F.col("key").bitwiseAND(0xFFFF).alias("pair")).agg(F.sum("n").alias("n")).collect():  # 65,536 rows at most
+        low[r.pair >> 8, r.pair & 255] = r.n
+
+    def score_shard(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf[["key", "n"]].assign(value=shard_scores(pdf["key"].to_numpy(np.int64).view(np.uint64), pdf["n"].to_numpy(np.int64), order, low))
+
+    shard = F.shiftright("key", 8).bitwiseAND(0xFFFF)
+    scored = stash(grams_.groupBy(shard.alias("shard")).applyInPandas(score_shard, "key long, n long, value double"), "lm-grams")
+    often = max(2, -(-sums.get(0, (0, 0))[0] // common))
+    known = scored.where(F.col("n") >= often).select("key", "value").toArrow()  # common rows at most, as each stands for 1/common of all bytes
+    gram_keys, gram_values = known.column("key").to_numpy().view(np.uint64), known.column("value").to_numpy()
     frequent = max(2, -(-n // cells))
     heavy = counts.where((F.col("kind") == 1) & (F.col("n") >= frequent)).select("key", "n").toArrow()  # cells rows at most
     keys = heavy.column("key").to_numpy().view(np.uint64)
     by = np.argsort(keys)
-    shared = spark.sparkContext.broadcast((model, keys[by], heavy.column("n").to_numpy()[by].astype(np.float64), texts))
+    shared = spark.sparkContext.broadcast((order, gram_keys, gram_values, keys[by], heavy.column("n").to_numpy()[by].astype(np.float64), texts))
     numbered = rows.withColumn("row", F.monotonically_increasing_id())
     made = numbered.select("row", "t", "doc", "held_out").mapInArrow(partial(_with_ids, shared=shared), f"kind tinyint, row long, h long, tf long, n_known long, log_sum double, score double, doc {docs.schema[doc_id].dataType.simpleString()}, held_out boolean")
     made = stash(made, "lm-scores")
-    rare = counts.where((F.col("kind") == 1) & (F.col("n") < frequent)).select(F.col("key").alias("h"), F.col("n").alias("c"))
-    more = made.where("kind = 1").select("row", "h", "tf").join(rare, "h").groupBy("row").agg(F.sum("tf").alias("more_known"), F.sum(F.col("tf") * F.log10(F.col("c") + 1.0)).alias("more_log"))
+    rare = counts.where((F.col("kind") == 1) & (F.col("n") < frequent)).select("kind", F.col("key").alias("h"), F.log10(F.col("n") + 1.0).alias("value"))
+    rare = rare.unionByName(scored.where(F.col("n") < often).select(F.lit(2).cast("tinyint").alias("kind"), F.col("key").alias("h"), "value"))
+    word, value = F.col("kind") == 1, F.col("tf") * F.col("value")
+    more = made.where("kind > 0").select("kind", "row", "h", "tf").join(rare, ["kind", "h"]).groupBy("row")
+    more = more.agg(F.sum(F.when(word, F.col("tf"))).alias("more_known"), F.sum(F.when(word, value)).alias("more_log"), F.sum(F.when(~word, value)).alias("more_score"))
     whole = made.where("kind = 0").drop("kind", "h").join(more, "row", "left")
     base = F.col("log_sum") + F.coalesce("more_log", F.lit(0.0)) - F.col("tf") * F.log10(F.lit(float(n + v + 1)))
     return whole.select(
         F.col("doc").alias(doc_id), "held_out", F.col("tf").alias("n_tokens"), (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score",
+        F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
     )
 
 

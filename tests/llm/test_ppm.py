@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from quillcast.llm.ppm import PpmModel, grams, pairs_of, ppm_scores
+from quillcast.llm.ppm import PpmModel, grams, pairs_of, ppm_scores, shard_scores
 
 
 class PlainPpm:
@@ -60,6 +60,22 @@ def test_model_matches_plain_ppm(order, least):
         assert model.log10(grams([t], order)[0]).sum() == pytest.approx(plain.log10(t))
 
 
+@pytest.mark.parametrize("order", [2, 4, 6])
+def test_shards_score_as_the_whole_trie(order):
+    train = grams(TEXTS, order)[0]
+    new = np.unique(np.concatenate((train, grams([b"zebra", b"cat cat", bytes(range(256))], order)[0])))
+    codes, n = np.unique(train, return_counts=True)
+    whole = PpmModel(order, pairs_of(codes, n, order, 1)).log10(new)
+    counts = np.zeros(len(new), np.int64)
+    counts[np.searchsorted(new, codes)] = n
+    low = np.zeros((256, 256), np.int64)
+    np.add.at(low, ((train >> np.uint64(8) & np.uint64(255)).astype(int), (train & np.uint64(255)).astype(int)), 1)
+    shard = new >> np.uint64(8) & np.uint64(0xFFFF)
+    for x in np.unique(shard):
+        own = shard == x
+        assert shard_scores(new[own], counts[own], order, low) == pytest.approx(whole[own])
+
+
 def test_probabilities_add_up():
     codes = grams(TEXTS, 2)[0]
     model = PpmModel(2, pairs_of(*np.unique(codes, return_counts=True), 2, 1))
@@ -85,16 +101,18 @@ def test_documents_against_brute_force(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     expected = {r[0]: r for r in plain_base(rows)}
+    scores = []
     for cells in (1 << 20, 200):
-        got = ppm_scores(docs, cells=cells).collect()
+        got = ppm_scores(docs, cells=cells, common=cells).collect()
+        scores.append({r.doc_id: r.score for r in got})
         assert len(got) == len(rows)
         for r in got:
             e = expected[r.doc_id]
             assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == e[1:5]
             assert r.base_score == pytest.approx(e[5], rel=1e-9)
     texts = [b" ".join((t or "").encode().lower().split()) for i, t in rows if not expected[i][1]]
-    total = sum(len(t) + 1 for t in texts)
-    plain = PlainPpm(texts, 6, max(2, -(-total // 200)))
+    assert scores[0] == pytest.approx(scores[1])
+    plain = PlainPpm(texts, 6, 1)
     for r in got[:12]:
         text = b" ".join((dict(rows)[r.doc_id] or "").encode().lower().split())
         assert r.score == pytest.approx(plain.log10(text))
