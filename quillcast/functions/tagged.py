@@ -140,13 +140,16 @@ def leaks_in_tagged(text: Column) -> Column:
     return F.coalesce((a != "") & rest.contains(a), F.lit(False))
 
 
-# Phrases that introduce an example.
-EXAMPLE_INTROS = ("e.g.", "for example", "for instance", "such as", "like", "including", "namely", "i.e.")
+# Phrases that introduce an example, in the order in which they are looked for.
+EXAMPLE_INTROS = (
+    "e.g.", "eg.", "example:", "for example", "such as", "like", "including", "specifically", "namely", "i.e.", "ie.", "that is", "in other words", "to illustrate", "as an example", "for instance",
+)
 
 
 def without_examples(text: Column, answer: Column) -> Column:
-    """The text without phrases that introduce the answer as an example, case aside, up to the end of the clause."""
-    quoted = F.concat(F.lit(r"\Q"), F.replace(answer, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
-    intros = "|".join(i.replace(".", r"\.") for i in EXAMPLE_INTROS)
-    pattern = F.concat(F.lit(rf"(?i)\s*[(,]?\s*\b(?:{intros})[,:]?\s*[\"']?"), quoted, F.lit(r"[\"']?[^.,;)]*\)?"))
-    return F.when(F.coalesce(strip(answer), F.lit("")) == "", text).otherwise(F.regexp_replace(text, pattern, ""))
+    """The text without the phrases from an introduction to the answer, case aside, if no sentence ends between them. The stop right after the answer goes too."""
+    quoted = F.concat(F.lit(r"\Q"), F.replace(strip(answer), F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    t = text
+    for intro in EXAMPLE_INTROS:
+        t = F.regexp_replace(t, F.concat(F.lit(rf"(?is)\b{intro.replace('.', r'\.')}\s*[^.!?]*?"), quoted, F.lit("[.!?]?")), F.lit(""))
+    return F.when(F.coalesce(strip(answer), F.lit("")) == "", text).otherwise(t)

@@ -11,8 +11,14 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where it is unset, as in tests, one of our own."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
+    """The folder named in spark.checkpoint.dir. Where that is unset on one machine, as in tests, one of the session's own; on a cluster, where nobody could share it, an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='shared-')}"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -48,20 +54,24 @@ def keep_last(df: DataFrame, key: str, *order: Column | str) -> DataFrame:
 
 
 def keep_latest(df: DataFrame, key: str, date: str, seq: str) -> DataFrame:
-    """The row of each key with the greatest date; null dates lose, ties keep the smallest seq. Null keys go."""
-    rank = F.row_number().over(W.partitionBy(key).orderBy(F.col(date).desc_nulls_last(), seq))
-    return df.where(F.col(key).isNotNull()).withColumn("__r", rank).where("__r = 1").drop("__r")
+    """The row of each key with the greatest date; null dates lose, ties keep the smallest seq. Null keys go. Combined before its shuffle."""
+    return keep_first(df.where(F.col(key).isNotNull()), [key], F.col(date).isNull(), -F.unix_micros(F.col(date).cast("timestamp")), F.col(seq))
 
 
 def chronological_split(df: DataFrame, date: str, tie: str, ratio: float) -> DataFrame:
-    """Adds split: train for the first floor(n * ratio) rows by date and tie, else test. Days are counted; only the day at the cut is ranked."""
+    """Adds split: train for the first floor(n * ratio) rows by date and tie, else test. Days are counted; rows of the day at the cut are ranked by ranges, those of others are labelled in place."""
     day = F.to_date(date)
-    days = df.groupBy(day.alias("__day")).agg(F.count("*").alias("__n"))  # a row for each day
-    days = days.select(F.col("__day").alias("__d"), (F.sum("__n").over(W.orderBy(F.col("__day").asc_nulls_first())) - F.col("__n")).alias("__before"))
-    total = df.count()
-    joined = df.withColumn("__day", day).join(F.broadcast(days), F.col("__day").eqNullSafe(F.col("__d"))).drop("__d")
-    rank = F.row_number().over(W.partitionBy("__day").orderBy(F.col(date).asc_nulls_first(), tie)) + F.col("__before")
-    return joined.withColumn("split", F.when(rank <= int(total * ratio), "train").otherwise("test")).drop("__day", "__before")
+    days = df.groupBy(day.alias("__d")).agg(F.count("*").alias("__n"))  # a row for each day
+    days = days.select("__d", "__n", (F.sum("__n").over(W.orderBy(F.col("__d").asc_nulls_first())) - F.col("__n")).alias("before")).collect()
+    total = int(sum(r["__n"] for r in days) * ratio)
+    at = next((r for r in days if r.before <= total < r.before + r["__n"]), None)
+    if at is None:
+        return df.withColumn("split", F.lit("train"))
+    same = day.eqNullSafe(F.lit(at["__d"]).cast("date"))
+    earlier = F.coalesce(day < F.lit(at["__d"]).cast("date"), F.lit(at["__d"] is not None))
+    others = df.where(~same).withColumn("split", F.when(earlier, "train").otherwise("test"))
+    ranked = row_index(df.where(same), F.col(date).asc_nulls_first(), F.col(tie).asc_nulls_first(), name="__i")
+    return others.unionByName(ranked.withColumn("split", F.when(F.col("__i") < total - at.before, "train").otherwise("test")).drop("__i"))
 
 
 def hash_sample(df: DataFrame, key: str, n: int, seed: str = "s") -> DataFrame:

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,24 +16,93 @@ from pyspark.sql import functions as F
 from .ordering import materialise, row_index
 
 
-def bm25(docs: DataFrame, questions: DataFrame, question: str, k: int, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
-    """docs (doc, terms), questions (question, terms): the k best documents of each question, ties by document.
+@dataclass
+class _Asked:
+    """Questions of one window: the places of their terms among all that are asked for, by question the terms' weights, and the window's mean length."""
+
+    low: int | None
+    high: int | None
+    mean: float
+    names: np.ndarray
+    weights: np.ndarray
+    present: np.ndarray
+
+
+def _best_of(batches: Iterator[pa.RecordBatch], terms: pa.Array, asked: list[_Asked], k: int, k1: float, b: float) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for at in range(0, len(whole), 1000):
+            batch = whole.slice(at, 1000)
+            doc, day = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            size = pc.list_value_length(batch.column(2)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            place = pc.index_in(pc.list_flatten(batch.column(2)), value_set=terms).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(len(doc)), size)[place >= 0]
+            tf = np.bincount(row * len(terms) + place[place >= 0], minlength=len(doc) * len(terms)).reshape(len(doc), -1).astype(np.float64)
+            for w in asked:
+                own = np.flatnonzero((size > 0) & ((day >= w.low) & (day <= w.high) if w.low is not None else True))
+                if not len(own):
+                    continue
+                t = tf[own]
+                s = np.round(t * (k1 + 1) / (t + k1 * (1 - b + b * size[own, None] / w.mean)) @ w.weights, 6) + 0.0
+                s[(t > 0).astype(np.float32) @ w.present == 0] = -np.inf
+                s, d = s.T, doc[own]
+                top = np.lexsort((np.broadcast_to(d, s.shape), -s), axis=1)[:, :k]
+                best = np.take_along_axis(s, top, 1)
+                keep = np.isfinite(best).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(w.names, top.shape[1])[keep]), pa.array(d[top].ravel()[keep]), pa.array(best.ravel()[keep])], ["q", "doc", "score"])
+
+
+def bm25(docs: DataFrame, questions: DataFrame, question: str, k: int, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, days: int | None = None, block: int = 256) -> DataFrame:
+    """(question, doc, score, rank): the k best documents of each question that share a term with it, ties by document.
+
+    docs (doc long, terms), questions (question long, terms). With days, docs
+    have a date day and questions a date cut: each question meets an index of
+    the documents from so many days before its cut to the cut, whose document
+    frequencies, mean length and mean idf count. A negative idf becomes epsilon
+    times the mean idf of the index's terms.
 
-    A negative idf becomes epsilon times the mean idf. Postings are kept only
-    for terms that are asked for; document frequencies come from all terms.
+    Frequencies of terms are counted by day once and added up for each window
+    that is asked for. Questions go through in blocks of a fixed size, their
+    terms with them; documents are scored where they are read, and only the k
+    best of each batch move.
     """
-    sizes = docs.select("doc", F.size("terms").alias("dl")).where("dl > 0")
-    n, mean_dl = sizes.agg(F.count("*"), F.avg("dl")).first()
-    seen = materialise(docs.select("doc", F.explode("terms").alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf")))  # read three times below
-    raw = seen.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    floor = (raw.agg(F.avg("idf")).first()[0] or 0.0) * epsilon
-    asked = questions.select(question, F.explode("terms").alias("term")).groupBy(question, "term").agg(F.count("*").alias("m"))
-    idf = raw.join(asked.select("term").distinct(), "term", "left_semi").select("term", F.when(F.col("idf") < 0, F.lit(floor)).otherwise(F.col("idf")).alias("idf"))
-    hits = seen.join(idf, "term").join(asked, "term").join(sizes, "doc")
-    part = F.col("m") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(mean_dl)))
-    scores = hits.groupBy(question, "doc").agg(F.round(F.sum(part), 6).alias("score"))
-    rank = F.row_number().over(W.partitionBy(question).orderBy(F.desc("score"), "doc"))
-    return scores.withColumn("rank", rank).where(F.col("rank") <= k)
+    spark = docs.sparkSession
+    day = F.datediff(F.col("day"), F.lit("1970-01-01")).cast("int") if days is not None else F.lit(0)
+    docs = docs.select("doc", day.alias("day"), "terms").where("day is not null")
+    cut = F.datediff(F.col("cut"), F.lit("1970-01-01")).cast("int") if days is not None else F.lit(0)
+    questions = questions.select(F.col(question).alias("q"), cut.alias("cut"), "terms").where("cut is not null and q is not null")
+    cuts = questions.select("cut").distinct()
+    reach = F.explode(F.sequence(F.col("cut") - (days or 0), F.col("cut"))).alias("day")
+    windows = cuts.select("cut", reach)
+    sizes = docs.where(F.size("terms") > 0).groupBy("day").agg(F.count("*").alias("n"), F.sum(F.size("terms")).alias("dl"))
+    sizes = windows.join(sizes, "day").groupBy("cut").agg(F.sum("n").alias("n"), (F.sum("dl") / F.sum("n")).alias("mean"))
+    held = docs.select("day", F.explode(F.array_distinct("terms")).alias("term")).groupBy("day", "term").agg(F.count("*").alias("df"))
+    raw = materialise(held).join(windows, "day").groupBy("cut", "term").agg(F.sum("df").alias("df")).join(sizes, "cut")
+    raw = materialise(raw.select("cut", "term", "mean", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf")))
+    floor = raw.groupBy("cut").agg((F.avg("idf") * epsilon).alias("floor"))
+    asked = questions.select("q", "cut", F.explode("terms").alias("term")).groupBy("q", "cut", "term").agg(F.count("*").alias("m"))
+    idf = F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf"))
+    asked = materialise(asked.join(raw, ["cut", "term"]).join(floor, "cut").select("q", "cut", "term", "mean", (F.col("m") * idf).alias("weight")))
+    blocks = max(1, -(-questions.count() // block))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int"))
+    found = []
+    for i in range(blocks):
+        rows = asked.where(F.col("block") == i).toPandas()  # a block of questions
+        terms = np.unique(rows["term"].to_numpy().astype(object)) if len(rows) else []
+        place = {t: j for j, t in enumerate(terms)}
+        windows_of = []
+        for c, own in rows.groupby("cut"):
+            names = np.sort(own["q"].unique()).astype(np.int64)
+            weights = np.zeros((len(terms), len(names)))
+            at = own["term"].map(place).to_numpy(), np.searchsorted(names, own["q"])
+            weights[at] = own["weight"]
+            present = np.zeros(weights.shape, np.float32)
+            present[at] = 1
+            windows_of.append(_Asked(int(c) - days if days is not None else None, int(c) if days is not None else None, float(own["mean"].iloc[0]), names, weights, present))
+        if windows_of:
+            found.append(docs.mapInArrow(partial(_best_of, terms=pa.array(list(terms), pa.string()), asked=windows_of, k=k, k1=k1, b=b), "q long, doc long, score double"))
+    every = reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "q long, doc long, score double")
+    rank = F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "doc"))
+    return every.withColumn("rank", rank).where(F.col("rank") <= k).withColumnRenamed("q", question)
 
 
 def knn(queries: DataFrame, vectors: DataFrame, vec_id: str, embedding: str, k: int, block: int = 4096) -> DataFrame:

@@ -175,7 +175,7 @@ dl AS (SELECT doc_id, count(*) AS dl FROM tok GROUP BY 1), st AS (SELECT count(*
 df AS (SELECT term, count(DISTINCT doc_id) AS df FROM tok GROUP BY 1),
 raw AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM df, st),
 idf AS (SELECT term, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM raw) ELSE idf END AS idf FROM raw),
-q AS (SELECT item_id, unnest(list_filter(string_split_regex(lower(text), '[ \\t\\n\\x0b\\f\\r]+'), lambda w: w <> '')[1:8]) AS term FROM benchmark),
+q AS (SELECT item_id, unnest(list_filter(string_split_regex(lower(text), '[ \\t\\n\\x0b\\f\\r]+'), lambda w: w <> '')) AS term FROM benchmark),
 qt AS (SELECT item_id, term, count(*) AS m FROM q GROUP BY 1, 2),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM tok WHERE term IN (SELECT term FROM q) GROUP BY 1, 2),
 s AS (SELECT item_id, doc_id, round(sum(m * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM qt JOIN tf USING (term) JOIN idf USING (term) JOIN dl USING (doc_id), st GROUP BY 1, 2)
@@ -189,10 +189,35 @@ def _(spark, sf):
     from ..operators.retrieval import bm25
 
     docs = read(spark, sf, "documents").select(F.col("doc_id").alias("doc"), words(F.lower("text")).alias("terms"))
-    asks = read(spark, sf, "benchmark").select(F.col("item_id"), F.slice(words(F.lower("text")), 1, 8).alias("terms"))
+    asks = read(spark, sf, "benchmark").select(F.col("item_id"), words(F.lower("text")).alias("terms"))
     return bm25(docs, asks, "item_id", 3).select("item_id", "rank", "score")
 
 
+AS_OF_SQL = """
+WITH d AS (SELECT doc_id, DATE '2024-01-01' + (doc_id % 30)::INT AS day, list_filter(string_split_regex(lower(coalesce(text, '')), '[ \\t\\n\\x0b\\f\\r]+'), lambda w: w <> '') AS terms FROM documents),
+q AS (SELECT item_id, DATE '2024-01-08' + (item_id % 25)::INT AS cut, list_filter(string_split_regex(lower(text), '[ \\t\\n\\x0b\\f\\r]+'), lambda w: w <> '') AS terms FROM benchmark),
+w AS (SELECT DISTINCT cut FROM q), tok AS (SELECT doc_id, day, unnest(terms) AS term FROM d), tf AS (SELECT doc_id, day, term, count(*) AS tf FROM tok GROUP BY 1, 2, 3),
+st AS (SELECT cut, count(*) AS n, avg(len(terms)) AS avgdl FROM w JOIN d ON day BETWEEN cut - 7 AND cut WHERE len(terms) > 0 GROUP BY 1),
+raw AS (SELECT cut, term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM w JOIN tf ON day BETWEEN cut - 7 AND cut JOIN st USING (cut) GROUP BY cut, term, n),
+idf AS (SELECT cut, term, CASE WHEN idf < 0 THEN 0.25 * avg(idf) OVER (PARTITION BY cut) ELSE idf END AS idf FROM raw),
+qt AS (SELECT item_id, cut, term, count(*) AS m FROM (SELECT item_id, cut, unnest(terms) AS term FROM q) GROUP BY 1, 2, 3),
+s AS (SELECT item_id, tf.doc_id, round(sum(m * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(d.terms) / avgdl))), 6) AS score FROM qt JOIN tf ON tf.term = qt.term AND tf.day BETWEEN cut - 7 AND cut JOIN idf ON idf.term = qt.term AND idf.cut = qt.cut JOIN st ON st.cut = qt.cut JOIN d ON d.doc_id = tf.doc_id GROUP BY 1, 2)
+SELECT item_id, rank, score FROM (SELECT item_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 3
+"""
+
+
+@query("j1b_as_of_bm25", AS_OF_SQL)
+def _(spark, sf):
+    """Each question against an index of the eight days up to its cut. Documents have no date here: it is made from the id."""
+    from ..functions.text import words
+    from ..operators.retrieval import bm25
+
+    made = lambda first, key, days: F.date_add(F.lit(first).cast("date"), (F.col(key) % days).cast("int"))
+    docs = read(spark, sf, "documents").select(F.col("doc_id").alias("doc"), made("2024-01-01", "doc_id", 30).alias("day"), words(F.lower("text")).alias("terms"))
+    asks = read(spark, sf, "benchmark").select("item_id", made("2024-01-08", "item_id", 25).alias("cut"), words(F.lower("text")).alias("terms"))
+    return bm25(docs, asks, "item_id", 3, days=7).select("item_id", "rank", "score")
+
+
 @query("r3_exact_knn", "WITH v AS (SELECT vec_id, label, embedding::DOUBLE[64] AS e FROM embeddings), s AS (SELECT q.vec_id AS q, v.vec_id AS d, round(array_cosine_similarity(q.e, v.e), 6) AS s FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0) SELECT q, d, s FROM s QUALIFY row_number() OVER (PARTITION BY q ORDER BY s DESC, d) <= 10")
 def _(spark, sf):
     from ..operators.retrieval import knn

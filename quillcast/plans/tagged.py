@@ -141,10 +141,12 @@ def _(spark, sf):
     return read(spark, sf, "part").where(F.split_part("p_name", F.lit(" "), F.lit(1)) != "").select("p_partkey", X.leaks_in_tagged(t).alias("leaks"))
 
 
-@query("t6_examples_removed", "SELECT p_partkey, 'Name a part. Done.' AS t FROM part")
+@query("t6_examples_removed", "SELECT p_partkey, 'Name a part (' || CASE p_partkey % 4 WHEN 0 THEN ' or so). Done.' WHEN 1 THEN ' Done.' WHEN 2 THEN 'yes. ' || p_brand || ').' ELSE 'no ' || p_brand || ').' END AS t FROM part")
 def _(spark, sf):
-    t = F.concat(F.lit("Name a part (e.g., "), "p_brand", F.lit(" or so). Done."))
-    return read(spark, sf, "part").select("p_partkey", X.without_examples(t, F.col("p_brand")).alias("t"))
+    b, k = F.col("p_brand"), F.col("p_partkey") % 4
+    middle = F.when(k == 0, F.concat(F.lit("e.g., "), b, F.lit(" or so). Done."))).when(k == 1, F.concat(F.lit("In Other Words, one\nof "), F.lower(b), F.lit("! Done.")))
+    middle = middle.when(k == 2, F.concat(F.lit("yes. "), b, F.lit(").Such as "), b)).otherwise(F.concat(F.lit("no "), b, F.lit(").")))
+    return read(spark, sf, "part").select("p_partkey", X.without_examples(F.concat(F.lit("Name a part ("), middle), b).alias("t"))
 
 
 @query("t7_needs_removal", "SELECT doc_id FROM documents WHERE contains(lower(text), lower(source)) AND lang IS NOT NULL")
