@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ordering import hash_sample
+
 EPS = 1e-6
 
 
@@ -120,6 +122,61 @@ def sequence_ratio(tokens: DataFrame, seq: str, logp: str, old: str, adv: str, m
     return each.select(seq, F.greatest(-F.col("a") * ratio, -F.col("a") * F.least(F.greatest(ratio, F.lit(1 - width)), F.lit(1 + width))).alias("loss"))
 
 
+def _batch_means(tokens: DataFrame, mask: str, *columns: str) -> list[float]:
+    m = tokens.where(F.col(mask) > 0).agg(F.count("*"), *[F.avg(c) for c in columns]).first()
+    return [x or 0.0 for x in m]
+
+
+def clip_cov_loss(tokens: DataFrame, key: str, logp: str, old: str, adv: str, mask: str, width: float = 0.2, ratio: float = 0.0002, low: float = 1.0, high: float = 5.0, seed: str = "c") -> DataFrame:
+    """Adds loss: the clipped loss, but 0 for a few masked tokens that clipping leaves alone and whose covariance of advantage and log probability lies between low and high.
+
+    As many as a ratio of all masked tokens, one at least, drawn in the order of a hash of the key.
+    """
+    n, mean_adv, mean_logp = _batch_means(tokens, mask, adv, logp)
+    r = F.exp(F.col(logp) - F.col(old))
+    first, second = -F.col(adv) * r, -F.col(adv) * F.least(F.greatest(r, F.lit(1 - width)), F.lit(1 + width))
+    cov = (F.col(adv) - mean_adv) * (F.col(logp) - mean_logp)
+    open_ = tokens.where((F.col(mask) > 0) & (second <= first) & (cov > low) & (cov < high))
+    drawn = hash_sample(open_.select(key), key, max(1, int(ratio * n)), seed).withColumn("__drawn", F.lit(True))
+    return tokens.join(drawn, key, "left").withColumn("loss", F.when(F.col("__drawn"), 0.0).otherwise(F.greatest(first, second))).drop("__drawn")
+
+
+def kl_cov_loss(tokens: DataFrame, key: str, logp: str, old: str, adv: str, mask: str, ratio: float = 0.0002, coefficient: float = 1.0) -> DataFrame:
+    """Adds loss: the unclipped loss, with the absolute log ratio as a penalty for the masked tokens of largest covariance: a ratio of them, one at least; ties by key."""
+    n, mean_adv, mean_logp = _batch_means(tokens, mask, adv, logp)
+    d = F.col(logp) - F.col(old)
+    cov = (F.col(adv) - mean_adv) * (F.col(logp) - mean_logp)
+    top = tokens.where(F.col(mask) > 0).orderBy(F.round(cov, 9).desc(), key).limit(max(1, int(n * ratio))).select(key).withColumn("__top", F.lit(True))
+    penalty = F.when(F.col("__top"), coefficient * F.abs(d)).otherwise(0.0)
+    return tokens.join(top, key, "left").withColumn("loss", -F.col(adv) * F.exp(d) + penalty).drop("__top")
+
+
+def geo_mean_loss(tokens: DataFrame, seq: str, logp: str, old: str, adv: str, mask: str, width: float = 0.2) -> DataFrame:
+    """The loss of each sequence by the geometric mean of its ratios, each token clipped on the side that its advantage favours, and the masked mean advantage."""
+    d, m = F.col(logp) - F.col(old), F.col(mask)
+    clipped, sign = F.least(F.greatest(d, F.lit(-width)), F.lit(width)), F.signum(F.col(adv))
+    each = tokens.groupBy(seq).agg(F.sum(sign * F.least(sign * d, sign * clipped) * m).alias("d"), F.sum(F.col(adv) * m).alias("a"), F.sum(m).alias("n"))
+    n = F.col("n") + 1e-8
+    return each.select(seq, (-F.col("a") / n * F.exp(F.col("d") / n)).alias("loss"))
+
+
+def validation_metrics(df: DataFrame, source: str, prompt: str, value: str, vote: str, seq: str) -> DataFrame:
+    """Per source, means over prompts of: mean and deviation of a prompt's N values, the expected best and worst of N draws with replacement, and the value of the majority's first vote.
+
+    Expectations are exact, where resampling would estimate them. Of votes of one count the first by seq wins. Nulls of value are left out.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(source, prompt, F.col(value).cast("double").alias("x"), F.col(vote).alias("v"), F.col(seq).alias("s"))
+    # the values of one prompt: as many as there are responses
+    each = rows.groupBy(source, prompt).agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.sort_array(F.collect_list("x")).alias("xs"))
+    n = F.size("xs").cast("double")
+    chance = lambda i: F.pow((i + 1) / n, n) - F.pow(i / n, n)
+    expected = lambda xs: F.aggregate(F.transform(xs, lambda x, i: x * chance(i)), F.lit(0.0), lambda a, b: a + b)
+    each = each.withColumn("best", expected(F.col("xs"))).withColumn("worst", expected(F.reverse("xs"))).drop("xs")
+    votes = rows.groupBy(source, prompt, "v").agg(F.count("*").alias("c"), F.min(F.struct("s", "x")).alias("first"))
+    most = votes.groupBy(source, prompt).agg(F.min(F.struct((-F.col("c")).alias("c"), "first")).alias("m")).select(source, prompt, F.col("m.first.x").alias("maj"))
+    return each.join(most, [source, prompt]).groupBy(source).agg(*[F.avg(c).alias(c) for c in ("mean", "std", "best", "worst", "maj")])
+
+
 def bootstrap(df: DataFrame, group: str, value: str, draws: int, seed: int = 0) -> DataFrame:
     """Mean and deviation of resampled means of each group: every row gets a Poisson weight in each draw, so nothing is joined or collected.
 

@@ -123,9 +123,17 @@ def _(spark, sf):
     return G.masked_stats(e, "value", "mask").select(F.round("total", 4).alias("total"), R("mean").alias("mean"), F.round("var", 4).alias("var"))
 
 
-@query("g13_validation_metrics", "WITH a AS (SELECT event_type, user_id, avg(value) AS m FROM events GROUP BY 1, 2) SELECT event_type, round(avg(m), 6) AS mean FROM a GROUP BY 1")
-def _(spark, sf):
-    return read(spark, sf, "events").groupBy("event_type", "user_id").agg(F.avg("value").alias("m")).groupBy("event_type").agg(R(F.avg("m")).alias("mean"))
+@query("g13_validation_metrics", """
+WITH r AS (SELECT event_type, user_id, value AS x, floor(value)::INT % 3 AS v, event_id AS s, count(*) OVER p AS n, row_number() OVER (PARTITION BY event_type, user_id ORDER BY value) AS i, row_number() OVER (PARTITION BY event_type, user_id ORDER BY value DESC) AS j FROM events WHERE value IS NOT NULL WINDOW p AS (PARTITION BY event_type, user_id)),
+a AS (SELECT event_type, user_id, avg(x) AS mean, stddev_pop(x) AS std, sum(x * ((i / n::DOUBLE) ** n - ((i - 1) / n::DOUBLE) ** n)) AS best, sum(x * ((j / n::DOUBLE) ** n - ((j - 1) / n::DOUBLE) ** n)) AS worst FROM r GROUP BY 1, 2),
+v AS (SELECT event_type, user_id, v, count(*) AS c, min(s) AS s, arg_min(x, s) AS x FROM r GROUP BY 1, 2, 3),
+m AS (SELECT event_type, user_id, x AS maj FROM v QUALIFY row_number() OVER (PARTITION BY event_type, user_id ORDER BY c DESC, s) = 1)
+SELECT event_type, round(avg(mean), 6) AS mean, round(avg(std), 6) AS std, round(avg(best), 6) AS best, round(avg(worst), 6) AS worst, round(avg(maj), 6) AS maj FROM a JOIN m USING (event_type, user_id) GROUP BY 1
+""")
+def _(spark, sf):
+    e = read(spark, sf, "events").withColumn("vote", F.floor("value").cast("int") % 3)
+    made = G.validation_metrics(e, "event_type", "user_id", "value", "vote", "event_id")
+    return made.select("event_type", *[R(c).alias(c) for c in ("mean", "std", "best", "worst", "maj")])
 
 
 @query("g16_informative_groups", "SELECT event_id FROM events QUALIFY stddev_pop(value) OVER (PARTITION BY user_id, event_type) > 0 OR count(*) OVER (PARTITION BY user_id, event_type) = 1")

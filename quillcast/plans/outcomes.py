@@ -256,6 +256,25 @@ def _(spark, sf):
     return G.sequence_ratio(tokens(spark, sf), "s", "lp", "old", "adv", "m").withColumn("loss", R("loss"))
 
 
+COV = TOKENS + ", n AS (SELECT count(*) AS n, avg(adv) AS a, avg(lp) AS p FROM l WHERE m > 0), c AS (SELECT l.*, n.n, (adv - a) * (lp - p) AS cov, -adv * r AS x, -adv * least(greatest(r, 0.8), 1.2) AS y FROM l, n) "
+
+
+@query("g19c_clip_cov_loss", COV + ", o AS (SELECT event_id FROM c WHERE m > 0 AND y <= x AND cov > 0.5 AND cov < 5 QUALIFY row_number() OVER (ORDER BY md5('c' || event_id::VARCHAR), event_id) <= greatest(1, floor(0.01 * n))) SELECT event_id, round(CASE WHEN o.event_id IS NULL THEN greatest(x, y) ELSE 0 END, 6) + 0.0::DOUBLE AS loss FROM c LEFT JOIN o USING (event_id)")
+def _(spark, sf):
+    made = G.clip_cov_loss(tokens(spark, sf).drop("loss"), "event_id", "lp", "old", "adv", "m", ratio=0.01, low=0.5)
+    return made.select("event_id", (R("loss") + 0.0).alias("loss"))
+
+
+@query("g19d_kl_cov_loss", COV + ", o AS (SELECT event_id FROM c WHERE m > 0 QUALIFY row_number() OVER (ORDER BY round(cov, 9) DESC, event_id) <= greatest(1, floor(0.01 * n))) SELECT event_id, round(x + CASE WHEN o.event_id IS NULL THEN 0 ELSE abs(lp - old) END, 6) + 0.0::DOUBLE AS loss FROM c LEFT JOIN o USING (event_id)")
+def _(spark, sf):
+    return G.kl_cov_loss(tokens(spark, sf).drop("loss"), "event_id", "lp", "old", "adv", "m", ratio=0.01).select("event_id", (R("loss") + 0.0).alias("loss"))
+
+
+@query("g19e_geo_mean_loss", TOKENS + ", g AS (SELECT s, sum(sign(adv) * least(sign(adv) * (lp - old), sign(adv) * least(greatest(lp - old, -0.2), 0.2)) * m) AS d, sum(adv * m) AS a, sum(m) + 1e-8 AS n FROM t GROUP BY s) SELECT s, round(-a / n * exp(d / n), 6) + 0.0::DOUBLE AS loss FROM g")
+def _(spark, sf):
+    return G.geo_mean_loss(tokens(spark, sf), "s", "lp", "old", "adv", "m").select("s", (R("loss") + 0.0).alias("loss"))
+
+
 @query("b4_imbalance", "SELECT batch, min(s)::BIGINT AS lo, max(s)::BIGINT AS hi, (max(s) - min(s))::BIGINT AS diff, round(avg(s), 6) AS mean FROM (SELECT o_orderpriority AS batch, o_orderkey % 3 AS part, sum(length(o_orderstatus) + o_orderkey % 11) AS s FROM orders GROUP BY 1, 2) GROUP BY 1")
 def _(spark, sf):
     o = read(spark, sf, "orders").select(C("o_orderpriority").alias("batch"), (F.length("o_orderstatus") + C("o_orderkey") % 11).alias("n"), (C("o_orderkey") % 3).alias("part"))

@@ -12,6 +12,7 @@ from quillcast.functions import text as X
 from quillcast.operators import balance as B
 from quillcast.operators import extension as E
 from quillcast.operators import groups as G
+from quillcast.operators import ordering as O
 from quillcast.operators import reshape as RS
 from quillcast.operators import retrieval as T
 from quillcast.operators import scoring as S
@@ -173,3 +174,23 @@ def test_dates_in_words_and_examples(spark):
     assert one(spark, A.parse_stamp(F.lit("03/25/2024")).cast("string"), A.parse_stamp(F.lit("25/03/2024")).cast("string"), A.parse_stamp(F.lit("2024"))) == ["2024-03-25 00:00:00", "2024-03-25 00:00:00", None]
     assert one(spark, TG.without_examples(F.lit("Pick a fruit, e.g. Kiwi (green)."), F.lit("kiwi (green)")), TG.without_examples(F.lit("x"), F.lit(None))) == ["Pick a fruit, ", "x"]
     assert one(spark, TG.nested_box(F.lit(r"\boxed{a{b}c} \boxed{d")), TG.nested_box(F.lit(None).cast("string"))) == [None, None]
+
+
+def test_validation_metrics_of_small_groups(spark):
+    rows = [("s", "p", 0.8, "A", 1), ("s", "p", 0.9, "B", 2), ("s", "q", 0.9, "A", 3), ("s", "q", 0.8, "B", 4), ("s", "q", 0.7, "A", 5), ("s", "q", None, "B", 6), ("t", "p", 0.5, None, 7)]
+    got = {r.source: r for r in G.validation_metrics(spark.createDataFrame(rows, "source string, prompt string, x double, pred string, seq int"), "source", "prompt", "x", "pred", "seq").collect()}
+    assert got["s"].mean == pytest.approx((0.85 + 0.8) / 2) and got["t"].mean == got["t"].best == got["t"].maj == 0.5
+    assert got["s"].maj == pytest.approx((0.8 + 0.9) / 2)  # first of a tie, then the majority's first value
+    best_of_three = (0.7 * 1 + 0.8 * 7 + 0.9 * 19) / 27
+    assert got["s"].best == pytest.approx(((0.8 + 3 * 0.9) / 4 + best_of_three) / 2)
+    assert got["s"].worst == pytest.approx(((3 * 0.8 + 0.9) / 4 + (0.9 * 1 + 0.8 * 7 + 0.7 * 19) / 27) / 2)
+
+
+def test_a_split_cuts_within_a_day(spark):
+    rows = [(i, None if i < 2 else f"2024-01-{1 + i // 5:02d} 00:00:{i % 3:02d}") for i in range(20)]
+    df = spark.createDataFrame(rows, "id int, at string").withColumn("at", F.col("at").cast("timestamp"))
+    want = [r[0] for r in sorted(rows, key=lambda r: (r[1] is not None, r[1] or "", r[0]))]
+    for ratio in (0.0, 0.05, 0.37, 0.8, 1.0):
+        got = {r.id: r.split for r in O.chronological_split(df, "at", "id", ratio).collect()}
+        assert [got[i] for i in want] == ["train"] * int(20 * ratio) + ["test"] * (20 - int(20 * ratio))
+    assert O.chronological_split(df.limit(0), "at", "id", 0.5).collect() == []
