@@ -11,12 +11,11 @@ Scale. A byte's probability depends on it and the ORDER bytes before it alone,
 so each such gram of the corpus is scored once. Counting is combined in each
 task and again before the shuffle. The trie is sharded by the last two bytes of
 the context: a shard has all longer contexts of its grams, and the orders below
-are 65,536 pairs at most, which every task gets. Grams that make up at least
-1/GRAMS of all bytes (GRAMS at most) are then looked up in each task; only the
-rest, by their number in each text, are joined with the scored grams. So are
-words: those of a share of at least 1/CELLS of all tokens (CELLS at most) are
-looked up, the rest joined. The shares decide where a value is found, never
-which.
+are 65,536 pairs at most, which every task gets. The most frequent grams, GRAMS
+at most, are then looked up in each task; only the rest, by their number in each
+text, are joined with the scored grams. So are words: those of a share of at
+least 1/CELLS of all tokens (CELLS at most) are looked up, the rest joined. The
+bounds decide where a value is found, never which.
 """
 
 from __future__ import annotations
@@ -307,8 +306,14 @@ def ppm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fold
 
     shard = F.shiftright("key", 8).bitwiseAND(0xFFFF)
     scored = stash(grams_.groupBy(shard.alias("shard")).applyInPandas(score_shard, "key long, n long, value double"), "lm-grams")
-    often = max(2, -(-sums.get(0, (0, 0))[0] // common))
-    known = scored.where(F.col("n") >= often).select("key", "value").toArrow()  # common rows at most, as each stands for 1/common of all bytes
+    rung = F.when(F.col("n") > 0, F.floor(4 * F.log2(F.col("n")))).otherwise(-1)
+    often, total = 1 << 10, 0
+    for r in sorted(scored.groupBy(rung.alias("rung")).count().collect(), key=lambda r: -r.rung):  # four rungs for each doubling of a count
+        total += r["count"]
+        if total > common:
+            break
+        often = r.rung
+    known = scored.where(rung >= often).select("key", "value").toArrow()  # common rows at most
     gram_keys, gram_values = known.column("key").to_numpy().view(np.uint64), known.column("value").to_numpy()
     frequent = max(2, -(-n // cells))
     heavy = counts.where((F.col("kind") == 1) & (F.col("n") >= frequent)).select("key", "n").toArrow()  # cells rows at most
@@ -319,7 +324,7 @@ def ppm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fold
     made = numbered.select("row", "t", "doc", "held_out").mapInArrow(partial(_with_ids, shared=shared), f"kind tinyint, row long, h long, tf long, n_known long, log_sum double, score double, doc {docs.schema[doc_id].dataType.simpleString()}, held_out boolean")
     made = stash(made, "lm-scores")
     rare = counts.where((F.col("kind") == 1) & (F.col("n") < frequent)).select("kind", F.col("key").alias("h"), F.log10(F.col("n") + 1.0).alias("value"))
-    rare = rare.unionByName(scored.where(F.col("n") < often).select(F.lit(2).cast("tinyint").alias("kind"), F.col("key").alias("h"), "value"))
+    rare = rare.unionByName(scored.where(rung < often).select(F.lit(2).cast("tinyint").alias("kind"), F.col("key").alias("h"), "value"))
     word, value = F.col("kind") == 1, F.col("tf") * F.col("value")
     more = made.where("kind > 0").select("kind", "row", "h", "tf").join(rare, ["kind", "h"]).groupBy("row")
     more = more.agg(F.sum(F.when(word, F.col("tf"))).alias("more_known"), F.sum(F.when(word, value)).alias("more_log"), F.sum(F.when(~word, value)).alias("more_score"))
