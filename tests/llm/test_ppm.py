@@ -103,7 +103,7 @@ def test_documents_against_brute_force(spark, sf_dir):
     expected = {r[0]: r for r in plain_base(rows)}
     scores = []
     for cells in (1 << 20, 200):
-        got = ppm_scores(docs, cells=cells, common=cells).collect()
+        got = ppm_scores(docs, order=6, cells=cells, common=cells).collect()
         scores.append({r.doc_id: r.score for r in got})
         assert len(got) == len(rows)
         for r in got:
