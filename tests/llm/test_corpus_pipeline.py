@@ -58,3 +58,18 @@ def test_empty_and_null_rows(spark, tmp_path):
     assert sorted((r.doc_id for r in pipeline.run(spark, str(tmp_path)).collect()), key=str) == [1, None]
     docs.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
     assert pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_extra_columns_of_any_name(spark, tmp_path):
+    names = ["kept", "k", "t", "lost", "fp", "rep", "wide", "component_id", "doc", "row", "score", "item_id", "n_lines", "__held", "size", "target"]
+    line = "a line that several of the documents have in common"
+    rows = [(i, f"{line}\nand one of its own, number {i} of all: {'w%d ' % i * 9}", "en", "a", 0, *range(len(names))) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} long" for n in names))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "some question that none of these documents holds")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in pipeline.STAGES[:-1]:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns, name
+        assert {r.doc_id: tuple(r[n] for n in names) for r in got.collect()} == {i: tuple(range(len(names))) for i in range(5)}, name
+    assert {r.doc_id for r in pipeline.run(spark, str(tmp_path)).collect()} == set(range(5))
