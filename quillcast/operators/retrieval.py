@@ -7,13 +7,14 @@ from dataclasses import dataclass
 from functools import partial, reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .ordering import materialise, row_index
+from .ordering import materialise
 
 
 @dataclass
@@ -105,37 +106,37 @@ def bm25(docs: DataFrame, questions: DataFrame, question: str, k: int, k1: float
     return every.withColumn("rank", rank).where(F.col("rank") <= k).withColumnRenamed("q", question)
 
 
-def knn(queries: DataFrame, vectors: DataFrame, vec_id: str, embedding: str, k: int, block: int = 4096) -> DataFrame:
-    """(q, d, s): for each query its k nearest other vectors by cosine, ties by id.
+def knn(queries: DataFrame, vectors: DataFrame, vec_id: str, embedding: str, k: int, block: int = 4096, part: int = 20_000) -> DataFrame:
+    """(q, d, s): for each query its k nearest other vectors by cosine, ties by id. Null vectors neither ask nor answer.
 
-    Queries go through in blocks of a fixed size; each task keeps the k best of
-    its own rows for each query, so that only k rows a query and task move.
+    Queries are dealt to blocks and vectors to parts, each of about a fixed
+    size, and every block meets every part in a task of its own, whatever the
+    number of either. Only k rows a query and part move on.
     """
-    asked = row_index(queries.select(vec_id, F.col(embedding).cast("array<double>").alias("v")).where("v is not null"), vec_id)
-    out = None
-    for at in range(0, asked.count(), block):
-        part = {r[0]: r[1] for r in asked.where(F.col("idx").between(at, at + block - 1)).select(vec_id, "v").collect()}
-        names = np.array(sorted(part), np.int64)
-        q = np.array([part[i] for i in names])
-        q = q / np.linalg.norm(q, axis=1, keepdims=True)
-
-        def best(batches: Iterator[pa.RecordBatch], q=q, names=names) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not len(batch):
-                    continue
-                d = batch.column(0).to_numpy()
-                x = np.array(batch.column(1).to_pylist(), np.float64)
-                s = np.round(q @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T, 6)
-                s[names[:, None] == d[None, :]] = -np.inf
-                top = np.lexsort((np.broadcast_to(d, s.shape), -s), axis=1)[:, :k]
-                s = np.take_along_axis(s, top, 1)
-                keep = np.isfinite(s).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, top.shape[1])[keep]), pa.array(d[top].ravel()[keep]), pa.array(s.ravel()[keep])], ["q", "d", "s"])
-
-        found = vectors.where(F.col(embedding).isNotNull()).select(vec_id, F.col(embedding).cast("array<double>")).mapInArrow(best, "q long, d long, s double")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return vectors.sparkSession.createDataFrame([], "q long, d long, s double")
+    own = lambda df, names: df.select(*[F.col(c).alias(n) for c, n in zip((vec_id, embedding), names)]).where(F.col(names[1]).isNotNull())
+    asked, held = own(queries, ("q", "v")), own(vectors, ("d", "v"))
+    blocks, parts = (max(1, -(-df.count() // size)) for df, size in ((asked, block), (held, part)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    asked = asked.select("q", F.col("v").cast("array<double>"), dealt("q", blocks).alias("block"), every(parts).alias("part"))
+    held = held.select("d", F.col("v").cast("array<double>"), dealt("d", parts).alias("part"), every(blocks).alias("block"))
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"q": [], "d": [], "s": []})
+        (q, a), (d, b) = ((x[c].to_numpy(np.int64), np.stack(x["v"])) for x, c in ((left, "q"), (right, "d")))
+        a, b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (a, b))
+        found = []
+        for at in range(0, len(q), 256):
+            names = q[at : at + 256]
+            s = np.round(a[at : at + 256] @ b.T, 6)
+            s[names[:, None] == d[None, :]] = -np.inf
+            top = np.lexsort((np.broadcast_to(d, s.shape), -s), axis=1)[:, :k]
+            found.append(pd.DataFrame({"q": np.repeat(names, top.shape[1]), "d": d[top].ravel(), "s": np.take_along_axis(s, top, 1).ravel()}))
+        every = pd.concat(found)
+        return every[np.isfinite(every["s"])]
+
+    out = asked.groupBy("part", "block").cogroup(held.groupBy("part", "block")).applyInPandas(best, "q long, d long, s double")
     rank = F.row_number().over(W.partitionBy("q").orderBy(F.desc("s"), "d"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
 
