@@ -19,6 +19,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -69,30 +70,31 @@ class FactorizationMachine:
 
     def scores(self, rows: list[set[int]]) -> np.ndarray:
         with np.errstate(over="ignore"):
-            return 1 / (1 + np.exp(-_Rows(rows).margin(self.bias, self.weights, self.factors).astype(np.float64)))
+            return 1 / (1 + np.exp(-_Rows.of(rows).margin(self.bias, self.weights, self.factors).astype(np.float64)))
 
 
 class _Rows:
     """Rows of ones, as the columns of each, by row and by column."""
 
-    def __init__(self, rows: list, columns: int = 0):
-        self.size = np.fromiter(map(len, rows), np.int64, len(rows))
-        self.cols = np.concatenate([np.fromiter(sorted(r), np.int64, len(r)) for r in rows]) if len(rows) else np.zeros(0, np.int64)
-        self.row = np.repeat(np.arange(len(rows)), self.size)
-        if columns:
-            self._turn(columns)
+    def __init__(self, size: np.ndarray, cols: np.ndarray):
+        self.size, self.cols = size, cols
+        self.row = np.repeat(np.arange(len(size), dtype=np.int32), size)
 
-    def _turn(self, columns: int) -> None:
+    @classmethod
+    def of(cls, rows) -> "_Rows":
+        """rows: for each row its columns."""
+        size = np.fromiter(map(len, rows), np.int64, len(rows))
+        return cls(size, np.fromiter((c for r in rows for c in sorted(r)), np.int32, int(size.sum())))
+
+    def turn(self, columns: int) -> None:
         self.count = np.bincount(self.cols, minlength=columns)
         self.rows_by_col = self.row[np.argsort(self.cols, kind="stable")]
 
     def only(self, kept: np.ndarray) -> "_Rows":
         """The kept columns, numbered anew."""
         at = kept[self.cols]
-        made = _Rows([])
-        made.cols, made.row = (np.cumsum(kept) - 1)[self.cols[at]], self.row[at]
-        made.size = np.bincount(made.row, minlength=len(self.size))
-        made._turn(int(kept.sum()))
+        made = _Rows(np.bincount(self.row[at], minlength=len(self.size)), (np.cumsum(kept, dtype=np.int32) - 1)[self.cols[at]])
+        made.turn(int(kept.sum()))
         return made
 
     @staticmethod
@@ -118,19 +120,20 @@ class _Rows:
 
 
 def _margin(x: np.ndarray, bias: float, w: np.ndarray, v: np.ndarray) -> np.ndarray:
-    return _Rows([np.flatnonzero(r) for r in x]).margin(bias, w, v)
+    return _Rows.of([np.flatnonzero(r) for r in x]).margin(bias, w, v)
 
 
 def fit(terms: np.ndarray, x, y: np.ndarray, steps: int = 100, rate: float = 0.05, price: tuple[float, float] = PRICE) -> FactorizationMachine:
     """Logistic loss over all rows of ones at once; the seed is fixed, so equal rows give equal machines.
 
-    x: for each row its columns, or a matrix. Steps are Adam's, each followed by
+    x: the rows, or a matrix. Steps are Adam's, each followed by
     the proximal step of its metric: a weight, and a vector by its length, that
     does not earn its price becomes zero. Columns with both at zero leave the fit.
     """
     rng = np.random.default_rng(7)
-    n, k = len(x), len(terms)
-    rows = _Rows([np.flatnonzero(r) for r in x] if isinstance(x, np.ndarray) else x, k)
+    n, k = len(y), len(terms)
+    rows = x if isinstance(x, _Rows) else _Rows.of([np.flatnonzero(r) for r in x])
+    rows.turn(k)
     base = (y.sum() + 0.1) / (n + 1)  # without labels: not toxic
     params = [np.array([np.log(base / (1 - base))]), np.zeros(k, np.float32), rng.normal(0, 0.02, (k, FACTORS)).astype(np.float32)]
     m, s = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
@@ -169,8 +172,9 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _chosen(batches: Iterator[pa.RecordBatch], terms: np.ndarray) -> Iterator[pa.RecordBatch]:
     feature = {int(t): i for i, t in enumerate(terms)}
     for batch in batches:
-        own = [[feature[t] for t in row if t in feature] for row in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int32()))], ["y", "own"])
+        own = [np.array(sorted(feature[t] for t in row if t in feature), np.int32) for row in batch.column(1).to_pylist()]
+        digest = [xxhash.xxh64_intdigest(x.tobytes()) >> 1 for x in own]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest, pa.int64()), pa.array(own, pa.list_(pa.int32()))], ["y", "digest", "own"])
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 5, rows: int = TRAIN_ROWS) -> FactorizationMachine:
@@ -186,9 +190,12 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     seen = stash(own.select("y", "t").mapInArrow(_terms, "y int, terms array<int>"), "terms")
     counts = seen.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT)
     terms = np.sort(counts.select("term").toArrow().column(0).to_numpy().astype(np.int64))  # BUCKETS at most
-    data = seen.mapInArrow(partial(_chosen, terms=terms), "y int, own array<int>").collect()  # rows of labels at most
-    data.sort(key=lambda r: (r.y, r.own))
-    return fit(terms, [r.own for r in data], np.array([r.y for r in data], np.float64))
+    chosen = seen.mapInArrow(partial(_chosen, terms=terms), "y int, digest long, own array<int>")
+    data = chosen.orderBy("y", "digest").toArrow().combine_chunks()  # rows of labels at most; those of one digest are alike
+    own = pa.chunked_array(data.column("own").chunks, pa.list_(pa.int32()))
+    size = pc.list_value_length(own).to_numpy().astype(np.int64)
+    cols = pc.list_flatten(own).to_numpy().astype(np.int32)
+    return fit(terms, _Rows(size, cols), data.column("y").to_numpy().astype(np.float64))
 
 
 def _scores(texts: list[bytes], machine: FactorizationMachine) -> np.ndarray:
