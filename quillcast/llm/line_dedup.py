@@ -160,8 +160,9 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kee
     Null or empty text: one empty line, which stays. A null id is smaller than
     all others. Rows that share an id count one by one, and all of them keep
     what their id keeps. A document that keeps a line keeps all copies of it. Empty table: empty result. Other columns of
-    docs are ignored, whatever their names. Two lines are taken for one only if
-    128 bits of hashes agree.
+    docs are ignored, whatever their names. Lines are
+    counted by 128 bits of hashes; which of its lines a document loses is told
+    by the first 64.
     """
     spark = docs.sparkSession
     rows = docs.select(id_key(doc_id).alias("k"), text_bytes(text).alias("t"), *dict.fromkeys([doc_id, *keep]))
