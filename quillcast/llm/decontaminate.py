@@ -59,65 +59,77 @@ def _forms(token: str) -> tuple[int, int, bool]:
     low = core.lower()
     if not core:
         return 0, 0, ends
-    if any(c.isdigit() for c in core) or all(part in NUMBER_WORDS for part in low.split("-")):
-        return _hash(_NUMBER), _hash(_NUMBER), ends
+    if low in NUMBER_WORDS or not core.isalpha() and (any(map(str.isdigit, core)) or all(part in NUMBER_WORDS for part in low.split("-"))):
+        return _SLOT["n"], _SLOT["n"], ends
     if low in UNITS:
-        return _hash(_UNIT), _hash(_UNIT), ends
+        return _SLOT["u"], _SLOT["u"], ends
     plain = _hash(low)
     name = core[0].isupper() and (len(core) == 1 or not core[1:].isupper()) and core[0].isalpha()
-    return plain, _hash(_NAME) if name else plain, ends
+    return plain, _SLOT["p"] if name else plain, ends
 
 
-_SLOTS = {_hash(s): s[1] for s in (_NUMBER, _NAME, _UNIT)}
+_SLOT = {s[1]: _hash(s) for s in (_NUMBER, _NAME, _UNIT)}
+_SLOTS = {h: kind for kind, h in _SLOT.items()}
 _SLOT_HASHES = np.array(sorted(_SLOTS), np.uint64)
-_RUNS = np.array([_hash(_NUMBER), _hash(_NAME)], np.uint64)
+_RUNS = np.array([_SLOT["n"], _SLOT["p"]], np.uint64)
 _BREAKS = frozenset(".,;:!?)]}\"'”’»…")
 _ODD = np.random.default_rng(5).integers(1, 2**63, 64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+class _Tokens:
+    """What each word of a text was written as; joined only when asked for."""
+
+    def __init__(self, tokens: list[str], at: np.ndarray, first: np.ndarray):
+        self.tokens, self.at, self.first = tokens, at, first
+
+    def __getitem__(self, i: int) -> str:
+        return " ".join(self.tokens[k] for k in self.at[self.first[i] : self.first[i + 1]])
+
+
 class Templates:
     """Canonical windows of texts; remembers the forms of tokens, up to a bound."""
 
     def __init__(self, window: int = WINDOW):
         self.window, self.known = window, {}
-
-    def words(self, text: str) -> tuple[np.ndarray, list[str]]:
+        self.hashes, self.flags = np.zeros((1 << 12, 2), np.uint64), np.zeros((1 << 12, 2), bool)
+
+    def _learn(self, tokens: set[str]) -> None:
+        new = [t for t in tokens if t not in self.known]
+        if not new:
+            return
+        first, inside, ends = zip(*map(_forms, new))
+        at, to = len(self.known), len(self.known) + len(new)
+        self.known.update(zip(new, range(at, to)))
+        while to > len(self.hashes):
+            self.hashes, self.flags = (np.concatenate((x, np.zeros_like(x))) for x in (self.hashes, self.flags))
+        self.hashes[at:to, 0], self.hashes[at:to, 1] = np.array(first, np.uint64), np.array(inside, np.uint64)
+        self.flags[at:to, 0], self.flags[at:to, 1] = ends, [t[-1] in _BREAKS for t in new]
+
+    def words(self, text: str) -> tuple[np.ndarray, "_Tokens"]:
+        """Hashes of the text's words, and the tokens that each of them stands for."""
         tokens = text.split()
+        if not tokens:
+            return np.zeros(0, np.uint64), _Tokens([], np.zeros(0, np.int64), np.zeros(1, np.int64))
         if len(self.known) > _CACHE:
             self.known.clear()
-        known = self.known
-        for t in set(tokens):
-            if t not in known:
-                known[t] = _forms(t)
-        if not tokens:
-            return np.zeros(0, np.uint64), []
-        first, inside, ends = zip(*[known[t] for t in tokens])
-        start = np.concatenate(([True], np.array(ends[:-1], bool)))
-        h = np.where(start, np.array(first, np.uint64), np.array(inside, np.uint64))
-        keep = h != 0
-        if not keep.all():
-            h, tokens = h[keep], [t for t, k in zip(tokens, keep) if k]
+        self._learn(set(tokens))
+        ids = np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))
+        ends, breaks = self.flags[ids].T
+        start = np.concatenate(([True], ends[:-1]))
+        h = np.where(start, self.hashes[ids, 0], self.hashes[ids, 1])
+        at = np.flatnonzero(h)
+        h, breaks = h[at], breaks[at]
         # a run of one kind goes on over any word that no punctuation ends
-        on = np.zeros(len(h), bool)
-        on[1:] = (h[1:] == h[:-1]) & np.isin(h[1:], _RUNS)
-        for i in np.flatnonzero(on).tolist():
-            on[i] = tokens[i - 1][-1] not in _BREAKS
-        if not on.any():
-            return h, tokens
-        joined: list[str] = []
-        for t, o in zip(tokens, on.tolist()):
-            if o:
-                joined[-1] += " " + t
-            else:
-                joined.append(t)
-        return h[~on], joined
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | breaks[:-1] | ~((h[1:] == _RUNS[0]) | (h[1:] == _RUNS[1]))
+        return h[new], _Tokens(tokens, at, np.append(np.flatnonzero(new), len(h)))
 
     def windows(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions and hashes of the windows that hold at least one word that is no placeholder."""
         n = len(words) - self.window + 1
         if n <= 0:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        slot = np.isin(words, _SLOT_HASHES)
+        slot = (words == _SLOT_HASHES[0]) | (words == _SLOT_HASHES[1]) | (words == _SLOT_HASHES[2])
         h, literal = np.zeros(n, np.uint64), np.zeros(n, bool)
         with np.errstate(over="ignore"):
             for j in range(self.window):
@@ -128,15 +140,15 @@ class Templates:
         at = np.flatnonzero(literal)
         return at, h[at]
 
-    def slots(self, words: np.ndarray, tokens: list[str], at: int) -> list[str]:
-        return [_SLOTS[int(w)] + t.strip(_EDGES).lower() for w, t in zip(words[at : at + self.window], tokens[at : at + self.window]) if int(w) in _SLOTS]
+    def slots(self, words: np.ndarray, tokens, at: int) -> list[str]:
+        return [kind + tokens[at + j].strip(_EDGES).lower() for j, w in enumerate(words[at : at + self.window].tolist()) if (kind := _SLOTS.get(w))]
 
-    def numbered(self, words: np.ndarray, tokens: list[str]) -> list[str]:
+    def numbered(self, words: np.ndarray, tokens) -> list[str]:
         """The tokens, but each slot's value by its number in the text: equal values share a number."""
         seen: dict[str, int] = {}
         slot = np.isin(words, _SLOT_HASHES).tolist()
-        value = [f"{w}{t.strip(_EDGES).lower()}" if s else "" for w, t, s in zip(words.tolist(), tokens, slot)]
-        return [str(seen.setdefault(v, len(seen))) if s else t for t, v, s in zip(tokens, value, slot)]
+        value = [f"{w}{tokens[i].strip(_EDGES).lower()}" if s else "" for i, (w, s) in enumerate(zip(words.tolist(), slot))]
+        return [str(seen.setdefault(v, len(seen))) if s else tokens[i] for i, (v, s) in enumerate(zip(value, slot))]
 
 
 def _windows(batches: Iterator[pa.RecordBatch], window: int, bitmap: np.ndarray | None) -> Iterator[pa.RecordBatch]:
