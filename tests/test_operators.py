@@ -194,3 +194,15 @@ def test_a_split_cuts_within_a_day(spark):
         got = {r.id: r.split for r in O.chronological_split(df, "at", "id", ratio).collect()}
         assert [got[i] for i in want] == ["train"] * int(20 * ratio) + ["test"] * (20 - int(20 * ratio))
     assert O.chronological_split(df.limit(0), "at", "id", 0.5).collect() == []
+
+
+def test_neighbours_in_blocks_and_parts(spark):
+    rng = random.Random(3)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(150)] + [(200, None)]
+    df = spark.createDataFrame(rows, "id long, v array<float>")
+    got = {}
+    for r in T.knn(df.where("id % 5 = 0"), df, "id", "v", 4, block=7, part=40).collect():
+        got.setdefault(r.q, []).append((-r.s, r.d))
+    x = {r.id: r.v for r in df.collect() if r.v}
+    cos = lambda a, b: round(sum(p * q for p, q in zip(a, b)) / (sum(p * p for p in a) * sum(q * q for q in b)) ** 0.5, 6)
+    assert {q: sorted(n) for q, n in got.items()} == {q: sorted((-cos(x[q], x[d]), d) for d in x if d != q)[:4] for q in x if q % 5 == 0}
