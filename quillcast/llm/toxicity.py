@@ -191,7 +191,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     counts = seen.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT)
     terms = np.sort(counts.select("term").toArrow().column(0).to_numpy().astype(np.int64))  # BUCKETS at most
     chosen = seen.mapInArrow(partial(_chosen, terms=terms), "y int, digest long, own array<int>")
-    data = chosen.orderBy("y", "digest").toArrow().combine_chunks()  # rows of labels at most; those of one digest are alike
+    data = chosen.toArrow()  # rows of labels at most; those of one digest are alike
+    data = data.take(pa.array(np.lexsort((data.column("digest").to_numpy(), data.column("y").to_numpy()))))
     own = pa.chunked_array(data.column("own").chunks, pa.list_(pa.int32()))
     size = pc.list_value_length(own).to_numpy().astype(np.int64)
     cols = pc.list_flatten(own).to_numpy().astype(np.int32)
