@@ -10,13 +10,19 @@ from pyspark.sql import functions as F
 from .chat_format import format_chats, read_content, read_role, read_turns, text_part, unescape
 from .decontaminate import find_contamination
 from .embedding_dedup import near_vectors
+from .exact_search import top_k, whole_vectors
 from .html_extract import extract_pages
 from .language_id import identify, train_text
 from .line_dedup import dedup_lines
 from .mixing import mix_sources
 from .ppm import ppm_scores
 from .simhash_dedup import simhash_groups
+from .token_alignment import ByteLevel, Pieces, align
 from .toxicity import toxicity_scores, train
+from .whitening import whiten
+
+#: Where the vocabularies of op12 are.
+TOKENIZERS = "/opt/tokenizers"
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -135,6 +141,35 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return find_contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op11_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = whole_vectors(_read(spark, sf_dir, "embeddings"), "vec_id", "embedding", 256)
+    return top_k(vectors, vectors.where("id % 50 = 0"), 5)
+
+
+OP11_SQL = """
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x
+  FROM embeddings WHERE len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), s AS (
+  SELECT q.r AS q, q.vec_id AS query_id, v.r, v.vec_id, list_inner_product(q.x, v.x)::BIGINT AS score FROM v q JOIN v ON v.r <> q.r WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id NULLS FIRST, r)::INT AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    with open(f"{tokenizers}/byte_bpe_50k.json", "rb") as a, open(f"{tokenizers}/piece_bpe_32k.model", "rb") as b:
+        aligned = align(_read(spark, sf_dir, "documents"), ByteLevel(a.read()), Pieces(b.read()))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
+    return aligned.select(*[c for c in aligned.columns if c != "groups"], digest.alias("groups_sha256"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(whole_vectors(_read(spark, sf_dir, "embeddings"), "vec_id", "embedding", 1024, 100_000), 8)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_html_extraction": op2_html_extraction,
@@ -146,10 +181,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_language_id": op9_language_id,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op11_exact_top_k": op11_exact_top_k,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": OP1_SQL,
     "op4_source_mixing": OP4_SQL,
     "op5_chat_format": OP5_SQL,
+    "op11_exact_top_k": OP11_SQL,
 }
