@@ -6,10 +6,11 @@ which is read off the vocabulary and the rule by which it splits (`_RULES`), so
 text's tokens are its pieces' tokens one after the other. Each distinct piece
 is tokenised and aligned once, as tables:
 
-tokens of a piece by posexplode; their ends by a windowed running sum of byte
-lengths; an equi-join on (piece, end), outer on both sides; cuts are the ends
-that both have, groups are running counts of cuts, and every end is one link,
-between the tokens of either side that run up to it or across it. A window
+tokens of a piece with their positions, exploded; their ends by a windowed
+running sum of byte lengths; an outer equi-join of both sides on (piece, end),
+written as a grouping, which needs no shuffle beyond the one by piece; cuts are
+the ends that both have, groups are running counts of cuts, and every end is one
+link, between the tokens of either side that run up to it or across it. A window
 finds those in one pass, so that a long group costs its length, not its square.
 
 Texts meet their pieces again by blocks of about BLOCK characters: a block holds
@@ -153,14 +154,10 @@ def _encode(batches: Iterator[pa.RecordBatch], sides: tuple) -> Iterator[pa.Reco
 
 def align_pieces(tokens: DataFrame) -> DataFrame:
     """tokens (s, a, a_bytes, b, b_bytes), by piece s the ids and byte lengths of two sides that cover the same bytes: s, n_a, n_b, n_groups, n_links, groups (`a1,a2|b1;a3|b2,b3`) and links (a << 32 | b for each)."""
-    dealt = tokens.where("a is not null").repartition("s")
-
-    def ends(side: str) -> DataFrame:
-        rows = dealt.select("s", F.posexplode(F.arrays_zip(F.col(side).alias("id"), F.col(f"{side}_bytes").alias("n"))).alias("pos", "t"))
-        end = F.sum("t.n").over(W.partitionBy("s").orderBy("pos"))
-        return rows.select("s", end.alias("end"), F.col("t.id").alias(side))
-
-    met = ends("a").join(ends("b"), ["s", "end"], "full")
+    token = lambda side: F.transform(F.arrays_zip(F.col(side).alias("id"), F.col(f"{side}_bytes").alias("n")), lambda t, i: F.struct(F.lit(side == "a").alias("first"), i.alias("pos"), t["id"].alias("id"), t["n"].alias("n")))
+    dealt = tokens.where("a is not null").repartition("s").select("s", F.explode(F.concat(token("a"), token("b"))).alias("t")).select("s", "t.*")
+    ends = dealt.select("s", "first", "id", F.sum("n").over(W.partitionBy("s", "first").orderBy("pos")).alias("end"))
+    met = ends.groupBy("s", "end").agg(F.max(F.when(F.col("first"), F.col("id"))).alias("a"), F.max(F.when(~F.col("first"), F.col("id"))).alias("b"))
     back = W.partitionBy("s").orderBy(F.desc("end"))  # from the end on: what covers a place ends there or, last seen, behind it
     over = lambda c: F.last(c, True).over(back).cast("long")
     group = F.count(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1)).over(back)
