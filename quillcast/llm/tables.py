@@ -23,7 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
+def stash(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back.
 
     This cuts the lineage: an executor lost later costs a re-read, not a
@@ -31,7 +31,7 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -28,6 +28,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -108,10 +109,20 @@ class _Numbers(dict):
         return n
 
 
-def _block(number: int, docs: list, own: list[np.ndarray], pieces: _Numbers, kind: pa.DataType) -> pa.RecordBatch:
+def _shrunk(numbers: np.ndarray) -> bytes:
+    """Numbers of pieces by planes of bytes, as most of the high ones are 0."""
+    return zstandard.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _numbers(shrunk: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(shrunk), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
+def _block(number: int, docs: list, own: list[bytes], pieces: _Numbers, kind: pa.DataType) -> pa.RecordBatch:
     """A row for each text with the numbers of its pieces, and one with the pieces."""
     n = len(docs) + 1
-    columns = [pa.array([number] * n, pa.int64()), pa.array([*docs, None], kind), pa.array([*own, None], pa.list_(pa.int32())), pa.array([None] * len(docs) + [list(pieces)], pa.list_(pa.string()))]
+    columns = [pa.array([number] * n, pa.int64()), pa.array([*docs, None], kind), pa.array([*own, None], pa.binary()), pa.array([None] * len(docs) + [list(pieces)], pa.list_(pa.string()))]
     return pa.RecordBatch.from_arrays(columns, ["block", "doc", "own", "pieces"])
 
 
@@ -128,7 +139,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], rule: str | None, block: int) ->
                 number, chars, docs, own, pieces = number + 1, 0, [], [], _Numbers()
             parts = (cut.split(" " + text) if cut else [" " + text]) if text else []
             docs.append(doc)
-            own.append(np.fromiter(map(pieces.__getitem__, parts), np.int32, len(parts)))
+            own.append(_shrunk(np.fromiter(map(pieces.__getitem__, parts), np.uint32, len(parts))))
             chars += len(text)
     if docs:
         yield _block(number, docs, own, pieces, kind)
@@ -153,20 +164,20 @@ def _encode(batches: Iterator[pa.RecordBatch], sides: tuple) -> Iterator[pa.Reco
 
 
 def align_pieces(tokens: DataFrame) -> DataFrame:
-    """tokens (s, a, a_bytes, b, b_bytes), by piece s the ids and byte lengths of two sides that cover the same bytes: s, n_a, n_b, n_groups, n_links, groups (`a1,a2|b1;a3|b2,b3`) and links (a << 32 | b for each)."""
+    """tokens (piece, a, a_bytes, b, b_bytes), by piece the ids and byte lengths of two sides that cover the same bytes: piece, n_a, n_b, n_groups, n_links, groups (`a1,a2|b1;a3|b2,b3`) and links (a << 32 | b for each)."""
     token = lambda side: F.transform(F.arrays_zip(F.col(side).alias("id"), F.col(f"{side}_bytes").alias("n")), lambda t, i: F.struct(F.lit(side == "a").alias("first"), i.alias("pos"), t["id"].alias("id"), t["n"].alias("n")))
-    dealt = tokens.where("a is not null").repartition("s").select("s", F.explode(F.concat(token("a"), token("b"))).alias("t")).select("s", "t.*")
-    ends = dealt.select("s", "first", "id", F.sum("n").over(W.partitionBy("s", "first").orderBy("pos")).alias("end"))
-    met = ends.groupBy("s", "end").agg(F.max(F.when(F.col("first"), F.col("id"))).alias("a"), F.max(F.when(~F.col("first"), F.col("id"))).alias("b"))
-    back = W.partitionBy("s").orderBy(F.desc("end"))  # from the end on: what covers a place ends there or, last seen, behind it
+    dealt = tokens.where("a is not null").repartition("piece").select("piece", F.explode(F.concat(token("a"), token("b"))).alias("t")).select("piece", "t.*")
+    ends = dealt.select("piece", "first", "id", F.sum("n").over(W.partitionBy("piece", "first").orderBy("pos")).alias("end"))
+    met = ends.groupBy("piece", "end").agg(F.max(F.when(F.col("first"), F.col("id"))).alias("a"), F.max(F.when(~F.col("first"), F.col("id"))).alias("b"))
+    back = W.partitionBy("piece").orderBy(F.desc("end"))  # from the end on: what covers a place ends there or, last seen, behind it
     over = lambda c: F.last(c, True).over(back).cast("long")
     group = F.count(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1)).over(back)
-    rows = met.select("s", "end", "a", "b", group.alias("g"), F.shiftleft(over("a"), 32).bitwiseOR(over("b")).alias("link"))
+    rows = met.select("piece", "end", "a", "b", group.alias("g"), F.shiftleft(over("a"), 32).bitwiseOR(over("b")).alias("link"))
     ids = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("end", c)))), lambda t: t[c].cast("string")), ",")
-    grouped = rows.groupBy("s", "g").agg(F.concat(ids("a"), F.lit("|"), ids("b")).alias("t"), F.count("a").alias("n_a"), F.count("b").alias("n_b"), F.collect_list("link").alias("links"))
+    grouped = rows.groupBy("piece", "g").agg(F.concat(ids("a"), F.lit("|"), ids("b")).alias("t"), F.count("a").alias("n_a"), F.count("b").alias("n_b"), F.collect_list("link").alias("links"))
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("g", "t")), False), lambda x: x["t"]), ";")
     sums = [F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count("*").alias("n_groups"), F.sum(F.size("links")).cast("long").alias("n_links")]
-    return grouped.groupBy("s").agg(*sums, text.alias("groups"), F.flatten(F.collect_list("links")).alias("links"))
+    return grouped.groupBy("piece").agg(*sums, text.alias("groups"), F.flatten(F.collect_list("links")).alias("links"))
 
 
 def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,12 +189,11 @@ def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 def _pairs_of(key: tuple, docs: pa.Table, pieces: pa.Table) -> pa.Table:
     """How many of a block's texts hold each link."""
     links, at = _flat(pieces.sort_by("no").column("links"))
-    exact = pieces.sort_by("no").column("exact").to_numpy()
+    exact = pieces.sort_by("no").column("exact").fill_null(False).to_numpy()
     names, links = np.unique(links, return_inverse=True)
     count = np.zeros(len(names), np.int64)
-    own, start = _flat(docs.column("own"))
-    for i, j in zip(start[:-1], start[1:]):
-        used = np.unique(own[i:j])
+    for own in docs.column("own"):
+        used = np.unique(_numbers(own.as_py()))
         if exact[used].all():
             sizes = at[used + 1] - at[used]
             where = np.repeat(at[used] - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())
@@ -197,12 +207,11 @@ _SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 def _texts_of(key: tuple, docs: pa.Table, pieces: pa.Table) -> pa.Table:
     """Sums over each text's pieces, and their groups in order."""
     pieces = pieces.sort_by("no")
-    exact, groups = pieces.column("exact").to_numpy(), pieces.column("groups").to_pylist()
+    exact, groups = pieces.column("exact").fill_null(False).to_numpy(), pieces.column("groups").to_pylist()
     values = np.stack([pieces.column(c).fill_null(0).to_numpy() for c in _SUMS])
-    own, start = _flat(docs.column("own"))
     sums, texts = np.zeros((len(_SUMS), len(docs)), np.int64), []
-    for k, (i, j) in enumerate(zip(start[:-1], start[1:])):
-        at = own[i:j]
+    for k, own in enumerate(docs.column("own")):
+        at = _numbers(own.as_py())
         if exact[at].all():
             sums[:, k] = values[:, at].sum(1)
             texts.append(";".join([groups[x] for x in at.tolist()]))
@@ -225,19 +234,18 @@ def align(docs: DataFrame, first: ByteLevel, second: Pieces, doc_id: str = "doc_
     rule = "|".join(_RULES[i][0] for i in rules) or None
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("doc"), text_bytes(text).alias("t"))
-    cut = stash(rows.mapInArrow(partial(_blocks, rule=rule, block=block), f"block long, doc {kind}, own array<int>, pieces array<string>"), "texts")
+    cut = stash(rows.mapInArrow(partial(_blocks, rule=rule, block=block), f"block long, doc {kind}, own binary, pieces array<string>"), "texts", "zstd")
     held = cut.where("pieces is not null").select(F.col("block").alias("of"), F.posexplode("pieces").alias("no", "piece"))
     texts = cut.where("own is not null").select("block", "doc", "own")
-    made = held.select("piece").distinct().mapInArrow(partial(_encode, sides=(first, second)), "piece string, a array<int>, a_bytes array<int>, b array<int>, b_bytes array<int>")
-    tokens = stash(made.select(F.monotonically_increasing_id().alias("s"), "*"), "tokens")
-    known = stash(tokens.select("s", "piece", F.col("a").isNotNull().alias("exact")).join(align_pieces(tokens), "s", "left"), "pieces")
-    meet = lambda of: texts.groupBy("block").cogroup(held.join(of, "piece").drop("piece").groupBy("of"))
-    parts = meet(known.select("piece", "exact", "links")).applyInArrow(_pairs_of, "link long, n long")
+    tokens = held.select("piece").distinct().mapInArrow(partial(_encode, sides=(first, second)), "piece string, a array<int>, a_bytes array<int>, b array<int>, b_bytes array<int>")
+    known = stash(align_pieces(tokens).select(F.monotonically_increasing_id().alias("s"), "*"), "pieces", "zstd")  # the exact ones
+    meet = lambda of: texts.groupBy("block").cogroup(held.join(of.withColumn("exact", F.lit(True)), "piece", "left").drop("piece").groupBy("of"))
+    parts = meet(known.select("piece", "links")).applyInArrow(_pairs_of, "link long, n long")
     counts = stash(parts.groupBy("link").agg(F.sum("n").alias("n")), "links")
     side = F.shiftright("link", 32)
     counts = counts.join(counts.groupBy(side.alias("a")).agg(F.max("n").alias("most")), F.col("a") == side)
     each = known.select("s", F.explode("links").alias("link")).join(counts.select("link", "n", (F.col("n") == F.col("most")).alias("best")), "link")
     sums = each.groupBy("s").agg(F.count_if("best").alias("n_best"), F.sum("n").alias("count_sum"))
-    full = stash(known.drop("links").join(sums, "s", "left").drop("s"), "sums")
+    full = stash(known.drop("links").join(sums, "s").drop("s"), "sums", "zstd")
     out = meet(full).applyInArrow(_texts_of, f"doc {kind}, {', '.join(f'{c} long' for c in _SUMS)}, groups string")
     return out.withColumnRenamed("doc", doc_id)
