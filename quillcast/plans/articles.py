@@ -134,9 +134,16 @@ def _(spark, sf):
     return a.select(*shared).unionByName(b.select(*shared))
 
 
-@query("p30_binary_resolutions", "SELECT doc_id FROM labels WHERE (toxic = 1 OR toxic = 0) AND doc_id >= 10 AND doc_id < 500")
+@query(
+    "p30_binary_resolutions",
+    """SELECT l.doc_id FROM labels l JOIN documents d USING (doc_id) WHERE l.toxic IN (0, 1)
+    AND strftime(DATE '2024-01-01' + (d.n_chars % 366)::INT, '%Y-%m-%d') >= '2024-02-01' AND strftime(DATE '2024-01-01' + (d.n_chars % 366)::INT, '%Y-%m-%d') < '2024-11-15'""",
+)
 def _(spark, sf):
-    return read(spark, sf, "labels").where(F.col("toxic").cast("string").isin("1", "1.0", "0", "0.0") & (F.col("doc_id") >= 10) & (F.col("doc_id") < 500)).select("doc_id")
+    """Labels are 0 or 1 and their document's day is within the half-open range of strings. Documents have no date here: it is made from their length."""
+    day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("n_chars") % 366).cast("int")), "yyyy-MM-dd")
+    docs = read(spark, sf, "documents").where((day >= "2024-02-01") & (day < "2024-11-15")).select("doc_id")
+    return read(spark, sf, "labels").where(F.col("toxic").cast("string").isin("1", "1.0", "0", "0.0")).join(docs, "doc_id").select("doc_id")
 
 
 @query("p31_gates_and_clamped_start", "SELECT l_orderkey, l_linenumber, strftime(least(o_orderdate::DATE, l_shipdate::DATE - 30), '%Y-%m-%d') AS start FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE CASE WHEN l_linenumber <> 3 THEN l_returnflag = 'A' ELSE l_linestatus = 'O' END")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .. import sources as IO
 from .. import streaming as ST
 from ..operators.ordering import shared_folder
+from .forecasts import BM25_SQL
 from .registry import query, read
 
 
@@ -104,13 +105,49 @@ def _(spark, sf):
     return spark.read.parquet(path).select("doc_id", F.col("shard").cast("int").alias("shard"))
 
 
+WORDS = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[ \t\n\x0b\f\r]+'), lambda w: w <> '')"
+
+
+@query("s14_term_index", f"WITH t AS (SELECT doc_id, unnest({WORDS}) AS term FROM documents) SELECT term, doc_id, count(*) AS tf FROM t GROUP BY 1, 2")
+def _(spark, sf):
+    return IO.index_terms(read(spark, sf, "documents"), "doc_id", "text")
+
+
+CHANGED = """(SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN concat(text, ' of the third edition') ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0 OR doc_id % 5 = 0
+UNION ALL SELECT -1 - doc_id, text FROM documents WHERE doc_id % 3 = 0)"""
+
+
+def changed_index(spark, sf):
+    """The full-text index of all documents after deletes, replacements, a merge and additions."""
+    docs = read(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    index = IO.TextIndex(spark, path_for(spark, "index"))
+    index.insert(docs)
+    index.delete(docs.where("id % 7 = 0"))
+    index.insert(docs.where("id % 5 = 0").withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit(" of the third edition"))))
+    index.merge()
+    index.insert(docs.where("id % 3 = 0").withColumn("id", -1 - F.col("id")))
+    return index, read(spark, sf, "benchmark").select(F.col("item_id").alias("q"), "text")
+
+
+@query("s14b_all_words", f"WITH d AS (SELECT doc_id AS id, {WORDS} AS w FROM {CHANGED}), q AS (SELECT item_id AS q, {WORDS} AS w FROM benchmark) SELECT q, id FROM q JOIN d ON list_has_all(d.w, q.w) WHERE len(q.w) > 0")
+def _(spark, sf):
+    index, asked = changed_index(spark, sf)
+    return index.all_of(asked)
+
+
 @query(
-    "s14_term_index",
-    r"""WITH t AS (SELECT item_id, unnest(list_filter(string_split_regex(lower(coalesce(text, '')), '[ \t\n\x0b\f\r]+'), lambda w: w <> '')) AS term FROM benchmark)
-    SELECT term, item_id, count(*) AS tf FROM t GROUP BY 1, 2""",
+    "s14c_phrases",
+    f"WITH d AS (SELECT doc_id AS id, ' ' || array_to_string({WORDS}, ' ') || ' ' AS t FROM {CHANGED}), q AS (SELECT item_id AS q, ' ' || array_to_string({WORDS}, ' ') || ' ' AS t FROM benchmark) SELECT q, id FROM q JOIN d ON contains(d.t, q.t) WHERE trim(q.t) <> ''",
 )
 def _(spark, sf):
-    return IO.index_terms(read(spark, sf, "benchmark"), "item_id", "text")
+    index, asked = changed_index(spark, sf)
+    return index.phrase(asked).select("q", "id")
+
+
+@query("s14d_ranked", BM25_SQL.replace("FROM documents)", f"FROM {CHANGED})").replace("item_id, rank", "item_id AS q, rank"))
+def _(spark, sf):
+    index, asked = changed_index(spark, sf)
+    return index.ranked(asked, 3).select("q", "rank", "score")
 
 
 @query("s15_point_and_range", "SELECT event_id FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-09' OR event_type = 'purchase'")
