@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import groups as G
 from ..operators import scoring as S
+from ..operators.ordering import shared_folder
 from .registry import query, read
 
 R = lambda c: F.round(c, 6)
@@ -232,3 +235,13 @@ def _(spark, sf):
 
     v = read(spark, sf, "embeddings").select("vec_id", "embedding")
     return knn(v.where("vec_id % 50 = 0"), v, "vec_id", "embedding", 10)
+
+
+@query("r6_stored_dense_top_k")
+def _(spark, sf):
+    """An index of all vectors, searched in as many cells as hold 0.95 of the true neighbours of audited queries. Approximate, so without SQL: tests hold it against r3's exact neighbours."""
+    from ..sources import VectorIndex
+
+    v = read(spark, sf, "embeddings").select("vec_id", "embedding")
+    index, asked = VectorIndex(spark, f"{shared_folder(spark)}/dense-{uuid.uuid4().hex}").build(v), v.where("vec_id % 50 = 0")
+    return index.search(asked, 10, index.probes_for(asked, 10))

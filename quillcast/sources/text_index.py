@@ -19,6 +19,7 @@ time; readers keep the state that they opened.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -70,8 +71,8 @@ class TextIndex:
         return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
     def _commit(self, version: int, parts: list[tuple]) -> None:
-        rows = self.spark.createDataFrame([(version, *p) for p in parts] or [(version, version, "none", "", 0)], _MANIFEST)
-        rows.coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
+        rows = [f"({version}L, {at}L, '{kind}', '{folder}', {count}L)" for at, kind, folder, count in parts or [(version, "none", "", 0)]]
+        self.spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t(version, at, kind, folder, documents)").coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
         self._open = None
 
     def _state(self) -> tuple[int, list[tuple]]:
@@ -133,10 +134,8 @@ class TextIndex:
     # -- what is live
 
     def _read(self, what: str, parts: list[tuple], schema: str) -> DataFrame:
-        found = self.spark.createDataFrame([], f"{schema}, at long")
-        for at, _, folder, _ in parts:
-            found = found.unionByName(self.spark.read.schema(schema).parquet(f"{self.path}/{what}/{folder}").withColumn("at", F.lit(at)))
-        return found
+        found = [self.spark.read.schema(schema).parquet(f"{self.path}/{what}/{folder}").withColumn("at", F.lit(at)) for at, _, folder, _ in parts]
+        return reduce(DataFrame.unionByName, found) if found else self.spark.createDataFrame([], f"{schema}, at long")
 
     def _postings(self, parts: list[tuple]) -> DataFrame:
         return self._read("postings", parts, _POSTINGS)
