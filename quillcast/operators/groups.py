@@ -212,3 +212,51 @@ def resampled(df: DataFrame, key: str, score: str, power: float = 1.0, seed: int
     joined = ranked.withColumn("__b", block).withColumn("__own", own).join(before, "__b")
     steps = lambda x: F.ceil(x * F.lit(n / total) - 0.5)
     return joined.select(key, F.greatest(steps(end) - steps(end - F.col("w")), F.lit(0)).cast("long").alias("taken"))
+
+
+def resampling_weights(df: DataFrame, score: str, method: str = "pow", power: float = 2.0, name: str = "weight") -> DataFrame:
+    """Adds the weight of each row: |score| to a power (pow), 1 for the greatest and the smallest score and else 0 (max_min), or 0.4 for the greatest and else 0.1 (max_random)."""
+    if method == "pow":
+        return df.withColumn(name, F.abs(F.col(score)) ** power)
+    if method not in ("max_min", "max_random"):
+        raise ValueError(f"no such method: {method}")
+    ends = df.agg(F.max(score).alias("__most"), F.min(score).alias("__least"))  # one row
+    held = df.join(F.broadcast(ends))
+    at_most, at_least = F.col(score) == F.col("__most"), F.col(score) == F.col("__least")
+    weight = F.when(at_most | at_least, 1.0).otherwise(0.0) if method == "max_min" else F.when(at_most, 0.4).otherwise(0.1)
+    return held.withColumn(name, weight).drop("__most", "__least")
+
+
+def drawn(df: DataFrame, key: str, weight: str, n: int | None = None, seed: int = 0, cell: int = 1 << 16) -> DataFrame:
+    """(key, taken): how often each row is taken in n independent draws with replacement by weight; as many draws as rows, if not given.
+
+    Rows lie on a line, each as long as its weight, in the order of a hash of
+    the key; a draw is a point, from a hash of its number. The line is cut into
+    cells of about ``cell`` draws, and in each cell draws meet the rows whose
+    piece they fall into in one pass in order. A row that is longer than cells
+    starts anew in each. Null, negative and non-finite weights count as 0;
+    without any weight nothing is taken. Keys are distinct. Reruns agree.
+    """
+    from .ordering import materialise, row_index
+
+    w = F.when((F.col(weight) > 0) & (F.col(weight) < float("inf")), F.col(weight).cast("double")).otherwise(0.0)
+    every = df.select(F.col(key).alias("key"), w.alias("w"))
+    n = every.count() if n is None else n
+    ranked = row_index(every.where("w > 0").withColumn("h", F.xxhash64(F.lit(seed), F.col("key").cast("string"))), "h", "key")
+    ranked = ranked.select("key", "w", "idx", F.floor(F.col("idx") / cell).alias("block"))
+    per = ranked.groupBy("block").agg(F.sum("w").alias("sum"))  # a row for each block of rows
+    before = per.select("block", (F.sum("sum").over(W.orderBy("block")) - F.col("sum")).alias("before"))
+    own = F.sum("w").over(W.partitionBy("block").orderBy("idx")) - F.col("w")
+    line = materialise(ranked.select("key", "w", "idx", "block", own.alias("own")).join(F.broadcast(before), "block").select("key", "idx", "w", (F.col("before") + F.col("own")).alias("start")))
+    total = line.agg(F.max(F.col("start") + F.col("w"))).first()[0]
+    if not total or not n:
+        return every.select(F.col("key").alias(key), F.lit(0).cast("long").alias("taken"))
+    cells = max(1, -(-n // cell))
+    of = lambda c: F.least(F.floor(c / F.lit(total) * cells), F.lit(cells - 1)).cast("long")
+    points = df.sparkSession.range(n).select(((F.xxhash64(F.lit(seed), F.lit("draw"), "id") / F.lit(2.0**64) + 0.5) * F.lit(total)).alias("at"))
+    points = points.select(of(F.col("at")).alias("cell"), "at", F.lit(1).alias("draw"), F.lit(None).cast("long").alias("idx"), F.lit(None).cast(every.schema["key"].dataType).alias("key"))
+    pieces = line.select("key", "idx", "start", F.explode(F.sequence(of(F.col("start")), of(F.col("start") + F.col("w")))).alias("cell"))
+    pieces = pieces.select("cell", F.col("start").alias("at"), F.lit(0).alias("draw"), "idx", "key")
+    hit = F.last("key", True).over(W.partitionBy("cell").orderBy("at", "draw", F.col("idx")).rowsBetween(W.unboundedPreceding, 0))
+    counts = points.unionByName(pieces).withColumn("hit", hit).where("draw = 1").groupBy("hit").agg(F.count("*").alias("taken"))
+    return every.join(counts, every["key"] == counts["hit"], "left").select(every["key"].alias(key), F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))

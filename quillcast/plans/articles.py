@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import articles as A
 from ..functions import dates as D
 from ..functions import text as X
+from ..operators import tokens as T
 from .registry import query, read
 
 
@@ -196,3 +197,27 @@ def _(spark, sf):
     l = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", F.col("l_shipdate").cast("timestamp").alias("s"))  # noqa: E741
     both = l.join(orders(spark, sf), "o_orderkey")
     return both.select(F.col("o_orderkey").alias("l_orderkey"), "l_linenumber", F.date_format(F.greatest("s", "d"), "yyyy-MM-dd HH:mm:ss").alias("d"))
+
+
+#: Where the tokenizers are.
+TOKENIZERS = "/opt/tokenizers"
+
+
+def byte_tokens(name="byte_bpe_50k.json"):
+    with open(f"{TOKENIZERS}/{name}", "rb") as f:
+        return f.read()
+
+
+@query("p27b_prompts_within_tokens")
+def _(spark, sf):
+    """Conversations whose messages, each behind its role, have at most 256 tokens in all. Tests hold it against whole texts tokenised one by one."""
+    line = F.concat(F.coalesce("role", F.lit("")), F.lit(": "), F.coalesce("text", F.lit("")))
+    turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda t: t["line"])
+    prompts = read(spark, sf, "conversations").groupBy("conv_id").agg(F.array_join(turns, "\n").alias("prompt"))
+    return T.within_tokens(prompts, F.col("prompt"), byte_tokens(), 256)
+
+
+@query("x20b_token_windows")
+def _(spark, sf):
+    """Every document in windows of 512 tokens that share 64. Tests hold it against whole texts tokenised one by one."""
+    return T.token_windows(read(spark, sf, "documents"), "doc_id", "text", byte_tokens())

@@ -246,6 +246,30 @@ def _(spark, sf):
     return G.resampled(read(spark, sf, "events").select("event_id", "value"), "event_id", "value", 2.0).agg(F.sum("taken").alias("drawn"))
 
 
+@query(
+    "g18b_resampling_weights",
+    """SELECT event_id, round(value * value, 6) AS pow, CASE WHEN value IN (max(value) OVER (), min(value) OVER ()) THEN 1 ELSE 0 END::DOUBLE AS max_min,
+    CASE WHEN value = max(value) OVER () THEN 0.4 ELSE 0.1 END::DOUBLE AS max_random FROM events""",
+)
+def _(spark, sf):
+    e = read(spark, sf, "events").select("event_id", "value")
+    for method in ("pow", "max_min", "max_random"):
+        e = G.resampling_weights(e, "value", method, 2.0, method)
+    return e.select("event_id", R("pow").alias("pow"), "max_min", "max_random")
+
+
+@query("g18c_draws", "SELECT count(*) AS drawn, 0 AS of_no_weight, true AS spread_as_expected FROM events")
+def _(spark, sf):
+    """As many draws as events by squared value. Draws are random: of rows in 20 groups by weight, each group's share must be within six deviations of its weight's."""
+    e = G.resampling_weights(read(spark, sf, "events").select("event_id", "value"), "value", "pow", 2.0)
+    taken = G.drawn(e, "event_id", "weight").join(e, "event_id").withColumn("g", F.pmod(F.xxhash64("event_id"), F.lit(20)))
+    by = taken.groupBy("g").agg(F.sum("taken").alias("t"), F.sum("weight").alias("w"), F.sum(F.when(F.col("weight") == 0, F.col("taken")).otherwise(0)).alias("none"))
+    both = by.join(F.broadcast(by.agg(F.sum("t").alias("n"), F.sum("w").alias("total"))))
+    p = F.col("w") / F.col("total")
+    near = F.abs(F.col("t") - F.col("n") * p) <= 6 * F.sqrt(F.col("n") * p * (1 - p))
+    return both.agg(F.sum("t").alias("drawn"), F.sum("none").alias("of_no_weight"), F.every(near).alias("spread_as_expected"))
+
+
 @query("g19_clipped_losses", TOKENS + "SELECT event_id, round(loss, 6) + 0.0::DOUBLE AS loss, round(0.5 * greatest((lp - adv) ** 2, (least(greatest(lp, old - 0.1), old + 0.1) - adv) ** 2), 6) AS value FROM u")
 def _(spark, sf):
     return tokens(spark, sf).select("event_id", R("loss").alias("loss"), R(Q.value_loss(C("lp"), C("old"), C("adv"), 0.1)).alias("value"))
