@@ -14,7 +14,7 @@ link, between the tokens of either side that run up to it or across it. A window
 finds those in one pass, so that a long group costs its length, not its square.
 
 Texts meet their pieces again by blocks of about BLOCK characters: a block holds
-each distinct piece once and its texts as numbers of pieces, so that neither
+each distinct piece once and its texts as packed numbers of pieces, so that neither
 tokens of all texts nor a table of all pieces are ever sent anywhere.
 """
 
@@ -111,7 +111,7 @@ class _Numbers(dict):
 
 def _shrunk(numbers: np.ndarray) -> bytes:
     """Numbers of pieces by planes of bytes, as most of the high ones are 0."""
-    return zstandard.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+    return zstandard.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
 
 
 def _numbers(shrunk: bytes) -> np.ndarray:
@@ -119,11 +119,20 @@ def _numbers(shrunk: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
-def _block(number: int, docs: list, own: list[bytes], pieces: _Numbers, kind: pa.DataType) -> pa.RecordBatch:
-    """A row for each text with the numbers of its pieces, and one with the pieces."""
-    n = len(docs) + 1
-    columns = [pa.array([number] * n, pa.int64()), pa.array([*docs, None], kind), pa.array([*own, None], pa.binary()), pa.array([None] * len(docs) + [list(pieces)], pa.list_(pa.string()))]
-    return pa.RecordBatch.from_arrays(columns, ["block", "doc", "own", "pieces"])
+def _lists(shrunk: bytes, sizes: list[int]) -> list[np.ndarray]:
+    return np.split(_numbers(shrunk), np.cumsum(sizes)[:-1]) if sizes else []
+
+
+_TEXTS = "block long, docs array<{kind}>, sizes array<int>, own binary, kinds array<int>, used binary, pieces array<string>"
+
+
+def _block(number: int, docs: list, own: list[np.ndarray], pieces: _Numbers, kind: pa.DataType) -> pa.RecordBatch:
+    """One row: the texts' ids, the numbers of their pieces in order, the steps between those that each text uses, and the pieces."""
+    used = [np.diff(np.unique(x), prepend=np.uint32(0)) for x in own]
+    columns = [pa.array([number], pa.int64()), pa.array([docs], pa.list_(kind))]
+    for lists in (own, used):
+        columns += [pa.array([list(map(len, lists))], pa.list_(pa.int32())), pa.array([_shrunk(np.concatenate(lists))], pa.binary())]
+    return pa.RecordBatch.from_arrays([*columns, pa.array([list(pieces)], pa.list_(pa.string()))], ["block", "docs", "sizes", "own", "kinds", "used", "pieces"])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], rule: str | None, block: int) -> Iterator[pa.RecordBatch]:
@@ -139,7 +148,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], rule: str | None, block: int) ->
                 number, chars, docs, own, pieces = number + 1, 0, [], [], _Numbers()
             parts = (cut.split(" " + text) if cut else [" " + text]) if text else []
             docs.append(doc)
-            own.append(_shrunk(np.fromiter(map(pieces.__getitem__, parts), np.uint32, len(parts))))
+            own.append(np.fromiter(map(pieces.__getitem__, parts), np.uint32, len(parts)))
             chars += len(text)
     if docs:
         yield _block(number, docs, own, pieces, kind)
@@ -192,8 +201,9 @@ def _pairs_of(key: tuple, docs: pa.Table, pieces: pa.Table) -> pa.Table:
     exact = pieces.sort_by("no").column("exact").fill_null(False).to_numpy()
     names, links = np.unique(links, return_inverse=True)
     count = np.zeros(len(names), np.int64)
-    for own in docs.column("own"):
-        used = np.unique(_numbers(own.as_py()))
+    row = docs.to_pylist()[0]
+    for steps in _lists(row["used"], row["kinds"]):
+        used = np.cumsum(steps, dtype=np.int64)
         if exact[used].all():
             sizes = at[used + 1] - at[used]
             where = np.repeat(at[used] - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())
@@ -209,15 +219,15 @@ def _texts_of(key: tuple, docs: pa.Table, pieces: pa.Table) -> pa.Table:
     pieces = pieces.sort_by("no")
     exact, groups = pieces.column("exact").fill_null(False).to_numpy(), pieces.column("groups").to_pylist()
     values = np.stack([pieces.column(c).fill_null(0).to_numpy() for c in _SUMS])
-    sums, texts = np.zeros((len(_SUMS), len(docs)), np.int64), []
-    for k, own in enumerate(docs.column("own")):
-        at = _numbers(own.as_py())
+    row, texts = docs.to_pylist()[0], []
+    sums = np.zeros((len(_SUMS), len(row["docs"])), np.int64)
+    for k, at in enumerate(_lists(row["own"], row["sizes"])):
         if exact[at].all():
             sums[:, k] = values[:, at].sum(1)
             texts.append(";".join([groups[x] for x in at.tolist()]))
         else:
             texts.append("")
-    return pa.table({"doc": docs.column("doc"), **dict(zip(_SUMS, map(pa.array, sums))), "groups": pa.array(texts, pa.string())})
+    return pa.table({"doc": docs.column("docs").combine_chunks().flatten(), **dict(zip(_SUMS, map(pa.array, sums))), "groups": pa.array(texts, pa.string())})
 
 
 def align(docs: DataFrame, first: ByteLevel, second: Pieces, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
@@ -234,18 +244,17 @@ def align(docs: DataFrame, first: ByteLevel, second: Pieces, doc_id: str = "doc_
     rule = "|".join(_RULES[i][0] for i in rules) or None
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("doc"), text_bytes(text).alias("t"))
-    cut = stash(rows.mapInArrow(partial(_blocks, rule=rule, block=block), f"block long, doc {kind}, own binary, pieces array<string>"), "texts", "zstd")
-    held = cut.where("pieces is not null").select(F.col("block").alias("of"), F.posexplode("pieces").alias("no", "piece"))
-    texts = cut.where("own is not null").select("block", "doc", "own")
+    cut = stash(rows.mapInArrow(partial(_blocks, rule=rule, block=block), _TEXTS.format(kind=kind)), "texts", "zstd")
+    held = cut.select(F.col("block").alias("of"), F.posexplode("pieces").alias("no", "piece"))
     tokens = held.select("piece").distinct().mapInArrow(partial(_encode, sides=(first, second)), "piece string, a array<int>, a_bytes array<int>, b array<int>, b_bytes array<int>")
     known = stash(align_pieces(tokens).select(F.monotonically_increasing_id().alias("s"), "*"), "pieces", "zstd")  # the exact ones
-    meet = lambda of: texts.groupBy("block").cogroup(held.join(of.withColumn("exact", F.lit(True)), "piece", "left").drop("piece").groupBy("of"))
-    parts = meet(known.select("piece", "links")).applyInArrow(_pairs_of, "link long, n long")
+    meet = lambda of, *columns: cut.select("block", *columns).groupBy("block").cogroup(held.join(of.withColumn("exact", F.lit(True)), "piece", "left").drop("piece").groupBy("of"))
+    parts = meet(known.select("piece", "links"), "kinds", "used").applyInArrow(_pairs_of, "link long, n long")
     counts = stash(parts.groupBy("link").agg(F.sum("n").alias("n")), "links")
     side = F.shiftright("link", 32)
     counts = counts.join(counts.groupBy(side.alias("a")).agg(F.max("n").alias("most")), F.col("a") == side)
     each = known.select("s", F.explode("links").alias("link")).join(counts.select("link", "n", (F.col("n") == F.col("most")).alias("best")), "link")
     sums = each.groupBy("s").agg(F.count_if("best").alias("n_best"), F.sum("n").alias("count_sum"))
     full = stash(known.drop("links").join(sums, "s").drop("s"), "sums", "zstd")
-    out = meet(full).applyInArrow(_texts_of, f"doc {kind}, {', '.join(f'{c} long' for c in _SUMS)}, groups string")
+    out = meet(full, "docs", "sizes", "own").applyInArrow(_texts_of, f"doc {kind}, {', '.join(f'{c} long' for c in _SUMS)}, groups string")
     return out.withColumnRenamed("doc", doc_id)
