@@ -197,8 +197,9 @@ def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 def _pairs_of(key: tuple, docs: pa.Table, pieces: pa.Table) -> pa.Table:
     """How many of a block's texts hold each link."""
-    links, at = _flat(pieces.sort_by("no").column("links"))
-    exact = pieces.sort_by("no").column("exact").fill_null(False).to_numpy()
+    pieces = pieces.sort_by("no")
+    links, at = _flat(pieces.column("links"))
+    exact = pieces.column("links").is_valid().to_numpy()
     names, links = np.unique(links, return_inverse=True)
     count = np.zeros(len(names), np.int64)
     row = docs.to_pylist()[0]
@@ -215,10 +216,14 @@ _SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
 def _texts_of(key: tuple, docs: pa.Table, pieces: pa.Table) -> pa.Table:
-    """Sums over each text's pieces, and their groups in order."""
+    """Sums over each text's pieces, and their groups in order. Of a piece only what its groups do not tell is given; every end is a link, and those of both sides are one."""
     pieces = pieces.sort_by("no")
-    exact, groups = pieces.column("exact").fill_null(False).to_numpy(), pieces.column("groups").to_pylist()
-    values = np.stack([pieces.column(c).fill_null(0).to_numpy() for c in _SUMS])
+    exact, groups = pieces.column("groups").is_valid().to_numpy(), pieces.column("groups").fill_null("").to_pylist()
+    count = lambda mark: np.fromiter((g.count(mark) for g in groups), np.int64, len(groups))
+    both, n_groups = pieces.column("both").fill_null(0).to_numpy(), count("|")
+    n_a, n_best = both >> 32, both & 0xFFFFFFFF
+    n_b = count(",") + 2 * n_groups - n_a
+    values = np.stack([n_a, n_b, n_groups, n_a + n_b - n_groups, n_best, pieces.column("count_sum").fill_null(0).to_numpy()])
     row, texts = docs.to_pylist()[0], []
     sums = np.zeros((len(_SUMS), len(row["docs"])), np.int64)
     for k, at in enumerate(_lists(row["own"], row["sizes"])):
@@ -247,14 +252,16 @@ def align(docs: DataFrame, first: ByteLevel, second: Pieces, doc_id: str = "doc_
     cut = stash(rows.mapInArrow(partial(_blocks, rule=rule, block=block), _TEXTS.format(kind=kind)), "texts", "zstd")
     held = cut.select(F.col("block").alias("of"), F.posexplode("pieces").alias("no", "piece"))
     tokens = held.select("piece").distinct().mapInArrow(partial(_encode, sides=(first, second)), "piece string, a array<int>, a_bytes array<int>, b array<int>, b_bytes array<int>")
-    known = stash(align_pieces(tokens).select(F.monotonically_increasing_id().alias("s"), "*"), "pieces", "zstd")  # the exact ones
-    meet = lambda of, *columns: cut.select("block", *columns).groupBy("block").cogroup(held.join(of.withColumn("exact", F.lit(True)), "piece", "left").drop("piece").groupBy("of"))
+    known = align_pieces(tokens).select(F.monotonically_increasing_id().alias("s"), "piece", "n_a", "groups", "links")
+    known = stash(known, "pieces", "zstd")  # the exact ones
+    meet = lambda of, *columns: cut.select("block", *columns).groupBy("block").cogroup(held.join(of, "piece", "left").drop("piece").groupBy("of"))
     parts = meet(known.select("piece", "links"), "kinds", "used").applyInArrow(_pairs_of, "link long, n long")
     counts = stash(parts.groupBy("link").agg(F.sum("n").alias("n")), "links")
     side = F.shiftright("link", 32)
     counts = counts.join(counts.groupBy(side.alias("a")).agg(F.max("n").alias("most")), F.col("a") == side)
     each = known.select("s", F.explode("links").alias("link")).join(counts.select("link", "n", (F.col("n") == F.col("most")).alias("best")), "link")
     sums = each.groupBy("s").agg(F.count_if("best").alias("n_best"), F.sum("n").alias("count_sum"))
-    full = stash(known.drop("links").join(sums, "s").drop("s"), "sums", "zstd")
+    both = F.shiftleft("n_a", 32).bitwiseOR(F.col("n_best")).alias("both")
+    full = stash(known.join(sums, "s").select("piece", "groups", both, "count_sum"), "sums", "zstd")
     out = meet(full, "docs", "sizes", "own").applyInArrow(_texts_of, f"doc {kind}, {', '.join(f'{c} long' for c in _SUMS)}, groups string")
     return out.withColumnRenamed("doc", doc_id)
