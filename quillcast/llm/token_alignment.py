@@ -38,7 +38,7 @@ from tokenizers import Tokenizer
 from .tables import stash, text_bytes
 
 #: Characters of texts in a block; a longer text is a block of its own.
-BLOCK = 12_000_000
+BLOCK = 1 << 23
 #: Places to cut a text, and what a token would have to hold to cross such a place.
 _RULES = (
     (r"(?<=\S)(?=[ \t\n])", r"\S[ \t\n]"),
