@@ -17,15 +17,19 @@ by a covering of the bits its mask left out, again and again: each level fixes
 more bits, and of at most b bits left there are 2 ** b fingerprints. Links are
 joined by alternating stars.
 
-With ``least`` the fingerprints only find candidates, by a second fingerprint of
-64 bits beside the first; a candidate links if the two texts share that part of
-their distinct shingles.
+With ``least`` the fingerprints, then of distinct shingles, only find
+candidates, by a second fingerprint of 64 bits beside the first; a candidate
+links if the two texts share that part of their distinct shingles. Texts of one
+fingerprint are verified like others, against one of them. Where a link of a
+bucket's forest fails, what it was to connect is asked again by its other
+candidates, until nothing is left to ask.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial, reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +52,8 @@ PART, _TRIES = 6, 64
 WIDE = 27 / 13
 #: Seeds of the first and the second fingerprint.
 SEEDS = (42, 43)
+#: Candidates of one row that a bucket asks for in a round after the first, and links that share one copy of a text's shingles.
+NEXT, SHARED = 16, 500
 
 
 def _shingles(text: bytes, width: int) -> tuple[bytes, list[int], list[int]]:
@@ -61,37 +67,52 @@ def _shingles(text: bytes, width: int) -> tuple[bytes, list[int], list[int]]:
     return b" ".join(words), starts, ends[min(width, len(words)) - 1 :].tolist()
 
 
-def _majority(joined: bytes, starts: list[int], stops: list[int], seed: int) -> int:
-    count, ones = len(starts), np.zeros(64, np.int64)
-    for at in range(0, count, _CHUNK):
-        pairs = zip(starts[at : at + _CHUNK], stops[at : at + _CHUNK])
-        hashes = np.array([xxhash.xxh64_intdigest(joined[a:b], seed) for a, b in pairs], ">u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > count).tobytes(), "big")
+def _hashes(joined: bytes, starts: list[int], stops: list[int], seed: int) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts, stops)), np.uint64, len(starts))
+
+
+def _majority(hashes: np.ndarray) -> int:
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), _CHUNK):
+        part = hashes[at : at + _CHUNK].astype(">u8")
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
 def fingerprint(text: bytes, width: int = 4) -> int:
     """SimHash of the text's word shingles, A-Z lower-cased; 0 if there is no word."""
-    return _majority(*_shingles(text, width), SEEDS[0])
+    return _majority(_hashes(*_shingles(text, width), SEEDS[0]))
 
 
 def _signed(values: list[int]) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64))
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch], width: int, wide: bool) -> Iterator[pa.RecordBatch]:
+def _digest(own: np.ndarray) -> int:
+    """Stands for a set of shingles, given as their sorted hashes."""
+    return xxhash.xxh3_64_intdigest(own.tobytes())
+
+
+def _fingerprints(batches: Iterator[pa.RecordBatch], width: int, distinct: bool) -> Iterator[pa.RecordBatch]:
+    """fp, and 0 and 0; or for distinct shingles fp, wide and the set's digest."""
     for batch in batches:
-        found = [[_majority(*parts, seed) for seed in SEEDS[: 1 + wide]] for parts in (_shingles(t.as_py(), width) for t in batch.column(1))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), _signed([f[0] for f in found]), _signed([f[-1] if wide else 0 for f in found])], ["doc", "fp", "wide"])
+        found = []
+        for text in batch.column(1):
+            parts = _shingles(text.as_py(), width)
+            if distinct:
+                own, other = (np.unique(_hashes(*parts, seed)) for seed in SEEDS)
+                found.append((_majority(own), _majority(other), _digest(own)))
+            else:
+                found.append((_majority(_hashes(*parts, SEEDS[0])), 0, 0))
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(_signed([f[k] for f in found]) for k in range(3))], ["doc", "fp", "wide", "content"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Fingerprints with the hashes of each text's distinct shingles, one text at a time."""
+    """The hashes of each text's distinct shingles with their digest, one text at a time."""
     for batch in batches:
         for doc, text in zip(batch.column(0), batch.column(1)):
-            joined, starts, stops = _shingles(text.as_py(), width)
-            own = np.unique(np.fromiter((xxhash.xxh64_intdigest(joined[a:b], SEEDS[0]) for a, b in zip(starts, stops)), np.uint64, len(starts))).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([doc.as_py()], pa.int64()), _signed([_majority(joined, starts, stops, SEEDS[0])]), pa.array([own], pa.list_(pa.int64()))], ["doc", "fp", "own"])
+            own = np.unique(_hashes(*_shingles(text.as_py(), width), SEEDS[0]))
+            yield pa.RecordBatch.from_arrays([pa.array([doc.as_py()], pa.int64()), _signed([_digest(own)]), pa.array([own.view(np.int64)], pa.list_(pa.int64()))], ["doc", "content", "own"])
 
 
 def covering_masks(bits: list[int], radius: int) -> list[int]:
@@ -184,6 +205,36 @@ def _forest(bucket: np.ndarray, fps: np.ndarray, wide: np.ndarray, reps: np.ndar
     return pairs[:, 0], pairs[:, 1]
 
 
+class _Mark(NamedTuple):
+    """Of a row after the first round: its group so far, and rows that it was asked against in vain."""
+
+    group: int
+    refused: frozenset[int]
+
+
+def _unlinked(bucket: np.ndarray, fps: np.ndarray, wide: np.ndarray, reps: np.ndarray, radius: int, marks: dict[int, _Mark]) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of a bucket its nearest candidates of other groups that were not refused, NEXT at most; the others wait for the next round."""
+    found = [(reps[:0], reps[:0])]
+    edges = np.flatnonzero(np.diff(bucket)) + 1
+    for start, stop in zip([0, *edges.tolist()], [*edges.tolist(), len(fps)]):
+        own = [marks[r] for r in reps[start:stop].tolist()]
+        group = np.array([m.group for m in own])
+        if (group == group[0]).all():
+            continue
+        for k in range(stop - start - 1):
+            at = start + k + 1 + np.flatnonzero(group[k + 1 :] != group[k])
+            _, j, differ = _candidates(fps, wide, np.full(len(at), start + k), at, radius)
+            me, kept = int(reps[start + k]), []
+            for x in j[np.argsort(differ, kind="stable")].tolist():
+                if int(reps[x]) not in own[k].refused and me not in own[x - start].refused:
+                    kept.append(int(reps[x]))
+                    if len(kept) == NEXT:
+                        break
+            found.append((np.full(len(kept), me), np.array(kept, np.int64)))
+    a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+    return np.minimum(a, b), np.maximum(a, b)
+
+
 _OUT = "kind tinyint, a long, b long, mask long, wide long"
 
 
@@ -192,11 +243,18 @@ def _out(kind: int, a: np.ndarray, b: np.ndarray, mask: np.ndarray, wide: np.nda
 
 
 def _links(batches: Iterator[pa.RecordBatch], radius: int, limit: int) -> Iterator[pa.RecordBatch]:
-    """Rows (mask, fp, wide, rep) in the order of mask and masked bits. Out: kind 0, a link of two ids; kind 1, (fp, rep, mask, wide) of a bucket too large."""
+    """Rows (mask, fp, wide, rep) in the order of mask and masked bits. Out: kind 0, a link of two ids; kind 1, (fp, rep, mask, wide) of a bucket too large.
+
+    With a group and the refused as fifth and sixth column, links between groups alone.
+    """
     held: np.ndarray | None = None
+    marks: dict[int, _Mark] | None = None
     over: tuple[int, int] | None = None
     for batch in batches:
         rows = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(4)], 1)
+        if batch.num_columns > 4:
+            still = {r: marks[r] for r in held[:, 3].tolist()} if marks and held is not None else {}
+            marks = still | {r: _Mark(g, frozenset(no)) for r, g, no in zip(rows[:, 3].tolist(), batch.column(4).to_pylist(), batch.column(5).to_pylist())}
         if over is not None:
             same = (rows[:, 0] == over[0]) & (rows[:, 0] & rows[:, 1] == over[1])
             if same.any():
@@ -210,13 +268,13 @@ def _links(batches: Iterator[pa.RecordBatch], radius: int, limit: int) -> Iterat
             continue
         new = np.flatnonzero(_starts(rows)) + 1
         last = int(new[-1]) if len(new) else 0
-        yield from _whole(rows[:last], radius, limit)
+        yield from _whole(rows[:last], radius, limit, marks)
         held = rows[last:]
         if len(held) > limit and _splits(held[0, 0], radius):
             yield _out(1, held[:, 1], held[:, 3], held[:, 0], held[:, 2])
             over, held = (int(held[0, 0]), int(held[0, 0] & held[0, 1])), None
     if held is not None:
-        yield from _whole(held, radius, limit)
+        yield from _whole(held, radius, limit, marks)
 
 
 def _starts(rows: np.ndarray) -> np.ndarray:
@@ -230,7 +288,7 @@ def _splits(mask: np.ndarray, radius: int) -> np.ndarray:
     return 64 - np.bitwise_count(np.asarray(mask).view(np.uint64)) > max(_FEW, radius)
 
 
-def _whole(rows: np.ndarray, radius: int, limit: int) -> Iterator[pa.RecordBatch]:
+def _whole(rows: np.ndarray, radius: int, limit: int, marks: dict[int, _Mark] | None = None) -> Iterator[pa.RecordBatch]:
     if not len(rows):
         return
     bucket = np.cumsum(np.concatenate(([0], _starts(rows))))
@@ -243,7 +301,8 @@ def _whole(rows: np.ndarray, radius: int, limit: int) -> Iterator[pa.RecordBatch
         sizes = np.bincount(bucket, minlength=1)
     keep = (sizes > 1)[bucket] if len(bucket) else np.zeros(0, bool)
     if keep.any():
-        a, b = _forest(bucket[keep], rows[keep, 1].view(np.uint64), rows[keep, 2].view(np.uint64), rows[keep, 3], radius)
+        near = _forest if marks is None else partial(_unlinked, marks=marks)
+        a, b = near(bucket[keep], np.ascontiguousarray(rows[keep, 1]).view(np.uint64), np.ascontiguousarray(rows[keep, 2]).view(np.uint64), rows[keep, 3], radius)
         none = np.zeros(len(a), np.int64)
         yield _out(0, a, b, none, none)
 
@@ -267,10 +326,12 @@ def _finer(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Record
                 yield pa.RecordBatch.from_arrays([pa.array(np.tile(known[m], len(part))), *(pa.array(np.repeat(x[part], n)) for x in others)], ["mask", "fp", "wide", "rep"])
 
 
-def link_fingerprints(prints: DataFrame, radius: int = 4, limit: int = LIMIT) -> DataFrame:
+def link_fingerprints(prints: DataFrame, radius: int = 4, limit: int = LIMIT, marks: DataFrame | None = None) -> DataFrame:
     """prints (fp, rep), fp distinct: links (a, b) of rep that span all pairs within the radius.
 
-    If prints has a second fingerprint, wide, at most WIDE * radius bits of both may differ.
+    If prints has a second fingerprint, wide, at most WIDE * radius bits of both
+    may differ. marks (rep, group, refused): instead, of each row's pairs with
+    rows of other groups that were not refused, the nearest.
     """
     if "wide" not in prints.columns:
         prints = prints.withColumn("wide", F.lit(0).cast("long"))
@@ -279,6 +340,8 @@ def link_fingerprints(prints: DataFrame, radius: int = 4, limit: int = LIMIT) ->
     key = F.col("mask").bitwiseAND(F.col("fp"))
     found: list[DataFrame] = []
     while not found or not over.isEmpty():
+        if marks is not None:
+            dealt = dealt.join(marks, "rep").select("mask", "fp", "wide", "rep", "group", "refused")
         made = stash(dealt.repartition("mask", key).sortWithinPartitions("mask", key).mapInArrow(partial(_links, radius=radius, limit=limit), _OUT), "near")
         found.append(made.where("kind = 0").select("a", "b"))
         over = made.where("kind = 1").select("mask", F.col("a").alias("fp"), "wide", F.col("b").alias("rep"))
@@ -286,22 +349,93 @@ def link_fingerprints(prints: DataFrame, radius: int = 4, limit: int = LIMIT) ->
     return reduce(DataFrame.unionByName, found)
 
 
-def shared_enough(links: DataFrame, docs: DataFrame, classes: DataFrame, doc_id: str, text: str, width: int, least: float) -> DataFrame:
-    """Those links (a, b) of ids whose texts have at least that share of their distinct shingles in common."""
+def _at_copies(links: DataFrame, sets: DataFrame, end: str) -> DataFrame:
+    """links with the shingles of one end; an end of very many links has several copies of its shingles, and each takes SHARED links or so."""
+    copies = links.groupBy(end).agg(F.ceil(F.count("*") / SHARED).cast("int").alias("copies")).where("copies > 1")
+    copies = stash(copies, "copies")  # read back, its size decides whether it is broadcast
+    n = F.coalesce("copies", F.lit(1))
+    other = F.xxhash64(*[c for c in ("a", "b") if c != end])
+    spread = sets.select(F.col("doc").alias(end), F.col("own").alias(f"of_{end}")).join(copies, end, "left")
+    spread = spread.select(end, f"of_{end}", F.explode(F.sequence(F.lit(0), n - 1)).alias("copy"))
+    dealt = links.join(copies, end, "left").withColumn("copy", F.pmod(other, n).cast("int")).drop("copies")
+    return dealt.join(spread, [end, "copy"]).drop("copy")
+
+
+def shared_enough(links: DataFrame, docs: DataFrame, known: DataFrame, doc_id: str, text: str, width: int, least: float) -> DataFrame:
+    """Those links (a, b) of ids whose texts have at least that share of their distinct shingles in common.
+
+    known (rep, content): the contents that an id stands for.
+    """
     ids = links.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
     rows = docs.select(F.col(doc_id).cast("long").alias("doc"), text_bytes(text).alias("t")).join(ids, "doc", "left_semi")
-    sets = rows.mapInArrow(partial(_sets, width=width), "doc long, fp long, own array<long>")
-    sets = stash(sets.join(classes.select("fp", F.col("rep").alias("doc")), ["fp", "doc"], "left_semi").select("doc", "own"), "shingles")
-    both = links.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.where(common >= F.lit(least) * (F.size("x") + F.size("y") - common)).select("a", "b")
+    sets = rows.mapInArrow(partial(_sets, width=width), "doc long, content long, own array<long>")
+    sets = sets.join(known.select("content", F.col("rep").alias("doc")), ["content", "doc"], "left_semi")
+    sets = stash(sets.groupBy("doc", "content").agg(F.first("own").alias("own")), "shingles")
+    both = _at_copies(_at_copies(links, sets, "a"), sets, "b")
+    common = F.size(F.array_intersect("of_a", "of_b"))
+    return both.where(common >= F.lit(least) * (F.size("of_a") + F.size("of_b") - common)).select("a", "b").distinct()
+
+
+def _without(links: DataFrame, some: DataFrame) -> DataFrame:
+    return links.join(some, ["a", "b"], "left_anti")
+
+
+def _marks(good: DataFrame, bad: DataFrame, whole: DataFrame) -> DataFrame:
+    """For each row that candidates connect with another group: rep, its group, and rows asked in vain.
+
+    whole (node, component): what candidates connect. A refused pair is kept by
+    the row that has fewer of them: of E such pairs no row keeps more than the root of 2 E.
+    """
+    group = components(good).select(F.col("node").alias("rep"), F.col("component").alias("group"))
+    state = stash(whole.withColumnRenamed("node", "rep").join(group, "rep", "left").select("rep", "component", F.coalesce("group", "rep").alias("group")), "state")
+    several = state.groupBy("component").agg(F.min("group").alias("least"), F.max("group").alias("most")).where("least <> most").select("component")
+    degree = bad.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n"))
+    of = [degree.toDF(end, f"n_{end}") for end in ("a", "b")]
+    by_a = F.col("n_a") <= F.col("n_b")
+    kept = bad.join(of[0], "a").join(of[1], "b").select(F.when(by_a, F.col("a")).otherwise(F.col("b")).alias("rep"), F.when(by_a, F.col("b")).otherwise(F.col("a")).alias("other"))
+    refused = kept.groupBy("rep").agg(F.collect_list("other").alias("refused"))
+    none = F.array().cast("array<long>")
+    return state.join(several, "component", "left_semi").join(refused, "rep", "left").select("rep", "group", F.coalesce("refused", none).alias("refused"))
+
+
+def verified_links(contents: DataFrame, verify, radius: int, limit: int = LIMIT) -> DataFrame:
+    """Links (a, b) that verify accepts, spanning all that it accepts among candidates.
+
+    contents (fp, wide, content, rep): for each fingerprint its smallest rep
+    leads; the others link with it if verify(links) keeps them, else the
+    smallest of them leads the rest. Leaders are then searched for by their fingerprints.
+    """
+    first = F.min(F.struct("rep", "wide")).alias("first")
+    rest, leaders, good = contents, [], []
+    while not rest.isEmpty():
+        own = stash(rest.groupBy("fp").agg(first).select("fp", F.col("first.rep").alias("lead"), F.col("first.wide").alias("wide")), "leaders")
+        leaders.append(own.select("fp", "wide", F.col("lead").alias("rep")))
+        others = rest.join(own.select("fp", "lead"), "fp").where("rep <> lead")
+        good.append(stash(verify(others.select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()), "links"))
+        rest = stash(others.join(good[-1].select(F.col("a").alias("rep"), F.col("b").alias("lead")), ["rep", "lead"], "left_anti").drop("lead"), "contents")
+    if not leaders:
+        return contents.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
+    classes = stash(reduce(DataFrame.unionByName, leaders), "classes")
+    asked = stash(link_fingerprints(classes, radius, limit).distinct(), "candidates")
+    whole, bad = None, None
+    while not asked.isEmpty():
+        good.append(stash(verify(asked), "links"))
+        failed = stash(_without(asked, good[-1]), "refused")
+        whole, bad = (components(asked), failed) if whole is None else (whole, bad.unionByName(failed))
+        if bad.isEmpty():
+            break
+        marks = stash(_marks(reduce(DataFrame.unionByName, good), bad, whole), "marks")
+        again = classes.join(marks.select("rep"), "rep", "left_semi")
+        asked = stash(link_fingerprints(again, radius, limit, marks).distinct(), "candidates")
+    return reduce(DataFrame.unionByName, good)
 
 
 def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 4, radius: int = 4, limit: int = LIMIT, least: float | None = None) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, the smallest id reachable by links, for every row.
 
-    least: the share of common shingles that links need besides; without it the
-    fingerprints alone decide. Equal fingerprints always link.
+    least: the share of common distinct shingles that links need; the
+    fingerprints are then of distinct shingles, and equal ones are verified too.
+    Without it the fingerprints, of all shingles, alone decide.
 
     Texts under width words have one shingle, all their words. Null, empty and
     blank texts have fingerprint zero and link like any other. A null id gets
@@ -311,16 +445,17 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     are ignored, whatever their names.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc"), text_bytes(text).alias("t"))
-    prints = stash(rows.mapInArrow(partial(_fingerprints, width=width, wide=least is not None), "doc long, fp long, wide long"), "prints")
-    first = prints.where("doc is not null").groupBy("fp").agg(F.min(F.struct("doc", "wide")).alias("first"))
-    classes = stash(first.select("fp", F.col("first.doc").alias("rep"), "first.wide"), "classes")
-    known = prints.join(classes, "fp", "left").select("doc", "fp", "rep")
-    # an id's rows may have several fingerprints: its classes are linked through the id
-    several = prints.where("doc is not null").select("doc", "fp").distinct().groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select("doc")
+    prints = stash(rows.mapInArrow(partial(_fingerprints, width=width, distinct=least is not None), "doc long, fp long, wide long, content long"), "prints")
+    first = prints.where("doc is not null").groupBy("fp", "content").agg(F.min(F.struct("doc", "wide")).alias("first"))
+    classes = stash(first.select("fp", "content", F.col("first.doc").alias("rep"), "first.wide"), "classes")
+    known = prints.join(classes, ["fp", "content"], "left").select("doc", "fp", "content", "rep")
+    # an id's rows may have several texts: its classes are linked through the id
+    several = prints.where("doc is not null").select("doc", "fp", "content").distinct().groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select("doc")
     own = known.join(several, "doc", "left_semi").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
-    links = link_fingerprints(classes, radius, limit)
-    if least is not None:
-        links = shared_enough(stash(links.distinct(), "candidates"), docs, classes, doc_id, text, width, least)
+    if least is None:
+        links = link_fingerprints(classes, radius, limit)
+    else:
+        links = verified_links(classes, lambda found: shared_enough(found, docs, classes, doc_id, text, width, least), radius, limit)
     found = components(links.unionByName(own.where("a <> b")))
     whole = known.join(found.withColumnRenamed("node", "rep"), "rep", "left")
     return whole.select(F.col("doc").alias(doc_id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc").isNotNull(), F.coalesce("component", "rep")).alias("component_id"))

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from quillcast.llm.simhash_dedup import covering_masks, fingerprint, link_fingerprints, masks_within, simhash_groups
+from quillcast.llm.simhash_dedup import NEXT, covering_masks, fingerprint, link_fingerprints, masks_within, simhash_groups, verified_links
 
 
 def plain_fingerprint(text, width=4):
@@ -166,6 +166,63 @@ def test_links_of_shared_shingles_against_brute_force(spark):
     assert sum(got[i] == roots[i] for i in roots) >= 0.95 * len(roots)
 
 
+def test_texts_of_equal_majorities_are_no_copies(spark):
+    rng = random.Random(8)
+    rows = [(i, "la " * 400 + " ".join(f"w{rng.randrange(10**6)}" for _ in range(150))) for i in range(6)]
+    rows += [(10, rows[0][1]), (11, rows[1][1].replace("la ", "la la ", 1))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash_groups(docs, width=5, radius=13, least=0.8).collect()}
+    assert got == {i: i for i in range(6)} | {10: 0, 11: 1}
+
+
+def test_links_behind_refused_ones_are_asked(spark):
+    """Candidates all, some of one fingerprint; of few are the texts alike, whichever the forest asks first."""
+    rng, n = random.Random(6), 60
+    assert n > NEXT
+    centre = rng.getrandbits(63)
+    prints = [centre ^ sum(1 << b for b in rng.sample(range(40), rng.randint(0, 3))) for _ in range(n)]
+    prints[10] = prints[11] = prints[12]
+    group = {i: rng.randrange(12) for i in range(n)}
+    rows = [(p, 0, i, i) for i, p in enumerate(prints)]
+    same = spark.createDataFrame(list(group.items()), "id long, g long")
+
+    def verify(links):
+        return links.join(same.toDF("a", "x"), "a").join(same.toDF("b", "y"), "b").where("x = y").select("a", "b")
+
+    contents = spark.createDataFrame(rows, "fp long, wide long, content long, rep long")
+    links = verified_links(contents, verify, 6).collect()
+    assert all(group[r.a] == group[r.b] for r in links)
+    root = list(range(n))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for r in links:
+        a, b = sorted((find(r.a), find(r.b)))
+        root[b] = a
+    assert all(find(i) == min(j for j in range(n) if group[j] == group[i]) for i in range(n))
+
+
+def test_recall_in_the_lowest_shares(spark):
+    """Pairs that share between 0.80 and 0.85 of their shingles, the hardest to find."""
+    rng, words, rows = random.Random(12), [f"w{i}" for i in range(5000)], []
+    for _ in range(150):
+        base = rng.choices(words, k=200)
+        copy = list(base)
+        for at in rng.sample(range(5, 195), 4):
+            copy[at] = rng.choice(words)
+        rows += [base, copy]
+    rows = [(i, " ".join(r)) for i, r in enumerate(rows)]
+    _, pairs = plain_similar(rows, 5, 0.8)
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(196)} for i, t in rows}
+    low = [(a, b) for a, b in pairs if len(sets[a] & sets[b]) < 0.85 * len(sets[a] | sets[b])]
+    got = {r.doc_id: r.component_id for r in simhash_groups(spark.createDataFrame(rows, "doc_id long, text string"), width=5, radius=13, least=0.8).collect()}
+    assert len(low) > 60 and sum(got[a] == got[b] for a, b in low) >= 0.9 * len(low)
+    assert sum(i != c for i, c in got.items()) <= len(pairs)
+
+
 def test_documents_against_brute_force(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = docs.select("doc_id", "text").collect()
