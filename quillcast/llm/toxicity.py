@@ -1,9 +1,9 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms are a text's distinct words, and the first letters of longer ones, hashed
-to BUCKETS. The machine learns, from the labelled training rows (at most
-TRAIN_ROWS of them, in the order of a hash of their ids), a weight for each
-term that SUPPORT of these rows hold, and a short vector whose products with the
+to BUCKETS. The machine learns, from the labelled training ids (at most
+TRAIN_ROWS of them and TRAIN_TERMS terms of theirs, in the order of a hash of
+their ids), a weight for each term that SUPPORT of them hold, and a short vector whose products with the
 other terms' vectors add what a pair says beyond its two parts: an insult with
 the mention of a group, say. No term is judged alone before the machine sees it,
 so a pair may count whose parts say nothing. Scoring visits every whole text in
@@ -19,15 +19,14 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import fold_of, stash, text_bytes
 
-#: Of the fit: labelled rows at most, hash buckets, rows that hold a term at least, and the vectors' length.
-TRAIN_ROWS, BUCKETS, SUPPORT, FACTORS = 10_000, 1 << 20, 5, 4
+#: Of the fit: labelled ids at most, distinct terms of all of them at most, hash buckets, ids that hold a term at least, and the vectors' length.
+TRAIN_ROWS, TRAIN_TERMS, BUCKETS, SUPPORT, FACTORS = 10_000, 8_000_000, 1 << 20, 5, 4
 #: What a unit of a weight, and of a vector's length, must take off the mean loss.
 PRICE = (3e-4, 5e-3)
 _EDGES = string.punctuation + "«»“”‘’„…–—¡¿"
@@ -165,38 +164,46 @@ def fit(terms: np.ndarray, x, y: np.ndarray, steps: int = 100, rate: float = 0.0
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [list(text_terms(t.as_py().decode("utf-8", "replace"))) for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["y", "terms"])
+        found = [list(text_terms(t.as_py().decode("utf-8", "replace"))) for t in batch.column(2)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["doc", "y", "terms"])
 
 
-def _chosen(batches: Iterator[pa.RecordBatch], terms: np.ndarray) -> Iterator[pa.RecordBatch]:
-    feature = {int(t): i for i, t in enumerate(terms)}
+def _packed(batches: Iterator[pa.RecordBatch], terms: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The terms of each id as places in the sorted terms, in 4 bytes each."""
     for batch in batches:
-        own = [np.array(sorted(feature[t] for t in row if t in feature), np.int32) for row in batch.column(1).to_pylist()]
-        digest = [xxhash.xxh64_intdigest(x.tobytes()) >> 1 for x in own]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest, pa.int64()), pa.array(own, pa.list_(pa.int32()))], ["y", "digest", "own"])
+        own = [np.sort(np.searchsorted(terms, np.asarray(row, np.int64))).astype("<i4").tobytes() for row in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.binary())], ["doc", "y", "own"])
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 5, rows: int = TRAIN_ROWS) -> FactorizationMachine:
-    """Learn from labelled rows whose crc32(id) modulo folds is not 0.
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 5, rows: int = TRAIN_ROWS, size: int = TRAIN_TERMS, support: int = SUPPORT) -> FactorizationMachine:
+    """Learn from labelled ids whose crc32(id) modulo folds is not 0.
 
     An id with several labels counts as 1 if any is; null ids and labels are
-    ignored. Without usable rows the machine gives the prior alone.
+    ignored. The rows of one id count together, as one that holds the terms of
+    all. In the order of a hash of their ids, rows ids at most take part, and
+    those up to which the distinct terms that support ids hold add up to size;
+    so what reaches the driver is bounded whatever the tables hold. Without
+    usable rows the machine gives the prior alone.
     """
     known = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull()).select(F.col(doc_id).alias("doc"), F.col(label).alias("y"))
     known = known.where(fold_of("doc", folds) != 0).groupBy("doc").agg((F.max("y") > 0).cast("int").alias("y"))
     known = stash(known.orderBy(F.xxhash64("doc"), "doc").limit(rows), "labels")
     own = docs.select(F.col(doc_id).alias("doc"), text_bytes(text).alias("t")).join(F.broadcast(known), "doc")  # rows labels at most
-    seen = stash(own.select("y", "t").mapInArrow(_terms, "y int, terms array<int>"), "terms")
-    counts = seen.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT)
-    terms = np.sort(counts.select("term").toArrow().column(0).to_numpy().astype(np.int64))  # BUCKETS at most
-    chosen = seen.mapInArrow(partial(_chosen, terms=terms), "y int, digest long, own array<int>")
-    data = chosen.toArrow()  # rows of labels at most; those of one digest are alike
-    data = data.take(pa.array(np.lexsort((data.column("digest").to_numpy(), data.column("y").to_numpy()))))
-    own = pa.chunked_array(data.column("own").chunks, pa.list_(pa.int32()))
-    size = pc.list_value_length(own).to_numpy().astype(np.int64)
-    cols = pc.list_flatten(own).to_numpy().astype(np.int32)
-    return fit(terms, _Rows(size, cols), data.column("y").to_numpy().astype(np.float64))
+    kind = docs.schema[doc_id].dataType.simpleString()
+    seen = own.select("doc", "y", "t").mapInArrow(_terms, f"doc {kind}, y int, terms array<int>")
+    held = stash(seen.select("doc", "y", F.explode_outer("terms").alias("term")).distinct(), "terms")
+    counts = held.where("term is not null").groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= support)
+    counts = stash(counts.select("term"), "supported")  # BUCKETS at most
+    some = held.join(F.broadcast(counts.withColumn("there", F.lit(True))), "term", "left").withColumn("term", F.when(F.col("there"), F.col("term")))
+    sets = stash(some.groupBy("doc", "y").agg(F.collect_list("term").alias("terms")), "sets")  # rows ids of BUCKETS terms at most
+    order = Window.orderBy(F.xxhash64("doc"), "doc").rowsBetween(Window.unboundedPreceding, 0)
+    within = sets.select("doc", F.size("terms").alias("n")).withColumn("sum", F.sum("n").over(order)).where(F.col("sum") <= size).select("doc")  # rows numbers at most
+    terms = np.sort(counts.toArrow().column(0).to_numpy().astype(np.int64))
+    data = sets.join(F.broadcast(within), "doc", "left_semi").mapInArrow(partial(_packed, terms=terms), f"doc {kind}, y int, own binary").toArrow()
+    data = data.sort_by("doc")
+    own = np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(v.as_buffer(), "<i4") for v in data.column("own"))])
+    lengths = np.fromiter((len(v.as_buffer()) // 4 for v in data.column("own")), np.int64, data.num_rows)
+    return fit(terms, _Rows(lengths, own), data.column("y").to_numpy().astype(np.float64))
 
 
 def _scores(texts: list[bytes], machine: FactorizationMachine) -> np.ndarray:

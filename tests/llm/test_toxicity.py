@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from quillcast.llm import toxicity
 from quillcast.llm.queries import op3_toxicity
 from quillcast.llm.toxicity import _margin, drop_toxic, fit, text_terms, toxicity_scores, train
 
@@ -66,6 +67,30 @@ def test_held_out_accuracy(spark):
     assert sum(a == b for a, b in held) / len(held) > 0.9
 
 
+def test_rows_of_one_id_and_long_texts_stay_within_the_bounds(spark, monkeypatch):
+    held = []
+    monkeypatch.setattr(toxicity, "fit", lambda terms, x, y: held.append((len(y), len(x.cols))) or fit(terms, x, y, steps=1))
+    docs = spark.range(100_000).selectExpr("0L AS doc_id", "concat('vile w', id % 50) AS text")
+    docs = docs.unionByName(spark.range(1, 200).selectExpr("id AS doc_id", "concat('plain ', array_join(transform(sequence(1, 300), x -> concat('t', x)), ' ')) AS text"))
+    labels = spark.range(200).selectExpr("id AS doc_id", "int(id = 0) AS toxic")
+    train(docs, labels, folds=10**9)
+    rows, size = held[-1]
+    assert rows == 200 and size >= 199 * 301
+    train(docs, labels, folds=10**9, size=5_000)
+    assert 0 < held[-1][0] < 200 and held[-1][1] <= 5_000
+    train(docs, labels, folds=10**9, rows=10)
+    assert held[-1][0] == 10
+
+
+def test_rows_of_one_id_count_as_one(spark):
+    rows = pair_texts(3, 300)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    whole = train(spark.createDataFrame(rows, "doc_id long, text string, y int"), labels)
+    parts = [(i, part, y) for i, t, y in rows for part in (t[: t.index(" ")], t[t.index(" ") :], t)]
+    split = train(spark.createDataFrame(parts, "doc_id long, text string, y int"), labels)
+    assert (whole.terms == split.terms).all() and whole.bias == split.bias and (whole.weights == split.weights).all() and (whole.factors == split.factors).all()
+
+
 def test_odd_rows(spark):
     rng = random.Random(1)
     words = [f"w{i}" for i in range(50)]
