@@ -114,7 +114,7 @@ def simple_tokens(text: Column, stop: tuple[str, ...] = ()) -> Column:
 def normal_math(text: Column) -> Column:
     r"""One spelling of a formula: no spaces, units, signs of money and per cent, \left and \right; tfrac and dfrac as frac; .5 as 0.5; a/b as \frac{a}{b}."""
     t = text
-    for pattern, by in ((r"\n|\\!|\\left|\\right|\^\{?\\circ\}?|\\?\$|\\?%", ""), (r"\\text\{ .*$", ""), (r"[td]frac", "frac"), (r"(^|[{ ])\.", "$10."), (r"^\w{1,2}=", ""), (r"\\sqrt([^{\s])", r"\\sqrt{$1}"), (r"\s+", "")):
+    for pattern, by in ((r"\n|\\!|\\left|\\right|\^\{?\\circ\}?|\\?\$|\\?%", ""), (r"\\text\{ .*$", ""), (r"[td]frac", "frac"), (r"(^|[{ ])\.", "$10."), (r"(?s)^[^=]{0,2}=([^=]*)$", "$1"), (r"\\sqrt([^{\s])", r"\\sqrt{$1}"), (r"\s+", "")):
         t = F.regexp_replace(t, pattern, by)
     t = F.regexp_replace(t, r"\\frac(\d)(\d)", r"\\frac{$1}{$2}")
     t = F.regexp_replace(t, r"^(-?\d+)/(\d+)$", r"\\frac{$1}{$2}")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import formulas as M
 from ..functions import sequences as Q
+from ..functions import tagged as TG
 from ..functions import text as X
 from ..operators import balance as B
 from ..operators import extension as E
@@ -171,6 +173,21 @@ def _(spark, sf):
     return read(spark, sf, "part").select("p_partkey", (X.last_number(t) == C("p_size").cast("string")).cast("int").alias("score"))
 
 
+@query("k6b_boxed_formula", "SELECT p_partkey, (p_partkey % 3 <> 0)::INT AS score FROM part")
+def _(spark, sf):
+    """The last boxed formula against the truth, both as functions of their letters."""
+    more = (C("p_partkey") % 3 == 0).cast("int")
+    t = F.concat(F.lit(r"so \boxed{1}, or rather \boxed{\frac{4x+"), (2 * C("p_size")).cast("string"), F.lit("}{2}}."))
+    return read(spark, sf, "part").select("p_partkey", M.same_formula(TG.nested_box(t), F.concat(F.lit("2x+"), (C("p_size") + more).cast("string"))).cast("int").alias("score"))
+
+
+@query("k6c_tail_score", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN -1.0 ELSE 1.0 END::DOUBLE AS score FROM part")
+def _(spark, sf):
+    """Every third answer stands before the last 300 characters, which alone this form reads."""
+    t = F.concat(F.lit("Answer: $x = 1,"), F.lpad(C("p_size").cast("string"), 3, "0"), F.lit("$ dollars\n"), F.repeat(F.lit("."), F.when(C("p_partkey") % 3 == 0, 300).otherwise(100)))
+    return read(spark, sf, "part").select("p_partkey", M.tail_score(t, (C("p_size") + 1000).cast("string")).alias("score"))
+
+
 @query("k8_last_token_reward", "SELECT conv_id, count(*) AS n, (max(turn) + 0.5)::DOUBLE AS total FROM conversations GROUP BY conv_id")
 def _(spark, sf):
     c = read(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").cast("int").alias("n"), (F.max("turn") + 0.5).alias("r"))

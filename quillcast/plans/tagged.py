@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import formulas as M
 from ..functions import sequences as Q
 from ..functions import tagged as X
 from .registry import query, read
@@ -85,6 +86,16 @@ def _(spark, sf):
     return read(spark, sf, "part").where("p_size <> 5").select("p_partkey", X.normal_math(t).alias("m"))
 
 
+@query("x17b_same_formula", "SELECT p_partkey, p_partkey % 2 = 0 AS same FROM part")
+def _(spark, sf):
+    """Products, fractions and decimals beside another form of the same, or of one more."""
+    k, s, more = F.col("p_partkey") % 3, F.col("p_size").cast("long"), F.col("p_partkey") % 2
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    one = F.when(k == 0, text(s + 1, "(x + ", s, ")")).when(k == 1, text(r"\frac{x^2 - ", s * s, "}{x - ", s, "}")).otherwise(text("y = ", s, ".5"))
+    other = F.when(k == 0, text(s * (s + 1) + more, r" + x\cdot ", s + 1)).when(k == 1, text("x+", s + more)).otherwise(text(r"\dfrac{", 2 * s + 1 + more, "}{2}"))
+    return read(spark, sf, "part").select("p_partkey", M.same_formula(one, other).alias("same"))
+
+
 @query("x18_article_prompt", "SELECT o_orderkey, 'Title: ' || o_orderpriority || chr(10) || 'Authors: 1, 2, 3, 4, 5' || chr(10) || 'Date: ' || strftime(o_orderdate, '%B %d, %Y') || chr(10) || 'Passage: ' || o_orderstatus AS p FROM orders")
 def _(spark, sf):
     a = F.sequence(F.lit(1), F.lit(7)).cast("array<string>")
