@@ -92,6 +92,24 @@ def _(spark, sf):
     return IO.upsert(o, changes, "o_orderkey", "seq").drop("seq")
 
 
+@query(
+    "s12b_bucket_upsert",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'new' ELSE o_orderstatus END AS status FROM orders
+    UNION ALL SELECT -1 - o_orderkey, 'new' FROM orders WHERE o_orderkey % 5 = 0""",
+)
+def _(spark, sf):
+    """The same changes to a stored table, in two batches, one of them run again; only touched buckets are rewritten."""
+    o = read(spark, sf, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"))
+    table = IO.BucketTable(spark, path_for(spark, "buckets"), o.schema, "o_orderkey", buckets=16)
+    table.upsert(o, batch=0)
+    hit = o.where("o_orderkey % 5 = 0").withColumn("status", F.lit("new"))
+    changes = hit.withColumn("seq", F.lit(2)).unionByName(hit.withColumn("status", F.lit("stale")).withColumn("seq", F.lit(1)))
+    changes = changes.unionByName(hit.withColumn("o_orderkey", -1 - F.col("o_orderkey")).withColumn("seq", F.lit(2)))
+    for _ in range(2):
+        table.upsert(changes, "seq", batch=1)
+    return table.rows()
+
+
 _H = "('0x' || substr(md5(doc_id::VARCHAR), {}, 8))::BIGINT"
 _SHARD = "0"
 for _at in (1, 9, 17, 25):
@@ -192,6 +210,14 @@ def _(spark, sf):
     return spark.read.parquet(versions[-1])
 
 
+@query("st2b_bucket_stream", "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
+def _(spark, sf):
+    e = spark.readStream.schema(read(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*").select("user_id", "event_id", "event_type")
+    out = path_for(spark, "dealt")
+    ST.bucket_stream(e, f"{out}/table", f"{out}/state", "user_id", "event_id", buckets=16).awaitTermination()
+    return IO.BucketTable(spark, f"{out}/table", e.schema, "user_id").rows()
+
+
 @query("st3_first_copies", "SELECT md5(coalesce(event_type, '')) AS hash FROM events GROUP BY 1")
 def _(spark, sf):
     e = spark.readStream.schema(read(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*")

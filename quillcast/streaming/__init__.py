@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from ..sources.bucket_table import BucketTable
 from ..sources.tables import upsert
 
 
@@ -33,7 +34,7 @@ def counts_by_window(arrivals: DataFrame, time: str, *groups: str, width: str =
 
 
 def upsert_stream(arrivals: DataFrame, folder: str, checkpoint: str, key: str, *order: str, then: Callable[[str], None] | None = None, **trigger: bool | str) -> StreamingQuery:
-    """Upserts each micro-batch into a table of versions under folder; then gets the path of each new version.
+    """Upserts each micro-batch into a table of versions under folder; then gets the path of each new version. For small tables: each version is whole (bucket_stream rewrites what changes).
 
     A version is named by its batch, and a repeated batch starts from the
     version before it, so that a batch that is run again gives the same table.
@@ -53,3 +54,18 @@ def upsert_stream(arrivals: DataFrame, folder: str, checkpoint: str, key: str, *
 
     name = f"upsert_{uuid.uuid4().hex}"
     return arrivals.writeStream.queryName(name).foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def bucket_stream(arrivals: DataFrame, path: str, checkpoint: str, key: str, *order: str, buckets: int = 64, then: Callable[[int], None] | None = None, **trigger: bool | str) -> StreamingQuery:
+    """Upserts each micro-batch into a BucketTable, which rewrites only the buckets that it touches; then gets the number of rows that changed.
+
+    The table names the last batch it took, so that one that is run again changes nothing.
+    """
+
+    def merge(batch: DataFrame, number: int) -> None:
+        changed = BucketTable(batch.sparkSession, path, batch.schema, key, buckets).upsert(batch, *order, batch=number)
+        if then:
+            then(changed)
+
+    name = f"buckets_{uuid.uuid4().hex}"
+    return arrivals.writeStream.queryName(name).foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
