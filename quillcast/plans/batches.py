@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import sequences as Q
+from ..operators import freshness as FR
 from ..operators import groups as G
 from ..operators import ordering as O
 from ..operators import reshape as R
@@ -92,6 +93,18 @@ def _(spark, sf):
     return T.fresh_cutoffs(read(spark, sf, "events").select("event_id", "ts"), "ts", 7).select("event_id", F.date_format("index_cutoff", "yyyy-MM-dd").alias("day"))
 
 
+@query(
+    "r2b_reused_cutoffs",
+    """WITH RECURSIVE d AS (SELECT doc_id, doc_id * 3 + doc_id % 7 * 2 - CASE WHEN doc_id % 100 > 60 THEN 100 ELSE 0 END AS day FROM documents), c AS (SELECT min(day) AS day FROM d UNION ALL SELECT n FROM (SELECT (SELECT min(d.day) FROM d WHERE d.day > c.day + 7) AS n FROM c) WHERE n IS NOT NULL)
+    SELECT doc_id, strftime(DATE '1970-01-01' + c.day::INT, '%Y-%m-%d') AS day FROM d ASOF JOIN c ON d.day >= c.day""",
+)
+def _(spark, sf):
+    """A cut-off for every document, some days apart, with gaps and crowds."""
+    i = F.col("doc_id")
+    day = F.date_add(F.lit("1970-01-01").cast("date"), (i * 3 + i % 7 * 2 - F.when(i % 100 > 60, 100).otherwise(0)).cast("int"))
+    return FR.reused_cutoffs(read(spark, sf, "documents").select(i, day.alias("cutoff")), "cutoff", 7).select(i, F.date_format("index_cutoff", "yyyy-MM-dd").alias("day"))
+
+
 @query("u1_row_concat", "SELECT n_name AS name FROM nation UNION ALL SELECT r_name FROM region")
 def _(spark, sf):
     return read(spark, sf, "nation").select(F.col("n_name").alias("name")).unionByName(read(spark, sf, "region").select(F.col("r_name").alias("name")))
