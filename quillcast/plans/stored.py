@@ -53,6 +53,16 @@ def _(spark, sf):
     return one.unionByName(read(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")))
 
 
+@query("s8_warc_records", "SELECT page_id, url, md5(coalesce(html, '')) AS hash FROM pages")
+def _(spark, sf):
+    """All pages written as compressed records and read back, by ranges that begin within them."""
+    path = path_for(spark, "warc")
+    p = read(spark, sf, "pages")
+    made = p.select(F.col("page_id").cast("string").alias("id"), F.col("url").alias("uri"), F.lit("2024-05-01T00:00:00Z").alias("date"), F.col("html").cast("binary").alias("payload"))
+    IO.write_warc(made, path)
+    return IO.read_warc(spark, path, split=1 << 20).select(F.col("id").cast("long").alias("page_id"), F.col("uri").alias("url"), F.md5("payload").alias("hash"))
+
+
 @query("s9_json_lines_sink", "SELECT doc_id, md5(coalesce(text, '')) AS hash, source FROM documents")
 def _(spark, sf):
     path = path_for(spark, "lines")
