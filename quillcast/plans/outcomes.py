@@ -11,6 +11,7 @@ from ..functions import tagged as TG
 from ..functions import text as X
 from ..operators import balance as B
 from ..operators import extension as E
+from ..operators import funnel as FN
 from ..operators import groups as G
 from ..operators import ordering as O
 from ..operators import scoring as S
@@ -355,6 +356,39 @@ def _(spark, sf):
     return funnel(spark, sf).groupBy("pos").agg(F.count("*").alias("made"), F.sum("valid").alias("valid"), F.sum(C("valid") * C("leak")).alias("leaked"), F.count_if((C("valid") == 1) & (C("leak") == 0)).alias("kept"))
 
 
+#: (counter, condition on the part's key k and, if it counts questions, position i); what each row of wide_funnel holds is known from k.
+_MADE, _LEAK, _GOOD = "(k + i) % 4 <> 0", "k * i % 5 = 0", "k % 2 = 0 AND k % 7 <> 0 AND (k + k % 3 + 1) % 4 <> 0"
+_COUNTERS = [
+    ("source_articles", "true", 0), ("total_questions_generated", _MADE, 1), ("questions_with_content", _MADE, 1), ("valid_questions", f"{_MADE} AND (k + 2 * i) % 3 = 0", 1), ("invalid_questions", f"{_MADE} AND (k + 2 * i) % 3 <> 0", 1),
+    ("articles_with_valid_questions", "len(list_filter([1, 2, 3], lambda j: (k + j) % 4 <> 0 AND (k + 2 * j) % 3 = 0)) > 0", 0), ("articles_with_no_good_question", "k % 7 = 0", 0), ("articles_choose_best_completed", "k % 2 = 0", 0),
+    ("questions_with_leakage", f"{_MADE} AND {_LEAK}", 1), ("questions_without_leakage", f"{_MADE} AND NOT {_LEAK}", 1),
+    ("chosen_questions_with_leakage", f"{_GOOD} AND k * (k % 3 + 1) % 5 = 0", 0), ("chosen_questions_without_leakage", f"{_GOOD} AND k * (k % 3 + 1) % 5 <> 0", 0),
+    ("final_questions_with_leakage", "k % 2 = 0 AND k % 10 = 0", 0), ("final_questions_without_leakage", "k % 2 = 0 AND k % 10 <> 0", 0),
+    ("stage_individual_validation_completed", "k % 4 <> 3", 0), ("stage_choose_best_completed", "k % 2 = 0", 0), ("stage_leakage_check_completed", "k % 8 = 0", 0),
+]
+for _i in (1, 2, 3):
+    _COUNTERS += [(f"position_{_i}_total", f"i = {_i}", 1), (f"position_{_i}_valid", f"i = {_i} AND {_MADE} AND (k + 2 * i) % 3 = 0", 1), (f"position_{_i}_invalid", f"i = {_i} AND {_MADE} AND (k + 2 * i) % 3 <> 0", 1), (f"selected_{_i}", f"{_GOOD} AND k % 3 + 1 = {_i}", 0)]
+
+
+def wide_funnel(spark, sf):
+    """A state of generation for each part: three questions, their verdicts, a choice and a final form."""
+    k = C("p_partkey")
+    said = lambda i, leaks: F.concat(F.lit("<question_title>T"), k.cast("string"), F.lit("-"), i.cast("string"), F.lit("</question_title><answer> A"), k.cast("string"), F.lit("."), i.cast("string"), F.lit("</answer>"), F.when(leaks, F.concat(F.lit(" says a"), k.cast("string"), F.lit("."), i.cast("string"))).otherwise(""))
+    question = lambda i: F.when((k + i) % 4 == 0, F.lit(" short ")).otherwise(said(i, k * i % 5 == 0))
+    best = (k % 3 + 1).cast("int")
+    flag = lambda c: c.cast("int")
+    cols = [c for i in (1, 2, 3) for c in (question(F.lit(i)).alias(f"q{i}"), flag((k + 2 * i) % 3 == 0).alias(f"q{i}_valid"))]
+    return read(spark, sf, "part").select(
+        k, *cols, flag(k % 2 == 0).alias("choose_best"), F.when(k % 7 == 0, "there is No good question").otherwise(F.concat(F.lit("so <q1>"), question(best), F.lit("</q1>"))).alias("choose_best_response"),
+        flag(k % 7 == 0).alias("no_good_question"), F.when(k % 2 == 0, said(best, k % 10 == 0)).alias("final_question"), flag(k % 4 != 3).alias("individual_validation_done"), flag(k % 8 == 0).alias("leakage_check"),
+    )
+
+
+@query("a7b_all_counters", "WITH a AS (SELECT p_partkey AS k FROM part), q AS (SELECT k, unnest([1, 2, 3]) AS i FROM a) " + " UNION ALL ".join(f"SELECT '{name}' AS counter, count(*) FILTER ({test}) AS n FROM {'q' if each else 'a'}" for name, test, each in _COUNTERS))
+def _(spark, sf):
+    return FN.funnel_counters(wide_funnel(spark, sf))
+
+
 @query("a8_effectiveness", FUNNEL + "SELECT count(*) AS made, round(count(*) / (3.0 * count(DISTINCT k)), 6) AS per_article, round(avg(valid), 6) AS valid_rate, round(sum(valid * leak) / sum(valid), 6) AS leak_rate FROM f")
 def _(spark, sf):
     f = funnel(spark, sf).groupBy("k").agg(F.count("*").alias("n"), F.sum("valid").alias("v"), F.sum(C("valid") * C("leak")).alias("l"))
