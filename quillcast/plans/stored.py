@@ -193,7 +193,7 @@ def _(spark, sf):
     return spark.read.option("basePath", path).schema("o_orderkey bigint, month string").parquet(path).groupBy("month").agg(F.count("*").alias("n"))
 
 
-@query("s17_stamped_cache", "SELECT source, count(*) AS n, sum(len(text)) AS chars FROM documents GROUP BY source")
+@query("s17_stamped_cache", "SELECT source, count(*) AS n, sum(len(text))::BIGINT AS chars FROM documents GROUP BY source")
 def _(spark, sf):
     """Computed once and read the second time, as the input has not changed."""
     build = lambda: read(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
