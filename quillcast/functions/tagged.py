@@ -148,8 +148,22 @@ EXAMPLE_INTROS = (
 
 def without_examples(text: Column, answer: Column) -> Column:
     """The text without the phrases from an introduction to the answer, case aside, if no sentence ends between them. The stop right after the answer goes too."""
-    quoted = F.concat(F.lit(r"\Q"), F.replace(strip(answer), F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
     t = text
-    for intro in EXAMPLE_INTROS:
-        t = F.regexp_replace(t, F.concat(F.lit(rf"(?is)\b{intro.replace('.', r'\.')}\s*[^.!?]*?"), quoted, F.lit("[.!?]?")), F.lit(""))
+    for pattern in _example_patterns(answer):
+        t = F.regexp_replace(t, pattern, F.lit(""))
     return F.when(F.coalesce(strip(answer), F.lit("")) == "", text).otherwise(t)
+
+
+def _example_patterns(answer: Column) -> list[Column]:
+    quoted = F.concat(F.lit(r"\Q"), F.replace(strip(answer), F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    return [F.concat(F.lit(rf"(?is)\b{intro.replace('.', r'\.')}\s*[^.!?]*?"), quoted, F.lit("[.!?]?")) for intro in EXAMPLE_INTROS]
+
+
+def removed_examples(text: Column, answer: Column) -> Column:
+    """The phrases that without_examples takes out, in the order of the introductions; none without an answer, null for a null text."""
+    t, gone = text, []
+    for pattern in _example_patterns(answer):
+        gone.append(F.regexp_extract_all(t, pattern, F.lit(0)))
+        t = F.regexp_replace(t, pattern, F.lit(""))
+    none = F.when(text.isNotNull(), F.array().cast("array<string>"))
+    return F.when(F.coalesce(strip(answer), F.lit("")) == "", none).otherwise(F.concat(*gone))

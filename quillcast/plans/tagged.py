@@ -154,10 +154,22 @@ def _(spark, sf):
 
 @query("t6_examples_removed", "SELECT p_partkey, 'Name a part (' || CASE p_partkey % 4 WHEN 0 THEN ' or so). Done.' WHEN 1 THEN ' Done.' WHEN 2 THEN 'yes. ' || p_brand || ').' ELSE 'no ' || p_brand || ').' END AS t FROM part")
 def _(spark, sf):
+    text, answer = exemplified()
+    return read(spark, sf, "part").select("p_partkey", X.without_examples(text, answer).alias("t"))
+
+
+def exemplified():
+    """A text with an example that carries the answer, or without one, and the answer."""
     b, k = F.col("p_brand"), F.col("p_partkey") % 4
     middle = F.when(k == 0, F.concat(F.lit("e.g., "), b, F.lit(" or so). Done."))).when(k == 1, F.concat(F.lit("In Other Words, one\nof "), F.lower(b), F.lit("! Done.")))
     middle = middle.when(k == 2, F.concat(F.lit("yes. "), b, F.lit(").Such as "), b)).otherwise(F.concat(F.lit("no "), b, F.lit(").")))
-    return read(spark, sf, "part").select("p_partkey", X.without_examples(F.concat(F.lit("Name a part ("), middle), b).alias("t"))
+    return F.concat(F.lit("Name a part ("), middle), b
+
+
+@query("t6b_removed_examples", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'e.g., ' || p_brand WHEN 1 THEN 'In Other Words, one' || chr(10) || 'of ' || lower(p_brand) || '!' WHEN 2 THEN 'Such as ' || p_brand ELSE '' END AS gone FROM part")
+def _(spark, sf):
+    text, answer = exemplified()
+    return read(spark, sf, "part").select("p_partkey", F.array_join(X.removed_examples(text, answer), "|").alias("gone"))
 
 
 @query("t7_needs_removal", "SELECT doc_id FROM documents WHERE contains(lower(text), lower(source)) AND lang IS NOT NULL")

@@ -176,6 +176,12 @@ def test_dates_in_words_and_examples(spark):
     assert one(spark, TG.nested_box(F.lit(r"\boxed{a{b}c} \boxed{d")), TG.nested_box(F.lit(None).cast("string"))) == [None, None]
 
 
+def test_removed_examples_are_reported(spark):
+    said = lambda t, a: TG.removed_examples(F.lit(t).cast("string"), F.lit(a).cast("string"))
+    got = one(spark, said("Fruit, such as Kiwi. Or a bird (e.g. kiwi) like a KIWI!", "kiwi"), said("Kiwi alone", "kiwi"), said("such as x", None), said("such as x", " "), said(None, "x"))
+    assert got == [["e.g. kiwi", "such as Kiwi.", "like a KIWI!"], [], [], [], None]
+
+
 def test_validation_metrics_of_small_groups(spark):
     rows = [("s", "p", 0.8, "A", 1), ("s", "p", 0.9, "B", 2), ("s", "q", 0.9, "A", 3), ("s", "q", 0.8, "B", 4), ("s", "q", 0.7, "A", 5), ("s", "q", None, "B", 6), ("t", "p", 0.5, None, 7)]
     got = {r.source: r for r in G.validation_metrics(spark.createDataFrame(rows, "source string, prompt string, x double, pred string, seq int"), "source", "prompt", "x", "pred", "seq").collect()}
