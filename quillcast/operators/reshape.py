@@ -87,8 +87,9 @@ def first_end_mask(ended: Column) -> Column:
     return F.transform(ended, lambda e, i: F.when((first == 0) | (i < first), 1).otherwise(0))
 
 
-def ids_beside(rows: DataFrame, taken: DataFrame, key: str, start: int = 1, seed: int = 0) -> DataFrame:
+def ids_beside(rows: DataFrame, taken: DataFrame, key: str, start: int = 1, seed: int = 0, stop: int | None = None) -> DataFrame:
     """Adds new_id: distinct numbers from start on that are not in taken (one column), in hash order of the key: alike in every run.
+    With stop all numbers are below it, and rows for which none is left are not returned.
 
     The i-th free number is found from the gaps between taken ones by intervals
     keyed by blocks of ranks, so no range of numbers is made.
@@ -105,4 +106,4 @@ def ids_beside(rows: DataFrame, taken: DataFrame, key: str, start: int = 1, seed
     own = F.sum("n").over(W.partitionBy("__b").orderBy("rank").rangeBetween(W.unboundedPreceding, 0))
     shifted = steps.withColumn("__b", block).withColumn("__own", own).join(before, "__b")
     new = shifted.where(F.col(key).isNotNull()).select(key, (F.col("rank") + start + F.col("__own") + F.col("__before")).alias("new_id"))
-    return rows.join(new, key)
+    return rows.join(new if stop is None else new.where(F.col("new_id") < stop), key)
