@@ -148,22 +148,26 @@ EXAMPLE_INTROS = (
 
 def without_examples(text: Column, answer: Column) -> Column:
     """The text without the phrases from an introduction to the answer, case aside, if no sentence ends between them. The stop right after the answer goes too."""
-    t = text
-    for pattern in _example_patterns(answer):
-        t = F.regexp_replace(t, pattern, F.lit(""))
-    return F.when(F.coalesce(strip(answer), F.lit("")) == "", text).otherwise(t)
+    return F.when(F.coalesce(strip(answer), F.lit("")) == "", text).otherwise(_examples(text, answer)["t"])
+
+
+def _examples(text: Column, answer: Column) -> Column:
+    """(t, gone): the text without the phrases, and these. Each introduction is tried once, on what the ones before left, and by a pattern only where the text holds it."""
+    quoted = F.concat(F.lit(r"\Q"), F.replace(strip(answer), F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E[.!?]?"))
+    intros = F.array(*[F.struct(F.lit(i).alias("plain"), F.lit(rf"(?is)\b{i.replace('.', r'\.')}\s*[^.!?]*?").alias("pattern")) for i in EXAMPLE_INTROS])
+    lower = lambda t: F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
+    def step(state: Column, intro: Column, rest: Column) -> Column:
+        pattern = F.concat(intro["pattern"], rest)
+        gone = F.concat(state["gone"], F.regexp_extract_all(state["t"], pattern, F.lit(0)))
+        taken = F.struct(F.regexp_replace(state["t"], pattern, F.lit("")).alias("t"), gone.alias("gone"))
+        return F.when(lower(state["t"]).contains(intro["plain"]), taken).otherwise(state)
 
-def _example_patterns(answer: Column) -> list[Column]:
-    quoted = F.concat(F.lit(r"\Q"), F.replace(strip(answer), F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
-    return [F.concat(F.lit(rf"(?is)\b{intro.replace('.', r'\.')}\s*[^.!?]*?"), quoted, F.lit("[.!?]?")) for intro in EXAMPLE_INTROS]
+    first = F.struct(text.alias("t"), F.array().cast("array<string>").alias("gone"))
+    return F.get(F.transform(F.array(quoted), lambda rest: F.aggregate(intros, first, lambda s, i: step(s, i, rest))), F.lit(0))
 
 
 def removed_examples(text: Column, answer: Column) -> Column:
     """The phrases that without_examples takes out, in the order of the introductions; none without an answer, null for a null text."""
-    t, gone = text, []
-    for pattern in _example_patterns(answer):
-        gone.append(F.regexp_extract_all(t, pattern, F.lit(0)))
-        t = F.regexp_replace(t, pattern, F.lit(""))
     none = F.when(text.isNotNull(), F.array().cast("array<string>"))
-    return F.when(F.coalesce(strip(answer), F.lit("")) == "", none).otherwise(F.concat(*gone))
+    return F.when((F.coalesce(strip(answer), F.lit("")) == "") | text.isNull(), none).otherwise(_examples(text, answer)["gone"])

@@ -27,3 +27,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt to as many tasks as a shuffle has, for costly expressions: a scan has one task for each row group at most, and a table of short rows few of these."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import formulas as M
 from ..functions import sequences as Q
 from ..functions import tagged as X
-from .registry import query, read
+from .registry import query, read, spread
 
 S = lambda c: F.col(c).cast("string")
 
@@ -169,7 +169,7 @@ def exemplified():
 @query("t6b_removed_examples", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'e.g., ' || p_brand WHEN 1 THEN 'In Other Words, one' || chr(10) || 'of ' || lower(p_brand) || '!' WHEN 2 THEN 'Such as ' || p_brand ELSE '' END AS gone FROM part")
 def _(spark, sf):
     text, answer = exemplified()
-    return read(spark, sf, "part").select("p_partkey", F.array_join(X.removed_examples(text, answer), "|").alias("gone"))
+    return spread(read(spark, sf, "part").select("p_partkey", "p_brand")).select("p_partkey", F.array_join(X.removed_examples(text, answer), "|").alias("gone"))
 
 
 @query("t7_needs_removal", "SELECT doc_id FROM documents WHERE contains(lower(text), lower(source)) AND lang IS NOT NULL")
