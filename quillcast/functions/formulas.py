@@ -6,10 +6,14 @@ differ agree at all of the points with a chance of about (degree / PRIME) ** POI
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Sequence
+from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType
 
 from .tagged import normal_math
 from .text import last_match, strip
@@ -25,11 +29,6 @@ _ENDS = r"[0-9a-zA-Zπ)}]"  # what may end an operand
 _ORDER = {"+": 1, "-": 1, "*": 2, "/": 2, "¬": 3, "^": 4, "√": 5, "~": 6}
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value) with the value computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def formula_tokens(text: Column) -> Column:
     r"""The tokens of a formula with its products written out; null for what is none.
 
@@ -50,75 +49,84 @@ def formula_tokens(text: Column) -> Column:
     return F.when(known, F.regexp_extract_all(t, F.lit(_TOKEN), F.lit(0)))
 
 
-def postfix(tokens: Column) -> Column:
-    """Operands before their operators, by a stack of open operators with its top in front. A bracket without its other half stays as a token without a value."""
-    weight = F.create_map(*[F.lit(x) for pair in _ORDER.items() for x in pair])
-    nothing = F.array().cast("array<string>")
-
-    def step(state: Column, t: Column) -> Column:
-        operand, power = t.rlike("^[0-9a-zA-Zπ]"), t.startswith("{")
+def _postfix(tokens: Sequence[str]) -> list[str]:
+    """Operands before their operators, by a stack of open operators. A bracket without its other half stays as a token without a value."""
+    out: list[str] = []
+    ops: list[str] = []
+    for t in tokens:
+        operand, power = t[0].isalnum(), t[0] == "{"
         # operators of at least this weight come off the stack first: none before an operand, an opening bracket or a prefix
-        least = F.when(operand | t.isin("(", "¬", "√"), 99).when(t == ")", 1).when(power | (t == "^"), 5).otherwise(F.try_element_at(weight, t))
-        stay = F.array_position(F.transform(state["ops"], lambda o: F.coalesce(F.try_element_at(weight, o), F.lit(0)) >= least), F.lit(False))
-        off = F.when(stay == 0, F.size(state["ops"])).otherwise(stay - 1).cast("int")
-
-        def put(k: Column) -> Column:
-            rest = F.slice(state["ops"], k + 1, F.size(state["ops"]) + 1)
-            own = F.when(operand | power, F.array(t)).when((t == ")") & (F.size(rest) == 0), F.array(F.lit(")"))).otherwise(nothing)
-            ops = F.when(operand | power, rest).when(t == ")", F.slice(rest, 2, F.size(rest) + 1)).otherwise(F.concat(F.array(t), rest))
-            return F.struct(F.concat(state["out"], F.slice(state["ops"], F.lit(1), k), own).alias("out"), ops.alias("ops"))
-
-        return _let(off, put)
-
-    return F.aggregate(tokens, F.struct(nothing.alias("out"), nothing.alias("ops")), step, lambda s: F.concat(s["out"], s["ops"]))
-
-
-def _power(base: Column, bits: Column) -> Column:
-    """base to the number with the given binary digits."""
-    return F.aggregate(bits, F.lit(1).cast("long"), lambda a, b: (a * a % PRIME) * F.when(b == "1", base).otherwise(F.lit(1).cast("long")) % PRIME)
-
-
-def _bits(n: Column) -> Column:
-    return F.regexp_extract_all(F.conv(n.cast("string"), 10, 2), F.lit(r"\d"), F.lit(0))
-
-
-def _inverse(v: Column) -> Column:
-    """Null for 0."""
-    return F.when(v != 0, _power(v, F.array(*[F.lit(b) for b in f"{PRIME - 2:b}"])))
-
-
-def _number(t: Column) -> Column:
-    digits = F.regexp_extract_all(t, F.lit(r"\d"), F.lit(0))
-    whole = F.aggregate(digits, F.lit(0).cast("long"), lambda a, d: (a * 10 + d.cast("long")) % PRIME)
-    places = F.when(t.contains("."), F.length(t) - F.instr(t, ".")).otherwise(0)
-    return whole * _power(F.lit(pow(10, -1, PRIME)).cast("long"), _bits(places)) % PRIME
-
-
-def value_at(post: Column, point: Column) -> Column:
-    """The value of a postfix array modulo PRIME, its letters being hashes of themselves and the point; null where it has none. A root, and a power that is no whole number, are hashes of their parts."""
-    any_of = lambda *parts: F.pmod(F.xxhash64(*parts), F.lit(PRIME))
-
-    def step(stack: Column, t: Column) -> Column:
-        n = F.size(stack)
-        b, a = F.get(stack, n - 1), F.get(stack, n - 2)
-        exponent = F.regexp_extract(t, r"^\{-?(\d+)\}$", 1)
-        raised = _power(F.when(t.startswith("{-"), _inverse(b)).otherwise(b), _bits(F.when(exponent != "", exponent).otherwise("0")))
-        one = F.when(t == "¬", F.pmod(-b, F.lit(PRIME))).when(t == "√", F.when(b.isNotNull(), any_of(b, F.lit("√")))).when(t.startswith("{"), F.when(b.isNotNull(), raised))
-        two = F.when(t == "+", (a + b) % PRIME).when(t == "-", F.pmod(a - b, F.lit(PRIME))).when(t == "*", a * b % PRIME).when(t.isin("/", "~"), a * _inverse(b) % PRIME)
-        two = two.when(t == "^", F.when(a.isNotNull() & b.isNotNull(), any_of(a, b)))
-        push = lambda taken, v: F.concat(F.slice(stack, F.lit(1), F.greatest(n - taken, F.lit(0))), F.array(v))
-        return (
-            F.when(t.rlike("^[0-9]"), push(0, _number(t))).when(t.rlike("^[a-zA-Zπ]"), push(0, any_of(t, point)))
-            .when(t.isin("¬", "√") | t.startswith("{"), push(1, one)).otherwise(push(2, two))
-        )
-
-    return F.aggregate(post, F.array().cast("array<bigint>"), step, lambda s: F.when(F.size(s) == 1, F.get(s, F.lit(0))))
+        least = 99 if operand or t in ("(", "¬", "√") else 1 if t == ")" else 5 if power else _ORDER[t]
+        while ops and _ORDER.get(ops[-1], 0) >= least:
+            out.append(ops.pop())
+        if operand or power or t == ")" and not ops:
+            out.append(t)
+        elif t == ")":
+            ops.pop()
+        else:
+            ops.append(t)
+    return out + ops[::-1]
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def postfix(tokens: pd.Series) -> pd.Series:
+    return tokens.map(lambda t: None if t is None else _postfix(t))
+
+
+@lru_cache(maxsize=65_536)
+def _hash(*parts: str | int) -> int:
+    return int.from_bytes(hashlib.blake2b(repr(parts).encode(), digest_size=8).digest(), "big") % PRIME
+
+
+def _inverse(v: int | None) -> int | None:
+    return pow(v, -1, PRIME) if v else None
+
+
+def _applied(t: str, a: int | None, b: int | None) -> int | None:
+    """An operator's value, b being its last operand."""
+    if b is None or t not in ("¬", "√") and t[0] != "{" and a is None:
+        return None
+    if t[0] == "{":
+        n, base = abs(int(t[1:-1])), _inverse(b) if t[1] == "-" else b
+        return 1 if n == 0 else None if base is None else pow(base, n, PRIME)
+    if t in ("/", "~"):
+        return None if b == 0 else a * _inverse(b) % PRIME
+    by = {"¬": lambda: -b, "√": lambda: _hash("√", b), "+": lambda: a + b, "-": lambda: a - b, "*": lambda: a * b, "^": lambda: _hash("^", a, b)}
+    return by[t]() % PRIME if t in by else None
+
+
+def _value(post: Sequence[str], point: int) -> int | None:
+    stack: list[int | None] = []
+    for t in post:
+        if "0" <= t[0] <= "9":
+            whole, _, places = t.partition(".")
+            stack.append(int(whole + places) * pow(10, -len(places), PRIME) % PRIME)
+        elif t.isalpha():
+            stack.append(_hash(t, point))
+        else:
+            b, a = stack[-1] if stack else None, stack[-2] if len(stack) > 1 else None
+            del stack[-1 if t in ("¬", "√") or t[0] == "{" else -2 :]
+            stack.append(_applied(t, a, b))
+    return stack[0] if len(stack) == 1 else None
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def values_of(tokens: pd.Series) -> pd.Series:
+    """The values of formulas modulo PRIME at POINTS points, letters being hashes of themselves and the point; null without one at some point. A root, and a power that is no whole number, are hashes of their parts."""
+
+    def each(own: Sequence[str] | None) -> list[int] | None:
+        if own is None:
+            return None
+        post = _postfix(own)
+        found = [_value(post, p) for p in range(POINTS)]
+        return None if None in found else found
+
+    return tokens.map(each)
 
 
 def formula_values(text: Column) -> Column:
     """Values at POINTS points; null for what is no formula or has no value at one of them. Equal formulas have equal values, so that it is a key to join and group by."""
-    values = _let(postfix(formula_tokens(text)), lambda post: F.transform(F.array(*[F.lit(p) for p in range(POINTS)]), lambda p: value_at(post, p)))
-    return F.when(~F.exists(values, lambda v: v.isNull()), values)
+    return values_of(formula_tokens(text))
 
 
 def same_formula(one: Column, other: Column) -> Column:

@@ -5,7 +5,7 @@ from quillcast import plans
 from quillcast.functions import tagged as TG
 
 
-@pytest.mark.parametrize("name", ["t6b_removed_examples"])
+@pytest.mark.parametrize("name", ["t6b_removed_examples", "k6b_boxed_formula", "x17b_same_formula"])
 def test_a_small_file_is_dealt_to_all_tasks(spark, sf_dir, name):
     assert plans.QUERIES[name](spark, sf_dir).rdd.getNumPartitions() == 4
 
