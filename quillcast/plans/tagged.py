@@ -93,7 +93,7 @@ def _(spark, sf):
     text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
     one = F.when(k == 0, text(s + 1, "(x + ", s, ")")).when(k == 1, text(r"\frac{x^2 - ", s * s, "}{x - ", s, "}")).otherwise(text("y = ", s, ".5"))
     other = F.when(k == 0, text(s * (s + 1) + more, r" + x\cdot ", s + 1)).when(k == 1, text("x+", s + more)).otherwise(text(r"\dfrac{", 2 * s + 1 + more, "}{2}"))
-    return read(spark, sf, "part").select("p_partkey", M.same_formula(one, other).alias("same"))
+    return spread(read(spark, sf, "part").select("p_partkey", "p_size")).select("p_partkey", M.same_formula(one, other).alias("same"))
 
 
 @query("x18_article_prompt", "SELECT o_orderkey, 'Title: ' || o_orderpriority || chr(10) || 'Authors: 1, 2, 3, 4, 5' || chr(10) || 'Date: ' || strftime(o_orderdate, '%B %d, %Y') || chr(10) || 'Passage: ' || o_orderstatus AS p FROM orders")
