@@ -11,5 +11,5 @@ def test_a_small_file_is_dealt_to_all_tasks(spark, sf_dir, name):
 
 
 def test_each_introduction_is_tried_once(spark):
-    df = spark.createDataFrame([("such as Kiwi.", "kiwi")], "t string, a string").select(TG.removed_examples(F.col("t"), F.col("a")))
+    df = spark.createDataFrame([("such as Kiwi.", "kiwi")], "t string, a string").select(TG.removed_examples(F.col("t"), F.col("a")).alias("gone"))
     assert df._jdf.queryExecution().analyzed().toString().count("regexp_replace") == 1
