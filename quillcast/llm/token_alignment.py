@@ -15,7 +15,8 @@ finds those in one pass, so that a long group costs its length, not its square.
 
 Texts meet their pieces again by blocks of about BLOCK characters: a block holds
 each distinct piece once and its texts as packed numbers of pieces, so that neither
-tokens of all texts nor a table of all pieces are ever sent anywhere.
+tokens of all texts nor a table of all pieces are ever sent anywhere. What a task
+knows of a block's pieces goes there as one compressed stream of columns.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ from .tables import stash, text_bytes
 
 #: Characters of texts in a block; a longer text is a block of its own.
 BLOCK = 1 << 23
+#: Bytes of pieces that a task holds before it packs them by block.
+PACK = 1 << 26
 #: Places to cut a text, and what a token would have to hold to cross such a place.
 _RULES = (
     (r"(?<=\S)(?=[ \t\n])", r"\S[ \t\n]"),
@@ -189,6 +192,40 @@ def align_pieces(tokens: DataFrame) -> DataFrame:
     return grouped.groupBy("piece").agg(*sums, text.alias("groups"), F.flatten(F.collect_list("links")).alias("links"))
 
 
+def _packed(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Rows of pieces by block (of), each block's as one compressed stream; several where a task holds more than so many bytes."""
+    option = pa.ipc.IpcWriteOptions(compression="zstd")
+
+    def pack(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).sort_by([("of", "ascending"), ("no", "ascending")]).combine_chunks()
+        of, streams = rows.column("of").to_numpy(), []
+        at = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+        rows = rows.drop_columns("of")
+        for start, end in zip(at.tolist(), [*at[1:].tolist(), len(of)]):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=option) as out:
+                out.write_table(rows.slice(start, end - start))
+            streams.append(sink.getvalue().to_pybytes())
+        return pa.RecordBatch.from_arrays([pa.array(of[at], pa.int64()), pa.array(streams, pa.binary())], ["of", "rows"])
+
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
+        if size >= most:
+            yield pack(held)
+            held, size = [], 0
+    if held:
+        yield pack(held)
+
+
+def _unpacked(packed: pa.Table, empty: pa.Schema) -> pa.Table:
+    """A block's pieces in order; an empty table where its texts have none."""
+    found = [pa.ipc.open_stream(rows).read_all() for rows in packed.column("rows").to_pylist()]
+    return pa.concat_tables(found).sort_by("no") if found else empty.empty_table()
+
+
 def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Values of a column of lists, and where each row's start, with the end of the last; null counts as empty."""
     size = np.nan_to_num(column.combine_chunks().value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
@@ -197,7 +234,7 @@ def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 def _pairs_of(key: tuple, docs: pa.Table, pieces: pa.Table) -> pa.Table:
     """How many of a block's texts hold each link."""
-    pieces = pieces.sort_by("no")
+    pieces = _unpacked(pieces, pa.schema([("no", pa.int32()), ("links", pa.list_(pa.int64()))]))
     links, at = _flat(pieces.column("links"))
     exact = pieces.column("links").is_valid().to_numpy()
     names, links = np.unique(links, return_inverse=True)
@@ -217,7 +254,7 @@ _SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 def _texts_of(key: tuple, docs: pa.Table, pieces: pa.Table) -> pa.Table:
     """Sums over each text's pieces, and their groups in order. Of a piece only what its groups do not tell is given; every end is a link, and those of both sides are one."""
-    pieces = pieces.sort_by("no")
+    pieces = _unpacked(pieces, pa.schema([("no", pa.int32()), ("groups", pa.string()), ("both", pa.int64()), ("count_sum", pa.int64())]))
     exact, groups = pieces.column("groups").is_valid().to_numpy(), pieces.column("groups").fill_null("").to_pylist()
     count = lambda mark: np.fromiter((g.count(mark) for g in groups), np.int64, len(groups))
     both, n_groups = pieces.column("both").fill_null(0).to_numpy(), count("|")
@@ -235,7 +272,7 @@ def _texts_of(key: tuple, docs: pa.Table, pieces: pa.Table) -> pa.Table:
     return pa.table({"doc": docs.column("docs").combine_chunks().flatten(), **dict(zip(_SUMS, map(pa.array, sums))), "groups": pa.array(texts, pa.string())})
 
 
-def align(docs: DataFrame, first: ByteLevel, second: Pieces, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
+def align(docs: DataFrame, first: ByteLevel, second: Pieces, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK, pack: int = PACK) -> DataFrame:
     """Per document: doc_id, n_a, n_b (tokens), n_groups, n_links, n_best (links whose count is the highest of their first token's), count_sum (counts over links) and groups, `a1,a2|b1;a3|b2,b3`.
 
     Both sides encode a space and the text. A link's count is the number of
@@ -254,7 +291,8 @@ def align(docs: DataFrame, first: ByteLevel, second: Pieces, doc_id: str = "doc_
     tokens = held.select("piece").distinct().mapInArrow(partial(_encode, sides=(first, second)), "piece string, a array<int>, a_bytes array<int>, b array<int>, b_bytes array<int>")
     known = align_pieces(tokens).select(F.monotonically_increasing_id().alias("s"), "piece", "n_a", "groups", "links")
     known = stash(known, "pieces", "zstd")  # the exact ones
-    meet = lambda of, *columns: cut.select("block", *columns).groupBy("block").cogroup(held.join(of, "piece", "left").drop("piece").groupBy("of"))
+    packed = lambda of: held.join(of, "piece", "left").drop("piece").mapInArrow(partial(_packed, most=pack), "of long, rows binary")
+    meet = lambda of, *columns: cut.select("block", *columns).groupBy("block").cogroup(packed(of).groupBy("of"))
     parts = meet(known.select("piece", "links"), "kinds", "used").applyInArrow(_pairs_of, "link long, n long")
     counts = stash(parts.groupBy("link").agg(F.sum("n").alias("n")), "links")
     side = F.shiftright("link", 32)

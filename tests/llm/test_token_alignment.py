@@ -3,12 +3,13 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
 from quillcast.llm import queries as Q
-from quillcast.llm.token_alignment import ByteLevel, Pieces, align
+from quillcast.llm.token_alignment import ByteLevel, Pieces, _packed, _unpacked, align
 
 
 def files():
@@ -92,3 +93,16 @@ def test_odd_rows(spark, sides):
     got = sorted(((r.doc_id, *[r[c] for c in COLUMNS]) for r in align(docs, *sides).collect()), key=str)
     assert got == sorted(((d[0], *r) for d, r in zip(rows, plain([d[1] for d in rows], sides))), key=str)
     assert align(docs.limit(0), *sides).collect() == []
+
+
+def test_pieces_go_to_their_blocks_packed(spark, sides):
+    """In under half of the bytes that rows of their own take, with the same results however often a task packs."""
+    rows = [pa.record_batch({"of": [i % 3 for i in range(at, at + 6000)], "no": pa.array([i // 3 for i in range(at, at + 6000)], pa.int32()), "groups": [None if i % 50 == 0 else f"{i % 97},{i % 89}|{i % 83}" for i in range(at, at + 6000)]}) for at in (6000, 0)]
+    packed = pa.Table.from_batches(_packed(iter(rows), 1 << 30))
+    assert packed.column("of").to_pylist() == [0, 1, 2] and packed.nbytes < sum(r.nbytes for r in rows) / 2
+    back = _unpacked(packed.slice(1, 1), rows[0].schema).to_pydict()
+    assert back["no"] == list(range(4000)) and back["groups"] == [None if i % 50 == 0 else f"{i % 97},{i % 89}|{i % 83}" for i in range(1, 12000, 3)]
+    texts = [f"word{i} and word{i * i}, once\nmore {i}" for i in range(300)] + ["", None, "▁"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: tuple(r[c] for c in COLUMNS) for r in align(docs, *sides, block=500, pack=2000).collect()}
+    assert got == dict(enumerate(plain(texts, sides)))
