@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from functools import partial, reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -106,12 +105,53 @@ def bm25(docs: DataFrame, questions: DataFrame, question: str, k: int, k1: float
     return every.withColumn("rank", rank).where(F.col("rank") <= k).withColumnRenamed("q", question)
 
 
+#: Products of queries and vectors that a task holds at once.
+_PRODUCTS = 1 << 20
+
+
+def _units(column: pa.ChunkedArray) -> np.ndarray:
+    """A column of lists of one length as rows of length 1. What has no direction becomes NaN."""
+    lists = column.combine_chunks()
+    size = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    if (size != size[0]).any():
+        raise ValueError("vectors differ in length")
+    x = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+    with np.errstate(invalid="ignore"):
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def best_of_rows(s: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k greatest finite scores of each row, greatest first, ties by d: only what reaches a row's kth score is sorted."""
+    least = np.partition(s, -k, axis=1)[:, -k, None] if k < s.shape[1] else -np.inf
+    row, column = np.nonzero((s >= least) & np.isfinite(s))
+    order = np.lexsort((d[column], -s[row, column], row))
+    row, column = row[order], column[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < k], column[place < k]
+
+
+def _nearest_of(left: pa.Table, right: pa.Table, k: int) -> pa.Table:
+    """The k nearest of one part's vectors for each query of one block, a few queries at a time."""
+    found = [pa.table({"q": pa.array([], pa.int64()), "d": pa.array([], pa.int64()), "s": pa.array([], pa.float64())})]
+    if len(left) and len(right):
+        (q, a), (d, b) = ((x.column(c).to_numpy().astype(np.int64), _units(x.column("v"))) for x, c in ((left, "q"), (right, "d")))
+        step = max(1, _PRODUCTS // len(d))
+        for at in range(0, len(q), step):
+            names = q[at : at + step]
+            s = np.round(a[at : at + step] @ b.T, 6)
+            s[(names[:, None] == d[None, :]) | np.isnan(s)] = -np.inf
+            row, column = best_of_rows(s, d, k)
+            found.append(pa.table({"q": names[row], "d": d[column], "s": s[row, column]}))
+    return pa.concat_tables(found)
+
+
 def knn(queries: DataFrame, vectors: DataFrame, vec_id: str, embedding: str, k: int, block: int = 4096, part: int = 20_000) -> DataFrame:
     """(q, d, s): for each query its k nearest other vectors by cosine, ties by id. Null vectors neither ask nor answer.
 
     Queries are dealt to blocks and vectors to parts, each of about a fixed
     size, and every block meets every part in a task of its own, whatever the
-    number of either. Only k rows a query and part move on.
+    number of either. Only k rows a query and part move on, and a task holds the
+    products of a few queries at a time.
     """
     own = lambda df, names: df.select(*[F.col(c).alias(n) for c, n in zip((vec_id, embedding), names)]).where(F.col(names[1]).isNotNull())
     asked, held = own(queries, ("q", "v")), own(vectors, ("d", "v"))
@@ -121,22 +161,7 @@ def knn(queries: DataFrame, vectors: DataFrame, vec_id: str, embedding: str, k:
     asked = asked.select("q", F.col("v").cast("array<double>"), dealt("q", blocks).alias("block"), every(parts).alias("part"))
     held = held.select("d", F.col("v").cast("array<double>"), dealt("d", parts).alias("part"), every(blocks).alias("block"))
 
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"q": [], "d": [], "s": []})
-        (q, a), (d, b) = ((x[c].to_numpy(np.int64), np.stack(x["v"])) for x, c in ((left, "q"), (right, "d")))
-        a, b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (a, b))
-        found = []
-        for at in range(0, len(q), 256):
-            names = q[at : at + 256]
-            s = np.round(a[at : at + 256] @ b.T, 6)
-            s[names[:, None] == d[None, :]] = -np.inf
-            top = np.lexsort((np.broadcast_to(d, s.shape), -s), axis=1)[:, :k]
-            found.append(pd.DataFrame({"q": np.repeat(names, top.shape[1]), "d": d[top].ravel(), "s": np.take_along_axis(s, top, 1).ravel()}))
-        every = pd.concat(found)
-        return every[np.isfinite(every["s"])]
-
-    out = asked.groupBy("part", "block").cogroup(held.groupBy("part", "block")).applyInPandas(best, "q long, d long, s double")
+    out = asked.groupBy("part", "block").cogroup(held.groupBy("part", "block")).applyInArrow(partial(_nearest_of, k=k), "q long, d long, s double")
     rank = F.row_number().over(W.partitionBy("q").orderBy(F.desc("s"), "d"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
 
