@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import Observation
 
 from quillcast.operators.funnel import funnel_counters, observed_funnel
+from quillcast.plans.outcomes import wide_funnel
 
 ASK = "<question_title>{}</question_title><answer>{}</answer>{}".format
 COLUMNS = "q1 string, q1_valid int, q2 string, q2_valid int, choose_best int, choose_best_response string, no_good_question int, final_question string, individual_validation_done int, leakage_check int"
@@ -39,3 +40,13 @@ def test_observed_while_rows_flow_on(rows, tmp_path):
     flowing.write.parquet(str(tmp_path / "out"))
     assert seen.get == WANT
     assert flowing.columns == rows.columns and sorted(map(str, flowing.collect())) == sorted(map(str, rows.collect()))
+
+
+def test_no_text_is_taken_apart_twice(rows):
+    """One replacement for each question, the choice and the final form, in the plan that runs."""
+    plan = funnel_counters(rows, 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 4 and "regexp_extract_all" not in plan
+
+
+def test_rows_of_a_small_file_are_dealt_to_all_tasks(spark, sf_dir):
+    assert wide_funnel(spark, sf_dir).rdd.getNumPartitions() == 4
