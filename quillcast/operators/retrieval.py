@@ -18,12 +18,13 @@ from .ordering import materialise
 
 @dataclass
 class _Asked:
-    """Questions of one window: the places of their terms among all that are asked for, by question the terms' weights, and the window's mean length."""
+    """Questions of one window: the places of their own terms among all that are asked for, by question these terms' weights, and the window's mean length."""
 
     low: int | None
     high: int | None
     mean: float
     names: np.ndarray
+    places: np.ndarray
     weights: np.ndarray
     present: np.ndarray
 
@@ -41,7 +42,7 @@ def _best_of(batches: Iterator[pa.RecordBatch], terms: pa.Array, asked: list[_As
                 own = np.flatnonzero((size > 0) & ((day >= w.low) & (day <= w.high) if w.low is not None else True))
                 if not len(own):
                     continue
-                t = tf[own]
+                t = tf[np.ix_(own, w.places)]
                 s = np.round(t * (k1 + 1) / (t + k1 * (1 - b + b * size[own, None] / w.mean)) @ w.weights, 6) + 0.0
                 s[(t > 0).astype(np.float32) @ w.present == 0] = -np.inf
                 s, d = s.T, doc[own]
@@ -60,8 +61,10 @@ def bm25(docs: DataFrame, questions: DataFrame, question: str, k: int, k1: float
     frequencies, mean length and mean idf count. A negative idf becomes epsilon
     times the mean idf of the index's terms.
 
-    Frequencies of terms are counted by day once and added up for each window
-    that is asked for. Questions go through in blocks of a fixed size, their
+    Frequencies of terms and lengths are counted by day in one pass, and added
+    up for each window where the counts of a term lie: windows that overlap send
+    no term twice, as the mean idf needs only how many terms have a frequency.
+    A window's scores are products of its own terms. Questions go through in blocks of a fixed size, their
     terms with them; documents are scored where they are read, and only the k
     best of each batch move.
     """
@@ -73,13 +76,17 @@ def bm25(docs: DataFrame, questions: DataFrame, question: str, k: int, k1: float
     cuts = questions.select("cut").distinct()
     reach = F.explode(F.sequence(F.col("cut") - (days or 0), F.col("cut"))).alias("day")
     windows = cuts.select("cut", reach)
-    sizes = docs.where(F.size("terms") > 0).groupBy("day").agg(F.count("*").alias("n"), F.sum(F.size("terms")).alias("dl"))
-    sizes = windows.join(sizes, "day").groupBy("cut").agg(F.sum("n").alias("n"), (F.sum("dl") / F.sum("n")).alias("mean"))
-    held = docs.select("day", F.explode(F.array_distinct("terms")).alias("term")).groupBy("day", "term").agg(F.count("*").alias("df"))
-    raw = materialise(held).join(windows, "day").groupBy("cut", "term").agg(F.sum("df").alias("df")).join(sizes, "cut")
-    raw = materialise(raw.select("cut", "term", "mean", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf")))
-    floor = raw.groupBy("cut").agg((F.avg("idf") * epsilon).alias("floor"))
+    first = F.col("pos") == 0  # once for each document with terms
+    held = docs.select("day", F.size("terms").alias("dl"), F.posexplode(F.array_distinct("terms")).alias("pos", "term")).groupBy("day", "term")
+    held = materialise(held.agg(F.count("*").alias("df"), F.count_if(first).alias("n"), F.sum(F.when(first, F.col("dl"))).alias("dl")))
+    sizes = held.groupBy("day").agg(F.sum("n").alias("n"), F.sum("dl").alias("dl"))
+    sizes = materialise(windows.join(sizes, "day").groupBy("cut").agg(F.sum("n").alias("n"), (F.sum("dl") / F.sum("n")).alias("mean")))
+    added = lambda rows: rows.select("day", "term", "df").repartition("term").join(F.broadcast(windows), "day").groupBy("cut", "term").agg(F.sum("df").alias("df"))
+    idf = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    counts = added(held).groupBy("cut", "df").agg(F.count("*").alias("m")).join(sizes, "cut")  # how many terms have a frequency
+    floor = counts.groupBy("cut").agg((F.sum(F.col("m") * idf) / F.sum("m") * epsilon).alias("floor"))
     asked = questions.select("q", "cut", F.explode("terms").alias("term")).groupBy("q", "cut", "term").agg(F.count("*").alias("m"))
+    raw = added(held.join(asked.select("term").distinct(), "term", "left_semi")).join(sizes, "cut").select("cut", "term", "mean", idf.alias("idf"))
     idf = F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf"))
     asked = materialise(asked.join(raw, ["cut", "term"]).join(floor, "cut").select("q", "cut", "term", "mean", (F.col("m") * idf).alias("weight")))
     blocks = max(1, -(-questions.count() // block))
@@ -92,12 +99,13 @@ def bm25(docs: DataFrame, questions: DataFrame, question: str, k: int, k1: float
         windows_of = []
         for c, own in rows.groupby("cut"):
             names = np.sort(own["q"].unique()).astype(np.int64)
-            weights = np.zeros((len(terms), len(names)))
-            at = own["term"].map(place).to_numpy(), np.searchsorted(names, own["q"])
+            places, at = np.unique(own["term"].map(place), return_inverse=True)
+            at = at, np.searchsorted(names, own["q"])
+            weights = np.zeros((len(places), len(names)))
             weights[at] = own["weight"]
             present = np.zeros(weights.shape, np.float32)
             present[at] = 1
-            windows_of.append(_Asked(int(c) - days if days is not None else None, int(c) if days is not None else None, float(own["mean"].iloc[0]), names, weights, present))
+            windows_of.append(_Asked(int(c) - days if days is not None else None, int(c) if days is not None else None, float(own["mean"].iloc[0]), names, places, weights, present))
         if windows_of:
             found.append(docs.mapInArrow(partial(_best_of, terms=pa.array(list(terms), pa.string()), asked=windows_of, k=k, k1=k1, b=b), "q long, doc long, score double"))
     every = reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "q long, doc long, score double")
